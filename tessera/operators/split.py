@@ -26,17 +26,18 @@ def class_quotas(counts: DataFrame, label_col: str = "label", count_col: str = "
     is the rest of its rows.  ``counts`` has one row per class.
     """
     dec = "decimal(38,0)"
-    # scalar subquery: evaluated once, no join of the class table with itself
-    n = counts.select(F.sum(count_col).cast(dec)).scalar()
+    # windows below run over the class table only (one row per class)
+    every = Window.partitionBy()
+    q = counts.withColumn("_n", F.sum(F.col(count_col).cast(dec)).over(every))
+    n = F.col("_n")
     n_test = F.floor((n * test_pct + 99) / 100).cast(dec)  # ceil(p% of n) in integers
-    n_train = n - n_test
-    prod = F.col(count_col).cast(dec) * n_train  # exact even when it passes 2**63
-    q = counts.withColumns({
+    q = q.withColumn("_n_train", (n - n_test).cast(dec))
+    prod = F.col(count_col).cast(dec) * F.col("_n_train")  # exact even when it passes 2**63
+    q = q.withColumns({
         "_fl": F.floor(prod / n).cast("bigint"),
         "_rem": F.pmod(prod, n),
     })
-    need = n_train - q.select(F.sum("_fl").cast(dec)).scalar()
-    # a window over the class table only (one row per class)
+    need = F.col("_n_train") - F.sum("_fl").over(every)
     order = Window.orderBy(F.col("_rem").desc(), F.col(label_col))
     q = q.withColumn("_rank", F.row_number().over(order))
     return q.select(
