@@ -265,3 +265,29 @@ def hidden_pca(states: DataFrame, k: int = 2, by: str = "run") -> DataFrame:
     for o in outs[1:]:
         out = out.unionByName(o)
     return out
+
+
+def attention_entropy(pooled: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Mean over rows of -sum(w ln w) (0 ln 0 = 0)."""
+    return pooled.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(A.entropy("weights")).alias("mean_entropy"))
+
+
+def attention_batch_stats(pooled: DataFrame, batches: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Per batch: mean row entropy and max weight (batches from S3)."""
+    j = pooled.join(batches.select(key, "batch_id"), key)
+    return j.groupBy("batch_id").agg(F.avg(A.entropy("weights")).alias("entropy"),
+                                     F.max(F.array_max("weights")).alias("max_weight"),
+                                     F.count(F.lit(1)).alias("n"))
+
+
+def attention_max(batch_stats: DataFrame) -> DataFrame:
+    """Max attention weight of each batch, averaged over batches."""
+    return batch_stats.agg(F.avg("max_weight").alias("mean_batch_max_weight"))
+
+
+def batch_mean_metrics(batch_stats: DataFrame) -> DataFrame:
+    """Unweighted mean of batch means (evaluation mode) and the last batch's value
+    (training-log mode)."""
+    return batch_stats.agg(F.avg("entropy").alias("mean_of_batch_entropy"),
+                           F.max_by("entropy", "batch_id").alias("last_batch_entropy"),
+                           F.count(F.lit(1)).alias("n_batches"))

@@ -11,7 +11,7 @@ from ..functions import text as tx
 from ..operators import filters, profile, split, text_ops
 from ..sources.tables import labelled_documents, read_table
 from . import sqlparts as q
-from .registry import query, rounded
+from .registry import query, rounded, shared
 
 DOCS = q.docs_cte()
 SPLITS = DOCS + "," + q.split_ctes()
@@ -24,6 +24,7 @@ def docs(spark, sf):
     return labelled_documents(spark, sf)
 
 
+@shared
 def split_docs(spark, sf):
     return split.stratified_split(docs(spark, sf))
 

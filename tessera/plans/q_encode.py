@@ -15,7 +15,7 @@ from ..functions.text import basic_english_tokens, normalize_placeholders
 from ..operators import split, text_ops, vectorize, vocab
 from . import sqlparts as q
 from .q_corpus import SPLITS, split_docs
-from .registry import query, rounded
+from .registry import query, rounded, shared
 
 MAX_LEN = 350
 
@@ -25,15 +25,18 @@ def seq_tokens(spark, sf):
         "tokens", basic_english_tokens(normalize_placeholders("text"))).drop("text")
 
 
+@shared
 def train_vocab(spark, sf):
     return vocab.build_vocab(seq_tokens(spark, sf).where(F.col("split") == "train"), "tokens")
 
 
+@shared
 def test_encoded(spark, sf, max_len=None):
     test = seq_tokens(spark, sf).where(F.col("split") == "test").select("doc_id", "label", "tokens")
     return vocab.encode_tokens(test, "tokens", train_vocab(spark, sf), max_len=max_len)
 
 
+@shared
 def test_padded(spark, sf):
     enc = test_encoded(spark, sf, max_len=MAX_LEN)
     return enc.select("doc_id", "label", vocab.pad_truncate("token_ids", MAX_LEN).alias("padded"))

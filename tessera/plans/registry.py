@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,36 @@ QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
+_SHARED: dict[tuple, DataFrame] = {}
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the session's ``spark.checkpoint.dir``.
+
+    Executors may be lost; a reliable checkpoint is re-read, never recomputed.
+    """
+    from ..session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def shared(fn):
+    """Mark an intermediate used by several branches of one query.
+
+    Within one query call it is built once and materialised, so later
+    branches read the checkpoint instead of re-running the tokenizer,
+    split or vocabulary pipeline.
+    """
+
+    @functools.wraps(fn)
+    def wrapper(spark: SparkSession, sf: str, *args, **kwargs):
+        key = (fn.__qualname__, id(spark), sf, args, tuple(sorted(kwargs.items())))
+        if key not in _SHARED:
+            _SHARED[key] = materialize(fn(spark, sf, *args, **kwargs))
+        return _SHARED[key]
+
+    return wrapper
 
 
 def query(name: str, oracle: str | None = None):
@@ -20,7 +51,13 @@ def query(name: str, oracle: str | None = None):
     def deco(fn: QueryFn) -> QueryFn:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = fn
+
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            _SHARED.clear()  # intermediates are shared within one query only
+            return fn(spark, sf)
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
         return fn
