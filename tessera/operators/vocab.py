@@ -86,9 +86,10 @@ def decode_ids(df: DataFrame, ids_col: str, vocab: DataFrame, key: str = "doc_id
     """Ids -> words joined by a space; ``pad_id`` dropped, unknown ids -> ``unk``."""
     rest = [c for c in df.columns if c != ids_col]
     ex = df.select(*rest, F.posexplode_outer(ids_col).alias("_pos", "token_id"))
-    ex = ex.where(F.col("token_id").isNull() | (F.col("token_id") != pad_id))
     joined = ex.join(vocab.select("token_id", "token"), "token_id", "left")
-    item = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce("token", F.lit(unk)).alias("t")))
+    # pads become null items (collect_list skips them) so an all-pad sequence keeps its row
+    keep = F.col("_pos").isNotNull() & (F.col("token_id") != pad_id)
+    item = F.when(keep, F.struct(F.col("_pos"), F.coalesce("token", F.lit(unk)).alias("t")))
     return (
         joined.groupBy(*rest).agg(F.array_sort(F.collect_list(item)).alias("_items"))
         .select(*rest, F.array_join(F.transform("_items", lambda s: s["t"]), " ").alias(out_col))

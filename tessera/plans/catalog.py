@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_attention, q_corpus, q_encode, q_epochs, q_metrics  # noqa: F401
+from . import q_attention, q_classify, q_corpus, q_encode, q_epochs, q_metrics, q_sources  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]
