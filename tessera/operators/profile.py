@@ -4,6 +4,10 @@ Token counting always goes explode -> groupBy, so partial (map-side)
 aggregation collapses frequent words before the shuffle; top-k per group is
 ``row_number() <= k`` which Spark turns into a partial WindowGroupLimit ahead
 of the exchange.  No token list is ever collected to the driver.
+
+Token arrays are exploded with ``explode_outer`` plus a null filter: for a
+plain ``explode`` Catalyst infers ``size(tokens) > 0`` and pushes it below the
+projection, which evaluates the whole tokenizer a second time per document.
 """
 
 from __future__ import annotations
@@ -118,13 +122,13 @@ def avg_length_per_label(df: DataFrame, text_col: str = "text", label_col: str =
 def word_frequency(df: DataFrame, text_col: str = "text", by: str = "split",
                    stopwords: Iterable[str] | None = None) -> DataFrame:
     """Frequency of profile tokens (T9) per group."""
-    toks = df.select(by, F.explode(alpha_tokens(text_col, stopwords)).alias("token"))
-    return toks.groupBy(by, "token").agg(F.count(F.lit(1)).alias("n"))
+    toks = df.select(by, F.explode_outer(alpha_tokens(text_col, stopwords)).alias("token"))
+    return toks.where(F.col("token").isNotNull()).groupBy(by, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _whitespace_token_counts(df: DataFrame, text_col: str) -> DataFrame:
-    return (df.select(F.explode(whitespace_tokens(text_col)).alias("token"))
-            .groupBy("token").agg(F.count(F.lit(1)).alias("n")))
+    return (df.select(F.explode_outer(whitespace_tokens(text_col)).alias("token"))
+            .where(F.col("token").isNotNull()).groupBy("token").agg(F.count(F.lit(1)).alias("n")))
 
 
 def vocabulary_size(df: DataFrame, text_col: str = "text") -> DataFrame:
@@ -134,7 +138,7 @@ def vocabulary_size(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 def approx_vocabulary_size(df: DataFrame, text_col: str = "text", rsd: float = 0.01) -> DataFrame:
     """P9 (approximate): HyperLogLog++ sketch, constant memory per task."""
-    toks = df.select(F.explode(whitespace_tokens(text_col)).alias("token"))
+    toks = df.select(F.explode_outer(whitespace_tokens(text_col)).alias("token"))
     return toks.agg(F.approx_count_distinct("token", rsd).alias("vocabulary_size"))
 
 
@@ -151,8 +155,8 @@ def top_tokens_per_class(df: DataFrame, text_col: str = "text", label_col: str =
                          k: int = 10, stopwords: Iterable[str] | None = None) -> DataFrame:
     """The ``k`` most frequent profile tokens per label (ties: token ascending)."""
     counts = (
-        df.select(label_col, F.explode(alpha_tokens(text_col, stopwords)).alias("token"))
-        .groupBy(label_col, "token").agg(F.count(F.lit(1)).alias("n"))
+        df.select(label_col, F.explode_outer(alpha_tokens(text_col, stopwords)).alias("token"))
+        .where(F.col("token").isNotNull()).groupBy(label_col, "token").agg(F.count(F.lit(1)).alias("n"))
     )
     w = Window.partitionBy(label_col).orderBy(F.col("n").desc(), F.col("token"))
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

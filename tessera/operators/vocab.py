@@ -27,7 +27,7 @@ def build_vocab(df: DataFrame, tokens_col: str = "tokens",
     """
     spark = df.sparkSession
     counts = (
-        df.select(F.explode(tokens_col).alias("token"))
+        df.select(F.explode_outer(tokens_col).alias("token")).where(F.col("token").isNotNull())
         .groupBy("token").agg(F.count(F.lit(1)).alias("freq"))
         .where(~F.col("token").isin(list(specials)))
     )
@@ -47,6 +47,7 @@ def encode_tokens(df: DataFrame, tokens_col: str, vocab: DataFrame, key: str = "
     ``key`` with positions sorted.  With ``max_len`` only the first ``max_len``
     positions are looked up (the encoding is 1:1, so padding them later gives
     the same result while long documents shrink before the join).
+    Every other column rides along with each token, so pass only small ones.
     """
     rest = [c for c in df.columns if c != tokens_col]
     ex = df.select(*rest, F.posexplode_outer(tokens_col).alias("_pos", "token"))

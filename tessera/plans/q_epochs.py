@@ -56,9 +56,26 @@ def _e3(spark, sf):
     return E.early_stop_epoch(elog(spark, sf), patience=3)
 
 
-@query("lr_plateau")
+_REL = repr(1.0 + 1e-4)  # the same double the Spark fold multiplies by
+
+_LR_SQL = f"""WITH RECURSIVE {BATCH},
+ord AS (SELECT run, epoch, val_acc, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k FROM el),
+st(run, k, epoch, best, bad, lr) AS (
+  SELECT run, k, epoch, val_acc, 0, 0.001::DOUBLE FROM ord WHERE k = 1
+  UNION ALL
+  SELECT o.run, o.k, o.epoch,
+         CASE WHEN o.val_acc > st.best * {_REL} THEN o.val_acc ELSE st.best END,
+         CASE WHEN o.val_acc > st.best * {_REL} THEN 0 WHEN st.bad + 1 > 2 THEN 0 ELSE st.bad + 1 END,
+         CASE WHEN o.val_acc <= st.best * {_REL} AND st.bad + 1 > 2 AND st.lr - greatest(st.lr * 0.5, 0.0) > 1e-8
+              THEN greatest(st.lr * 0.5, 0.0) ELSE st.lr END
+  FROM st JOIN ord o ON o.run = st.run AND o.k = st.k + 1)
+SELECT run, epoch, lr FROM st"""
+
+
+@query("lr_plateau", _LR_SQL)
 def _e4(spark, sf):
-    return rounded(E.lr_plateau(elog(spark, sf), lr0=0.001, factor=0.5, patience=2))
+    # lr values are exact binary halvings of lr0: compared unrounded
+    return E.lr_plateau(elog(spark, sf), lr0=0.001, factor=0.5, patience=2)
 
 
 @query("compare_runs", f"""WITH {BATCH}

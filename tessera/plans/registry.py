@@ -15,16 +15,7 @@ QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
 _SHARED: dict[tuple, DataFrame] = {}
 
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the session's ``spark.checkpoint.dir``.
-
-    Executors may be lost; a reliable checkpoint is re-read, never recomputed.
-    """
-    from ..session import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+from ..session import materialize  # noqa: E402
 
 
 def shared(fn):

@@ -51,3 +51,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir for written tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/tessera-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def materialize(df):
+    """Cut lineage with a reliable checkpoint in the session's ``spark.checkpoint.dir``.
+
+    Executors may be lost; a reliable checkpoint is re-read, never recomputed.
+    Never ``localCheckpoint`` (executor-local storage).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
