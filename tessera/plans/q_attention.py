@@ -27,8 +27,8 @@ W2 = [0.5, -0.25, 0.25, -0.5]
 B2 = 0.0
 
 
-def pretrained_vectors(spark, sf):
-    vocab = train_vocab(spark, sf)
+def pretrained_vectors(spark, sf, vocab=None):
+    vocab = train_vocab(spark, sf) if vocab is None else vocab
     emb = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
     v = vocab.where(F.col("token").rlike("^[a-z]+$"))
     return v.join(emb, F.pmod(v["token_id"], F.lit(VEC_ROWS)) == emb["vec_id"]) \
@@ -40,8 +40,21 @@ def emb_table(spark, sf):
     return EM.embedding_join(train_vocab(spark, sf), pretrained_vectors(spark, sf), DIM, 0.6)
 
 
+@shared
+def used_emb_table(spark, sf):
+    """C7 rows for the ids that occur in the test sequences only.
+
+    The semi-join runs before the vector draws, so out-of-vocabulary vectors
+    are generated for used tokens only (the full matrix is C7's own query).
+    """
+    used = test_padded(spark, sf).select(F.explode_outer("padded").alias("token_id")).distinct()
+    vocab = train_vocab(spark, sf).join(used, "token_id", "left_semi")
+    v = pretrained_vectors(spark, sf, vocab)
+    return EM.embedding_join(vocab, v, DIM, 0.6)
+
+
 def seq_vectors(spark, sf):
-    return EM.embed_sequence(test_padded(spark, sf), "padded", emb_table(spark, sf))
+    return EM.embed_sequence(test_padded(spark, sf), "padded", used_emb_table(spark, sf))
 
 
 def _lit(vals):
