@@ -45,7 +45,7 @@ SELECT doc_id, array_to_string(toks, ' ') AS tokens, len(toks) AS n_tokens FROM
 def _word_tokenize(spark, sf):
     toks = tx.word_tokenize(tx.clean_strip("text"))
     return docs(spark, sf).select("doc_id", F.array_join(toks, " ").alias("tokens"),
-                                  F.size(toks).alias("n_tokens"))
+                                  F.size(toks).cast("bigint").alias("n_tokens"))
 
 
 @query("remove_stopwords", f"""WITH {DOCS}, t AS (SELECT doc_id, {q.clean_tokens('text')} AS toks FROM docs)
@@ -53,7 +53,7 @@ SELECT doc_id, array_to_string(toks, ' ') AS tokens, len(toks) AS n_tokens FROM
 def _remove_stopwords(spark, sf):
     toks = tx.clean_tokens("text")
     return docs(spark, sf).select("doc_id", F.array_join(toks, " ").alias("tokens"),
-                                  F.size(toks).alias("n_tokens"))
+                                  F.size(toks).cast("bigint").alias("n_tokens"))
 
 
 _LEMMA_SQL = f"""WITH {DOCS},
@@ -92,12 +92,12 @@ SELECT doc_id, array_to_string(toks, ' ') AS tokens, len(toks) AS n_tokens FROM
 def _basic_english(spark, sf):
     toks = tx.basic_english_tokens(tx.normalize_placeholders("text"))
     return docs(spark, sf).select("doc_id", F.array_join(toks, " ").alias("tokens"),
-                                  F.size(toks).alias("n_tokens"))
+                                  F.size(toks).cast("bigint").alias("n_tokens"))
 
 
 @query("whitespace_tokens", f"WITH {DOCS} SELECT doc_id, {q.token_count('text')} AS n_tokens FROM docs")
 def _whitespace(spark, sf):
-    return docs(spark, sf).select("doc_id", tx.token_count("text").alias("n_tokens"))
+    return docs(spark, sf).select("doc_id", tx.token_count("text").cast("bigint").alias("n_tokens"))
 
 
 @query("alpha_tokens", f"""WITH {DOCS}, t AS (SELECT doc_id, {q.alpha_tokens('text')} AS toks FROM docs)
@@ -105,7 +105,7 @@ SELECT doc_id, array_to_string(toks, ' ') AS tokens, len(toks) AS n_tokens FROM
 def _alpha(spark, sf):
     toks = tx.alpha_tokens("text")
     return docs(spark, sf).select("doc_id", F.array_join(toks, " ").alias("tokens"),
-                                  F.size(toks).alias("n_tokens"))
+                                  F.size(toks).cast("bigint").alias("n_tokens"))
 
 
 @query("vectorizer_tokens", f"""WITH {DOCS}, t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}') AS toks FROM docs)
@@ -113,7 +113,7 @@ SELECT doc_id, array_to_string(toks, ' ') AS tokens, len(toks) AS n_tokens FROM
 def _vectorizer_tokens(spark, sf):
     toks = tx.vectorizer_tokens("text")
     return docs(spark, sf).select("doc_id", F.array_join(toks, " ").alias("tokens"),
-                                  F.size(toks).alias("n_tokens"))
+                                  F.size(toks).cast("bigint").alias("n_tokens"))
 
 
 @query("truncate_tokens", f"""WITH {DOCS}, t AS (SELECT doc_id, {q.basic_english(q.normalize('text'))} AS toks FROM docs)

@@ -68,13 +68,13 @@ def _build_vocab(spark, sf):
 @query("encode_tokens", f"WITH {SEQ} SELECT doc_id, array_to_string(ids, ' ') AS encoded, len(ids) AS n_tokens FROM encl")
 def _encode(spark, sf):
     enc = test_encoded(spark, sf)
-    return enc.select("doc_id", ids_text("token_ids").alias("encoded"), F.size("token_ids").alias("n_tokens"))
+    return enc.select("doc_id", ids_text("token_ids").alias("encoded"), F.size("token_ids").cast("bigint").alias("n_tokens"))
 
 
 @query("pad_truncate", f"WITH {SEQ} SELECT doc_id, array_to_string(ids, ' ') AS padded, len(ids) AS length FROM padded")
 def _pad(spark, sf):
     return test_padded(spark, sf).select("doc_id", ids_text("padded").alias("padded"),
-                                         F.size("padded").alias("length"))
+                                         F.size("padded").cast("bigint").alias("length"))
 
 
 @query("pad_to_longest", f"""WITH {SEQ},
@@ -85,7 +85,7 @@ SELECT doc_id, batch_id, array_to_string(list_concat(ids, list_transform(range(l
 def _pad_longest(spark, sf):
     batched = split.assign_batches(test_encoded(spark, sf), 8, key_col="doc_id")
     out = vocab.pad_to_longest(batched, "token_ids", "batch_id", pad_id=0)
-    return out.select("doc_id", "batch_id", ids_text("padded").alias("padded"), F.size("padded").alias("length"))
+    return out.select("doc_id", "batch_id", ids_text("padded").alias("padded"), F.size("padded").cast("bigint").alias("length"))
 
 
 @query("decode_ids", f"""WITH {SEQ},
@@ -109,10 +109,16 @@ def bow(spark, sf):
     return text_ops.prepare_text(split_docs(spark, sf), lem=False).select("doc_id", "split", "clean_text")
 
 
+@shared
+def train_tf(spark, sf):
+    """Term counts of the train split, read by both the vocabulary fit and the weighting."""
+    return vectorize.term_frequencies(bow(spark, sf).where(F.col("split") == "train"))
+
+
 def fitted(spark, sf, max_features=5000):
     b = bow(spark, sf)
     train = b.where(F.col("split") == "train")
-    tf_train = vectorize.term_frequencies(train)
+    tf_train = train_tf(spark, sf)
     v = vectorize.fit_idf(vectorize.fit_vocabulary(tf_train, max_features), train)
     return b, tf_train, v
 

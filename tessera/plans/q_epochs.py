@@ -102,7 +102,7 @@ ex AS (SELECT {q.basic_english(q.normalize('text'))}[1:40] AS toks FROM document
 tp AS (SELECT unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM ex),
 sc AS (SELECT el.run, el.epoch, tp.pos, tp.token, length(tp.token) * el.val_acc AS s FROM el, tp),
 mx AS (SELECT *, max(s) OVER (PARTITION BY run, epoch) AS m FROM sc)
-SELECT run, epoch + 1 AS epoch_display, pos, token,
+SELECT run, epoch + 1 AS epoch_display, CAST(pos AS INTEGER) AS pos, token,
        round(exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY run, epoch), 6) AS weight FROM mx""")
 def _e6(spark, sf):
     return rounded(E.attention_evolution(traces(spark, sf)))
