@@ -26,8 +26,11 @@ def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
     input with many splits is left untouched, so at scale this adds no shuffle.
     Counting partitions only plans the scan; it runs no job.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= slots:
+            return df
+    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the scan as is
         return df
     return df.repartition(slots, key) if key else df.repartition(slots)
 
