@@ -70,7 +70,7 @@ def _a7(spark, sf):
     files.sink_metrics(M.run_summary(M.summary_metrics(preds(spark, sf))), root)
     schema = ("`Model` STRING, `Accuracy` DOUBLE, `Macro-F1` DOUBLE, `Precision` DOUBLE, `Recall` DOUBLE, "
               "`Top-3 Accuracy` DOUBLE, `Avg Attention Entropy` STRING, `Loss` DOUBLE, `Test Type` STRING")
-    return files._csv_reader(spark, schema).csv(f"{root}/csv")
+    return files.csv_reader(spark, schema).csv(f"{root}/csv")
 
 
 @query("sink_splits", f"WITH {SPLITS} SELECT doc_id, label, split FROM splits")
@@ -117,10 +117,11 @@ def _a5(spark, sf):
     return files.scan_vectors(spark, root, dim=64)
 
 
-@query("sweep_curves")
+@query("sweep_curves", f"""WITH {BATCH}
+SELECT run AS vectorizer, phase AS hidden, epoch, round(loss, 6) AS loss, upper(run) || ' - ' || phase AS curve FROM em""")
 def _e7(spark, sf):
     root = scratch_path(spark, "sweep")
     hist = means(spark, sf).select(F.col("run").alias("vectorizer"), F.col("phase").alias("hidden"), "epoch", "loss")
     files.sink_history(hist, root)
     back = files.scan_nested_runs(spark, root, "*.csv", "epoch INT, loss DOUBLE", ("vectorizer", "hidden"))
-    return E.sweep_curves(back)
+    return rounded(E.sweep_curves(back))

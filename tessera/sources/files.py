@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 DOC_SCHEMA = T.StructType([T.StructField("abstract", T.StringType()), T.StructField("label", T.StringType())])
 
 
-def _csv_reader(spark: SparkSession, schema: T.StructType | str | None):
+def csv_reader(spark: SparkSession, schema: T.StructType | str | None):
+    """CSV reader matching ``write_csv``: header, multi-line quoted fields, explicit schema."""
     r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
          .option("mode", "FAILFAST"))
     return r.schema(schema) if schema is not None else r.option("inferSchema", True)
@@ -27,7 +28,7 @@ def scan_documents(spark: SparkSession, path: str, schema: T.StructType | str =
 
     Without a ``doc_id`` column, a unique 64-bit id is assigned during the scan (no shuffle).
     """
-    df = _csv_reader(spark, schema).csv(path).withColumnsRenamed({text_col: "text", label_col: "label"})
+    df = csv_reader(spark, schema).csv(path).withColumnsRenamed({text_col: "text", label_col: "label"})
     if "doc_id" in df.columns:
         return df
     return df.withColumn("doc_id", F.monotonically_increasing_id())
@@ -56,13 +57,13 @@ def scan_runs(spark: SparkSession, root: str, file_glob: str = "metrics.csv",
     Directory names such as ``(100, 50)`` and CRLF line ends are fine; a run
     directory without the file simply contributes no rows (see A10).
     """
-    df = _csv_reader(spark, schema).csv(f"{root.rstrip('/')}/*/{file_glob}")
+    df = csv_reader(spark, schema).csv(f"{root.rstrip('/')}/*/{file_glob}")
     return df.select(parent_dir().alias(tag), *df.columns)
 
 
 def scan_nested_runs(spark: SparkSession, root: str, file_name: str, schema, tags: tuple[str, str]) -> DataFrame:
     """A2 for two-level layouts ``root/<a>/<b>/<file>`` (e.g. vectorizer/layers/loss.csv)."""
-    df = _csv_reader(spark, schema).csv(f"{root.rstrip('/')}/*/*/{file_name}")
+    df = csv_reader(spark, schema).csv(f"{root.rstrip('/')}/*/*/{file_name}")
     p = F.url_decode(F.col("_metadata.file_path"))
     return df.select(
         F.regexp_replace(F.regexp_extract(p, r"([^/]+)/[^/]+/[^/]+$", 1), r"^[^=/]+=", "").alias(tags[0]),

@@ -30,7 +30,7 @@ def test_metrics_csv_and_artifacts_round_trip(spark):
     root = tempfile.mkdtemp(prefix="tessera-sink-")
     df = spark.createDataFrame([("m1", 0.5, "N/A"), ("m2", 0.25, "1.5")], "Model string, `Macro-F1` double, Entropy string")
     files.sink_metrics(df, root)
-    back = files._csv_reader(spark, "Model STRING, `Macro-F1` DOUBLE, Entropy STRING").csv(f"{root}/csv")
+    back = files.csv_reader(spark, "Model STRING, `Macro-F1` DOUBLE, Entropy STRING").csv(f"{root}/csv")
     assert sorted(map(tuple, back.collect())) == [("m1", 0.5, "N/A"), ("m2", 0.25, "1.5")]
     assert spark.read.json(f"{root}/json").count() == 2
     files.save_artifacts({"labels": df.select("Model")}, root + "/art")
