@@ -7,9 +7,12 @@ number rows inside each partition with ``monotonically_increasing_id`` (its low
 with one row per partition), turn the counts into start offsets and add them
 back with a broadcast join whose size is bounded by the partition count.
 
-The order key must be unique so the numbering is deterministic: both branches
-read the same range exchange (Spark reuses it), and a recomputed partition
-after an executor loss sorts into the same order.
+The order key must be unique.  The numbered rows are materialised with a
+reliable checkpoint before they are counted, so the counts and the rows they
+offset come from one execution: a second run of the range exchange could
+sample different bounds (its input order after a shuffle is not fixed) and
+Spark does not guarantee to reuse the first one.  The checkpoint also means an
+executor loss re-reads the numbering instead of recomputing it.
 """
 
 from __future__ import annotations
@@ -17,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -30,6 +35,7 @@ def with_global_index(df: DataFrame, order: list[Column], name: str = "idx",
         "_pid": F.shiftright(F.col("_mid"), 33),
         "_local": F.col("_mid").bitwiseAND(F.lit(_LOW33)),
     })
+    tagged = materialize(tagged)
     counts = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     # one row per partition: a global window here is over at most n rows
     offsets = counts.select(
