@@ -52,3 +52,21 @@ def test_global_index_is_consecutive(spark):
     idx = with_global_index(df, [F.col("k")], "i", num_partitions=7)
     rows = idx.orderBy("k").select("i").collect()
     assert [r["i"] for r in rows] == list(range(5000))
+
+
+def test_global_index_after_shuffle_is_a_permutation(spark):
+    # input order inside partitions is not fixed after a shuffle
+    df = (spark.range(0, 20000).withColumn("g", F.col("id") % 997).groupBy("g")
+          .agg(F.count(F.lit(1)).alias("c"), F.max("id").alias("m")))
+    idx = with_global_index(df, [F.col("c").desc(), F.col("g")], "i", num_partitions=5)
+    got = [r["i"] for r in idx.orderBy(F.col("c").desc(), "g").collect()]
+    assert got == list(range(997))
+
+
+def test_balanced_spreads_single_split_scans(spark):
+    from tessera.sources.tables import balanced, read_table
+
+    d = read_table(spark, "/root/testdata/sf0.001", "documents")
+    assert d.rdd.getNumPartitions() >= min(spark.sparkContext.defaultParallelism, 2)
+    big = spark.range(0, 10, numPartitions=spark.sparkContext.defaultParallelism)
+    assert balanced(big) is big  # enough splits already: no extra shuffle
