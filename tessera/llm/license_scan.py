@@ -11,11 +11,11 @@ frequent lines cost what they cost alone.
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Fixed phrases whose places are counted, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -158,15 +158,20 @@ def rules() -> list[tuple[int, str, int, str, str]]:
     return rows
 
 
-WORD_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: ASCII that is neither a letter nor a digit.
+GAPS = "".join(c for c in map(chr, range(128)) if not c.isalnum())
 
 
-def normalized(text: str | Column) -> Column:
-    """The lower-cased words of a text, each with a space before it and one behind the last; '' without words."""
-    c = F.col(text) if isinstance(text, str) else text
-    lower = F.translate(F.coalesce(c, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    words = F.trim(F.regexp_replace(lower, WORD_GAP, " "))
-    return F.when(words == "", F.lit("")).otherwise(F.concat(F.lit(" "), words, F.lit(" ")))
+def normalized(docs: DataFrame) -> DataFrame:
+    """``doc_id, _norm``: the lower-cased words of a text, a single space before each and behind the last; one space
+    if there are none."""
+    plain = F.concat(F.lit(" "), F.translate(F.coalesce("text", F.lit("")), UPPER + GAPS, LOWER + " " * len(GAPS)), F.lit(" "))
+    docs = docs.select("doc_id", plain.alias("_plain"))
+    for _ in range(2):  # most runs of spaces have two or three
+        docs = docs.select("doc_id", F.replace("_plain", F.lit("  "), F.lit(" ")).alias("_plain"))
+    longer = F.col("_plain").contains("  ")
+    return docs.select("doc_id", F.when(longer, F.regexp_replace("_plain", " +", " ")).otherwise(F.col("_plain")).alias("_norm"))
 
 
 def _spaces(c: Column) -> Column:
@@ -196,30 +201,30 @@ def _contains_any(norm: Column, gates: list[str]) -> Column:
 
 
 def _gates() -> list[str]:
-    """The rules' gates, without those that hold another one."""
-    gates = sorted({r[3] for r in rules()}, key=len)
+    """Strings of which each text with a rule's gate holds one: the gates, shortened where many share a stem."""
+    stems = ("licen", "gnu ", "gpl", "bsd", "apache", "creative commons", "cc by", "public domain", "permission")
+    gates = sorted({next((x for x in stems if x in r[3]), r[3]) for r in rules()}, key=len)
     return [g for i, g in enumerate(gates) if not any(h in g for h in gates[:i])]
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, base, kept``: word count, places of the fixed phrases and detections that are not
     suppressed, both as arrays of ``label, tier, first, last`` (words from 0)."""
-    one = docs.select("doc_id", normalized("text").alias("_norm"))
+    one = normalized(docs)
     norm = F.col("_norm")
     one = one.withColumn("n_words", F.greatest(_spaces(norm) - 1, F.lit(0)).cast("long"))
-    kind = T.ArrayType(T.StructType([T.StructField("order", T.IntegerType(), False), T.StructField("label", T.StringType(), False),
-                                     T.StructField("tier", T.IntegerType(), False), T.StructField("gate", T.StringType(), False),
-                                     T.StructField("expression", T.StringType(), False)]), False)
+    kind = "array<struct<order:int,label:string,tier:int,gate:string,expression:string>>"
 
-    def table(rows):
-        return F.array(*[F.struct(F.lit(a).alias("order"), F.lit(b).alias("label"), F.lit(c).alias("tier"), F.lit(d).alias("gate"),
-                                  F.lit(e).alias("expression")) for a, b, c, d, e in rows]).cast(kind)
+    def table(rows):  # a constant that the optimizer folds
+        names = ("order", "label", "tier", "gate", "expression")
+        return F.from_json(F.lit(json.dumps([dict(zip(names, r)) for r in rows])), kind)
 
     def detect(rows):
-        hit = F.filter(table(rows), lambda r: norm.contains(r["gate"]))
-        return F.flatten(F.transform(hit, lambda r: F.transform(
+        gates = F.from_json(F.lit(json.dumps(sorted({r[3] for r in rows}))), "array<string>")
+        there = F.filter(gates, lambda g: norm.contains(g))
+        return F.flatten(F.transform(there, lambda g: F.flatten(F.transform(F.filter(table(rows), lambda r: r["gate"] == g), lambda r: F.transform(
             _intervals(norm, r["expression"]),
-            lambda x: F.struct(r["order"].alias("order"), r["label"].alias("label"), r["tier"].alias("tier"), x["first"].alias("first"), x["last"].alias("last")))))
+            lambda x: F.struct(r["order"].alias("order"), r["label"].alias("label"), r["tier"].alias("tier"), x["first"].alias("first"), x["last"].alias("last")))))))
 
     # a phrase may overlap itself only by its ending, which these do not; so matches are all places
     phrases = [(i, label, 0, f" {phrase} ", f" {phrase}(?= )") for i, (phrase, label) in enumerate(PHRASES.items())]
