@@ -1,32 +1,33 @@
 """Helpers shared by the training-data operators: inputs, written intermediates, skew-safe joins, components.
 
-Documents are identified by ``(doc_id, _h)`` with ``_h = xxhash64(text)``: rows that repeat both the id and the
-text are one document and get the same result; rows that share an id but not the text stay apart.  A null text
+Documents are identified by ``KEY``: the id (null as the smallest long) and a hash of the text.  Rows that repeat
+both are one document and get the same result; rows that share an id but not the text stay apart.  A null text
 counts as empty unless an operator says otherwise; a null ``doc_id`` is a value like any other and sorts first.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.session import scratch_path
 
 #: A key is hot when it holds more than one row in HOT_SHARE; so at most HOT_SHARE keys can be hot.
 HOT_SHARE = 1000
+KEY = ["_id", "_h"]
+NULL_ID = -(1 << 63)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def keyed(docs: DataFrame, *more: str) -> DataFrame:
-    """``doc_id, _h, text`` and the named columns; whatever else the table holds is left behind."""
-    return docs.select("doc_id", F.xxhash64("text").alias("_h"), "text", *more)
+def with_key(docs: DataFrame) -> DataFrame:
+    """``docs`` and its KEY columns, which are never null and so join by plain equality."""
+    return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64("text")})
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -36,16 +37,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, kernel: Callable, schema: str | T.StructType) -> DataFrame:
-    """``df.mapInArrow`` where ``kernel(batches)`` yields record batches; batches are cut by Spark's byte limit."""
-    return df.mapInArrow(kernel, schema)
-
-
-def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    """The batch's texts; null as empty."""
-    return [t or "" for t in batch.column(batch.schema.get_field_index(column)).to_pylist()]
-
-
 def slices(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of about ``max_bytes`` at most, but one row at least."""
     for batch in batches:
@@ -57,23 +48,6 @@ def slices(batches: Iterator[pa.RecordBatch], max_bytes: int) -> Iterator[pa.Rec
             yield batch.slice(at, step)
 
 
-def null_safe(left: DataFrame, right: DataFrame, keys: list[str]):
-    """Join condition on equal keys where null equals null."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
-def join_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """Join on equal keys (null equals null); the key columns come from ``left``."""
-    renamed = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(k).eqNullSafe(F.col(f"_r_{k}"))
-    return left.join(renamed, cond, how).drop(*[f"_r_{k}" for k in keys])
-
-
 def join_counted(left: DataFrame, right: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """Inner join of ``left`` with ``right``, which has one row per ``key`` and its row count in ``left`` as ``n``.
 

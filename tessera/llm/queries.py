@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, license_scan, quality, token_store
+from . import byte_bpe, language_id, license_scan, quality, simhash, token_store
 from .common import table
 from tessera.session import scratch_path
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digests(simhash.classes(table(spark, sf_dir, "documents"), shingle=4, radius=4))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digests(license_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -35,5 +39,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_license_scan, op4_language_id, op7_token_store, op8_byte_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op4_language_id, op7_token_store, op8_byte_bpe, op10_quality)}
 ORACLES = {"op2_license_scan": license_scan.oracle_sql()}
