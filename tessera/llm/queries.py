@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, license_scan, quality, simhash, token_store
+from . import byte_bpe, language_id, license_scan, line_dedup, quality, simhash, token_store
 from .common import table
 from tessera.session import scratch_path
 
@@ -21,6 +21,10 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digests(line_dedup.dedup(table(spark, sf_dir, "documents")))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     docs = table(spark, sf_dir, "documents")
@@ -39,5 +43,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op4_language_id, op7_token_store, op8_byte_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op4_language_id, op5_line_dedup, op7_token_store, op8_byte_bpe, op10_quality)}
 ORACLES = {"op2_license_scan": license_scan.oracle_sql()}
