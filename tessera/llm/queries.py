@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language_id, license_scan, line_dedup, quality, simhash, token_store
+from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality, simhash, token_store
 from .common import table
 from tessera.session import scratch_path
 
@@ -17,6 +17,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digests(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
@@ -43,5 +47,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op4_language_id, op5_line_dedup, op7_token_store, op8_byte_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_decontaminate, op4_language_id, op5_line_dedup, op7_token_store, op8_byte_bpe, op10_quality)}
 ORACLES = {"op2_license_scan": license_scan.oracle_sql()}
