@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality, simhash, token_store
+from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality, simhash, suffix_dedup, token_store
 from .common import table
 from tessera.session import scratch_path
 
@@ -43,9 +43,13 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(byte_bpe.decode(encoded, path))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=200))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_decontaminate, op4_language_id, op5_line_dedup, op7_token_store, op8_byte_bpe, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_decontaminate, op4_language_id, op5_line_dedup, op7_token_store, op8_byte_bpe, op9_suffix_dedup, op10_quality)}
 ORACLES = {"op2_license_scan": license_scan.oracle_sql()}
