@@ -16,6 +16,7 @@ null and empty texts have the end id alone.
 from __future__ import annotations
 
 import functools
+import os
 import struct
 import uuid
 import zlib
@@ -35,8 +36,9 @@ from .common import slices
 FRAME_TOKENS = 1 << 18  #: a frame is closed when it holds that many ids
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  #: fixed values of the seekable layout
 NULL_ID = -(1 << 63)
-BLOCK_BYTES = 16 << 20
-CACHE_WORDS = 500_000
+BLOCK_BYTES = 4 << 20
+CACHE_WORDS = 200_000
+WORDS_AT_ONCE = 2000
 
 
 # -- tokens ---------------------------------------------------------------------------------------------------------
@@ -47,6 +49,7 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, end_id: int, cache: int = CACHE_WORDS):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
@@ -67,8 +70,8 @@ class WordEncoder:
         for w in words:
             new.update(w)
         new = sorted(w for w in new if w not in self.code)
-        found = self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else []
-        lists = [e.ids for e in found]
+        lists = [e.ids for at in range(0, len(new), WORDS_AT_ONCE)  # the library's results are large
+                 for e in self.tokenizer.encode_batch_fast(new[at:at + WORDS_AT_ONCE], add_special_tokens=False)]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
         self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(counts.sum()))])
