@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-BLOCK_BYTES = 8 << 20  #: text encoded at once
-CACHE_WORDS = 300_000  #: words and pieces whose ids a worker keeps between blocks
+BLOCK_BYTES = 4 << 20  #: text encoded at once
+CACHE_WORDS = 200_000  #: words and pieces whose ids a worker keeps between blocks
 
 
 class Ranks:
