@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, quality, simhash, suffix_dedup, token_store
+from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, pii, quality, simhash, suffix_dedup, token_store
 from .common import table
 from tessera.session import scratch_path
 
@@ -29,6 +29,14 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digests(line_dedup.dedup(table(spark, sf_dir, "documents")))
 
 
+#: The key makes surrogates reproducible; a deployment passes its own secret to pii.replace().
+SURROGATE_KEY = b"registered query"
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(pii.replace(table(spark, sf_dir, "documents"), SURROGATE_KEY))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     docs = table(spark, sf_dir, "documents")
@@ -51,5 +59,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_decontaminate, op4_language_id, op5_line_dedup, op7_token_store, op8_byte_bpe, op9_suffix_dedup, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_decontaminate, op4_language_id, op5_line_dedup, op6_pii, op7_token_store, op8_byte_bpe, op9_suffix_dedup, op10_quality)}
 ORACLES = {"op2_license_scan": license_scan.oracle_sql()}
