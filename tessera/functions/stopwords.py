@@ -3,17 +3,12 @@
 The NLTK English list is stated here as fixed values because the bag-of-words
 cleaning (T3/T5) must drop exactly these words. Larger lists (the 318-word
 scikit-learn list used for corpus profiling) are not transcribed: profiling
-takes its stop list as a parameter, defaulting to the English list that ships
-inside Spark's own ML jar.
+takes its stop list as a parameter, defaulting to Spark's own English list.
+Nothing is read from the installation.
 """
 
 from __future__ import annotations
 
-import functools
-import glob
-import os
-import zipfile
-
 # --- fixed values: NLTK English stop words (179 entries, in NLTK's order) ---
 NLTK_ENGLISH_STOPWORDS = (
     "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "you're",
@@ -41,27 +36,28 @@ NLTK_ENGLISH_STOPWORDS = (
 PROFILE_EXTRA_STOPWORDS = ("et", "al", "fig", "figure", "table")
 
 
-@functools.lru_cache(maxsize=None)
-def spark_default_stopwords(language: str = "english") -> tuple[str, ...]:
-    """Spark ML's bundled stop list, read from the installed mllib jar.
-
-    Same list as ``StopWordsRemover.loadDefaultStopWords`` but without needing a
-    running JVM (the SQL oracle builder uses it too).
-    """
-    import pyspark
-
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    for jar in jars:
-        with zipfile.ZipFile(jar) as z:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            if name in z.namelist():
-                return tuple(w for w in z.read(name).decode("utf-8").split("\n") if w)
-    raise FileNotFoundError(f"no bundled stop list for {language!r}")
+# --- fixed values: the English stop words of Spark ML's StopWordsRemover (181 entries, in its order) ---
+SPARK_ENGLISH_STOPWORDS = (
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself",
+    "yourselves", "he", "him", "his", "himself", "she", "her", "hers", "herself", "it", "its",
+    "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom",
+    "this", "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being",
+    "have", "has", "had", "having", "do", "does", "did", "doing", "a", "an", "the", "and", "but",
+    "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about",
+    "against", "between", "into", "through", "during", "before", "after", "above", "below", "to",
+    "from", "up", "down", "in", "out", "on", "off", "over", "under", "again", "further", "then",
+    "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few",
+    "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so",
+    "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now", "i'll",
+    "you'll", "he'll", "she'll", "we'll", "they'll", "i'd", "you'd", "he'd", "she'd", "we'd",
+    "they'd", "i'm", "you're", "he's", "she's", "it's", "we're", "they're", "i've", "we've",
+    "you've", "they've", "isn't", "aren't", "wasn't", "weren't", "haven't", "hasn't", "hadn't",
+    "don't", "doesn't", "didn't", "won't", "wouldn't", "shan't", "shouldn't", "mustn't", "can't",
+    "couldn't", "cannot", "could", "here's", "how's", "let's", "ought", "that's", "there's",
+    "what's", "when's", "where's", "who's", "why's", "would",
+)
 
 
-def profile_stopwords(base: tuple[str, ...] | None = None) -> tuple[str, ...]:
+def profile_stopwords(base: tuple[str, ...] = SPARK_ENGLISH_STOPWORDS) -> tuple[str, ...]:
     """Stop set of the corpus profiler: ``base`` (default: Spark's English list) plus extras."""
-    base = spark_default_stopwords("english") if base is None else tuple(base)
-    seen = dict.fromkeys(base)
-    seen.update(dict.fromkeys(PROFILE_EXTRA_STOPWORDS))
-    return tuple(seen)
+    return tuple(dict.fromkeys((*base, *PROFILE_EXTRA_STOPWORDS)))

@@ -32,12 +32,11 @@ def embedding_join(vocab: DataFrame, vectors: DataFrame, dim: int, scale: float
                    seed: int = 42) -> DataFrame:
     """Per vocabulary token its pretrained vector, else a seeded N(0, scale^2) vector.
 
-    Lookup is case-insensitive (the vector table is keyed by lower-cased token).
-    Specials are treated like any other token (the pad row is not zeroed).
+    A token is found if the vector table holds exactly that token; of repeated lines of a token the smallest vector
+    counts, so that reruns agree.  Specials are treated like any other token (the pad row is not zeroed).
     """
-    vec = vectors.select(F.lower("token").alias("_k"), F.col("vector").cast("array<double>").alias("_v")) \
-        .dropDuplicates(["_k"])
-    j = vocab.select("token_id", "token").join(vec, F.lower(vocab["token"]) == vec["_k"], "left")
+    vec = vectors.groupBy(F.col("token").alias("_k")).agg(F.min(F.col("vector").cast("array<double>")).alias("_v"))
+    j = vocab.select("token_id", "token").join(vec, vocab["token"] == vec["_k"], "left")
     return j.select("token_id", "token", F.col("_v").isNotNull().alias("found"),
                     F.coalesce("_v", gaussian_vector(F.col("token"), dim, scale, seed)).alias("vector"))
 

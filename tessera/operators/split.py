@@ -46,39 +46,41 @@ def class_quotas(counts: DataFrame, label_col: str = "label", count_col: str = "
     ).withColumn("test_quota", F.col(count_col) - F.col("train_quota"))
 
 
-def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "doc_id",
-                     test_pct: int = 20, seed: int = 42, bucket_hex: int = 4,
-                     out_col: str = "split") -> DataFrame:
-    """Exact stratified train/test split.
-
-    Within each class rows are taken in md5(seed:key) order; the first
-    ``train_quota`` go to train.  Instead of ranking a whole class in one task
-    (a class may hold a third of all rows), rows are bucketed by the first
-    ``bucket_hex`` hex digits of their hash: whole buckets below the quota go
-    to train, whole buckets above to test, and only the single boundary bucket
-    per class (~1/16**bucket_hex of it) is ranked row by row.
+def split_thresholds(df: DataFrame, label_col: str = "label", key_col: str = "doc_id",
+                     test_pct: int = 20, seed: int = 42, bucket_hex: int = 4) -> DataFrame:
+    """``(label, _th, _tk)``: per class the hash and key of its last train row in md5(seed:key) order.
+
+    Rows are counted by class and the first ``bucket_hex`` hex digits of their hash; the running count tells in which
+    bucket a class's quota ends, and only that bucket's rows (about 1/16**bucket_hex of the class) are ranked.
+    Reads label and key alone.  A class without train rows has no threshold.
     """
-    keyed = df.withColumns({"_h": seeded_hash(key_col, seed)}).withColumn(
-        "_b", F.substring("_h", 1, bucket_hex))
+    keyed = df.select(label_col, F.col(key_col).alias("_k"), seeded_hash(key_col, seed).alias("_h")) \
+        .withColumn("_b", F.substring("_h", 1, bucket_hex))
     buckets = keyed.groupBy(label_col, "_b").agg(F.count(F.lit(1)).alias("_cnt"))
     counts = buckets.groupBy(label_col).agg(F.sum("_cnt").alias("n_label"))
-    quotas = class_quotas(counts, label_col, "n_label", test_pct)
+    quotas = class_quotas(counts, label_col, "n_label", test_pct).select(label_col, "train_quota")
     w = Window.partitionBy(label_col).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    state = (
-        buckets.join(quotas.select(label_col, "train_quota"), label_col)
-        .withColumn("_before", F.coalesce(F.sum("_cnt").over(w), F.lit(0)))
-        .select(label_col, "_b", "_cnt",
-                F.least(F.greatest(F.col("train_quota") - F.col("_before"), F.lit(0)), F.col("_cnt"))
-                .alias("_take"))
-    )
-    rows = keyed.join(state, [label_col, "_b"])
-    whole = rows.where((F.col("_take") == 0) | (F.col("_take") == F.col("_cnt"))).withColumn(
-        out_col, F.when(F.col("_take") > 0, F.lit("train")).otherwise(F.lit("test")))
-    edge_w = Window.partitionBy(label_col, "_b").orderBy("_h")
-    edge = rows.where((F.col("_take") > 0) & (F.col("_take") < F.col("_cnt"))).withColumn(
-        out_col, F.when(F.row_number().over(edge_w) <= F.col("_take"), F.lit("train"))
-        .otherwise(F.lit("test")))
-    return whole.unionByName(edge).drop("_h", "_b", "_cnt", "_take")
+    need = F.col("train_quota") - F.coalesce(F.sum("_cnt").over(w), F.lit(0))
+    edge = buckets.join(F.broadcast(quotas), label_col).withColumn("_need", need) \
+        .where("_need > 0 and _need <= _cnt").select(label_col, "_b", "_need")
+    ranked = keyed.join(F.broadcast(edge), [label_col, "_b"]) \
+        .withColumn("_rn", F.row_number().over(Window.partitionBy(label_col).orderBy("_h", "_k")))
+    return ranked.where("_rn = _need").select(label_col, F.col("_h").alias("_th"), F.col("_k").alias("_tk"))
+
+
+def stratified_split(df: DataFrame, label_col: str = "label", key_col: str = "doc_id",
+                     test_pct: int = 20, seed: int = 42, bucket_hex: int = 4,
+                     out_col: str = "split") -> DataFrame:
+    """Exact stratified train/test split, decided in the scan.
+
+    Within each class the first ``train_quota`` rows in (md5(seed:key), key) order go to train.  What is broadcast has
+    one row per class, so no text moves.  Rows that repeat a key go to the same side; a null label is no class and
+    its rows go to test.
+    """
+    edges = split_thresholds(df, label_col, key_col, test_pct, seed, bucket_hex).withColumnRenamed(label_col, "_label")
+    j = df.withColumn("_h", seeded_hash(key_col, seed)).join(F.broadcast(edges), F.col(label_col) == F.col("_label"), "left")
+    train = (F.col("_h") < F.col("_th")) | ((F.col("_h") == F.col("_th")) & (F.col(key_col) <= F.col("_tk")))
+    return j.withColumn(out_col, F.when(train, F.lit("train")).otherwise(F.lit("test"))).drop("_h", "_label", "_th", "_tk")
 
 
 def sample_n(df: DataFrame, n: int = 100, key_col: str = "doc_id", seed: int = 42) -> DataFrame:

@@ -1,7 +1,7 @@
 """Registered queries: word vectors (C7-C10), attention pooling (N1-N4), attention metrics.
 
 Pipeline: train vocabulary (C1) -> pretrained vectors (fixture: vocabulary
-tokens of plain ASCII letters take the ``embeddings`` row ``token_id mod 500``;
+tokens of plain ASCII letters take the ``embeddings`` row ``token_id mod <rows of the table>``;
 all other tokens are out of vocabulary) -> C7 table -> padded test sequences
 (C3) embedded per position (C10) -> pooled per document (N1-N3).
 """
@@ -17,7 +17,6 @@ from .q_encode import SEQ, test_padded, train_vocab
 from .registry import query, rounded, shared
 
 DIM = 64
-VEC_ROWS = 500
 # --- scorer parameters, generated by fixed rules
 W_LIN = [((i % 7) - 3) / 10 for i in range(DIM)]
 B_LIN = 0.1
@@ -31,7 +30,7 @@ def pretrained_vectors(spark, sf, vocab=None):
     vocab = train_vocab(spark, sf) if vocab is None else vocab
     emb = read_table(spark, sf, "embeddings").select("vec_id", "embedding")
     v = vocab.where(F.col("token").rlike("^[a-z]+$"))
-    return v.join(emb, F.pmod(v["token_id"], F.lit(VEC_ROWS)) == emb["vec_id"]) \
+    return v.join(emb, F.pmod(v["token_id"], F.lit(emb.count())) == emb["vec_id"]) \
         .select("token", F.col("embedding").alias("vector"))
 
 
@@ -68,11 +67,11 @@ def _normal_sql(key: str, scale: str) -> str:
 
 
 EMB = SEQ + f""",
-pv AS (SELECT v.token, e.embedding::DOUBLE[] AS vector FROM vocab v JOIN embeddings e ON e.vec_id = v.token_id % {VEC_ROWS}
+pv AS (SELECT v.token, e.embedding::DOUBLE[] AS vector FROM vocab v JOIN embeddings e ON e.vec_id = v.token_id % (SELECT count(*) FROM embeddings)
        WHERE regexp_full_match(v.token, '[a-z]+')),
 emb AS (SELECT v.token_id, v.token, pv.vector IS NOT NULL AS found,
                coalesce(pv.vector, {_normal_sql('v.token', '0.6')}) AS vector
-        FROM vocab v LEFT JOIN pv ON lower(v.token) = pv.token),
+        FROM vocab v LEFT JOIN pv ON v.token = pv.token),
 sp AS (SELECT doc_id, unnest(range(len(ids))) AS pos, unnest(ids) AS token_id FROM padded),
 sv AS (SELECT sp.doc_id, sp.pos, sp.token_id, e.vector FROM sp JOIN emb e USING (token_id))"""
 
@@ -93,7 +92,7 @@ LIN_SQL = _pool_sql(f"list_dot_product(vector, {_lit(W_LIN)}) + {B_LIN}")
 MLP_HIDDEN = ", ".join(f"tanh(list_dot_product(vector, {_lit(row)}) + {bj})" for row, bj in zip(W1, B1))
 MLP_SQL = _pool_sql(f"list_dot_product([{MLP_HIDDEN}], {_lit(W2)}) + {B2}")
 DOT_SQL = EMB + f""",
-q AS (SELECT doc_id, arg_max(vector, CASE WHEN token_id <> 1 THEN pos ELSE pos - 100000 END) AS qv FROM sv GROUP BY doc_id),
+q AS (SELECT doc_id, arg_max(vector, pos) AS qv FROM sv GROUP BY doc_id),
 sc AS (SELECT sv.doc_id, sv.pos, sv.vector, list_dot_product(sv.vector, q.qv) AS score FROM sv JOIN q USING (doc_id)),
 mx AS (SELECT *, max(score) OVER (PARTITION BY doc_id) AS m FROM sc),
 wt AS (SELECT *, exp(score - m) / sum(exp(score - m)) OVER (PARTITION BY doc_id) AS weight FROM mx),

@@ -24,7 +24,6 @@ def docs(spark, sf):
     return labelled_documents(spark, sf)
 
 
-@shared
 def split_docs(spark, sf):
     return split.stratified_split(docs(spark, sf))
 

@@ -101,27 +101,26 @@ def _a10(spark, sf):
 @query("scan_attention_trace", f"""WITH {BATCH},
 ex AS (SELECT {q.basic_english(q.normalize('text'))}[1:40] AS toks FROM documents ORDER BY doc_id LIMIT 1),
 tp AS (SELECT unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM ex),
-sc AS (SELECT el.epoch, tp.pos, tp.token, length(tp.token) * el.val_acc AS s FROM el, tp WHERE el.run = 'click'),
-mx AS (SELECT *, max(s) OVER (PARTITION BY epoch) AS m FROM sc)
-SELECT epoch AS file_epoch, CAST(pos AS INTEGER) AS pos, token,
-       round(exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY epoch), 6) AS weight FROM mx""")
+sc AS (SELECT el.run, el.epoch, tp.pos, tp.token, length(tp.token) * el.val_acc AS s FROM el, tp),
+mx AS (SELECT *, max(s) OVER (PARTITION BY run, epoch) AS m FROM sc)
+SELECT run, epoch AS file_epoch, CAST(pos AS INTEGER) AS pos, token,
+       round(exp(s - m) / sum(exp(s - m)) OVER (PARTITION BY run, epoch), 6) AS weight FROM mx""")
 def _a4(spark, sf):
     from .q_epochs import traces
 
     root = scratch_path(spark, "traces")
-    t = traces(spark, sf).where(F.col("run") == F.lit("click"))  # one run's trace folder
-    t.withColumn("f", F.concat(F.lit("epoch_"), F.col("epoch").cast("string"))) \
-        .write.partitionBy("f").mode("overwrite").json(root)
-    back = files.scan_attention_trace(spark, root, pattern="*/*.json")
+    t = traces(spark, sf).withColumn("f", F.concat(F.lit("epoch_"), F.col("epoch").cast("string")))
+    t.write.partitionBy("run", "f").mode("overwrite").json(root)
+    back = files.scan_attention_trace(spark, root, pattern="*/*/*.json", tag="run")
     # long form of what was read: one row per (trace file, position)
-    return rounded(back.select("file_epoch", F.posexplode(F.arrays_zip(
+    return rounded(back.select("run", "file_epoch", F.posexplode(F.arrays_zip(
         F.col("tokens").alias("token"), F.col("attention_weights").alias("weight"))).alias("pos", "z"))
-        .select("file_epoch", "pos", F.col("z.token").alias("token"), F.col("z.weight").alias("weight")))
+        .select("run", "file_epoch", "pos", F.col("z.token").alias("token"), F.col("z.weight").alias("weight")))
 
 
 @query("scan_vectors", f"""WITH {SEQ}
 SELECT v.token, CAST(len(e.embedding) AS INTEGER) AS n_dims, round(list_sum(e.embedding::DOUBLE[]), 6) AS vsum
-FROM vocab v JOIN embeddings e ON e.vec_id = v.token_id % 500 WHERE regexp_full_match(v.token, '[a-z]+')""")
+FROM vocab v JOIN embeddings e ON e.vec_id = v.token_id % (SELECT count(*) FROM embeddings) WHERE regexp_full_match(v.token, '[a-z]+')""")
 def _a5(spark, sf):
     from ..functions.arrays import array_sum
     from .q_attention import pretrained_vectors

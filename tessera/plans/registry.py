@@ -4,18 +4,20 @@ from __future__ import annotations
 
 import functools
 from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import materialize
+
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, QueryFn] = {}
 ORACLES: dict[str, str] = {}
-_SHARED: dict[tuple, DataFrame] = {}
-
-from ..session import materialize  # noqa: E402
+#: Intermediates of the query that is being built; each call has its own, also in another thread.
+_SHARED: ContextVar[dict[tuple, DataFrame] | None] = ContextVar("shared", default=None)
 
 
 def shared(fn):
@@ -29,9 +31,12 @@ def shared(fn):
     @functools.wraps(fn)
     def wrapper(spark: SparkSession, sf: str, *args, **kwargs):
         key = (fn.__qualname__, id(spark), sf, args, tuple(sorted(kwargs.items())))
-        if key not in _SHARED:
-            _SHARED[key] = materialize(fn(spark, sf, *args, **kwargs))
-        return _SHARED[key]
+        found = _SHARED.get()
+        if found is None:  # not inside a query: nothing to share with
+            return fn(spark, sf, *args, **kwargs)
+        if key not in found:
+            found[key] = materialize(fn(spark, sf, *args, **kwargs))
+        return found[key]
 
     return wrapper
 
@@ -45,8 +50,11 @@ def query(name: str, oracle: str | None = None):
 
         @functools.wraps(fn)
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            _SHARED.clear()  # intermediates are shared within one query only
-            return fn(spark, sf)
+            token = _SHARED.set({})
+            try:
+                return fn(spark, sf)
+            finally:
+                _SHARED.reset(token)
 
         QUERIES[name] = run
         if oracle is not None:

@@ -34,10 +34,10 @@ def get_spark(cpus: str | int | None = None, shuffle_partitions: int | None = No
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's shared checkpoint folder.
+    """The cluster's shared folder, read from ``spark.checkpoint.dir``.
 
-    The folder is read from ``spark.checkpoint.dir``; only when it is unset
-    (local tests) do we create one of our own.
+    Unset, a local session (one machine, as in tests) gets a folder of its own; any other raises, as executors would
+    write to disks that the others do not see.
     """
     try:
         sc = spark.sparkContext
@@ -45,6 +45,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     d = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not d:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="tessera-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if sc is not None and sc.getCheckpointDir() is None:
@@ -52,10 +55,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+_SCRATCH = f"tessera-scratch/{uuid.uuid4().hex[:12]}"  # of this process
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique folder under the shared checkpoint dir for written tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/tessera-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{_SCRATCH}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Removes all tables this process has written to the scratch folder; True if there were any.
+
+    For the owner of the session, once the results of its queries are written: DataFrames that still read scratch
+    tables fail afterwards.  Checkpoints are removed by Spark's cleaner (``cleanCheckpoints``).
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/{_SCRATCH}")
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(path, True))
 
 
 def materialize(df):

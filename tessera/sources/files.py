@@ -82,7 +82,7 @@ TRACE_SCHEMA = "epoch INT, tokens ARRAY<STRING>, attention_weights ARRAY<DOUBLE>
 
 
 def scan_attention_trace(spark: SparkSession, directory: str, schema: str = TRACE_SCHEMA,
-                         pattern: str = "epoch_*.json") -> DataFrame:
+                         pattern: str = "epoch_*.json", tag: str | None = None) -> DataFrame:
     """A4: ``epoch_N.json`` traces in numeric N order (epoch_10 after epoch_9).
 
     N is read from the file (or folder) name, so ``epoch_N`` folders written by
@@ -90,22 +90,40 @@ def scan_attention_trace(spark: SparkSession, directory: str, schema: str = TRAC
     """
     df = spark.read.schema(schema).option("multiLine", True).json(f"{directory.rstrip('/')}/{pattern}")
     n = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"epoch_(\d+)(?:\.json)?(?:/[^/]*)?$", 1)
-    return df.withColumn("file_epoch", n.cast("int")).orderBy("file_epoch")
+    df = df.withColumn("file_epoch", n.cast("int"))
+    if tag is None:
+        return df.orderBy("file_epoch")
+    # traces of several runs: the folder above the epochs names the run
+    run = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/]+)/epoch_\d+(?:\.json)?(?:/[^/]*)?$", 1)
+    return df.withColumn(tag, F.regexp_replace(run, r"^[^=/]+=", "")).orderBy(tag, "file_epoch")
 
 
 def scan_vectors(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
-    """A5: whitespace-separated word vectors ``token v1 ... vd`` -> ``(token, vector ARRAY<FLOAT>)``.
+    """A5: word vectors ``token v1 ... vd`` -> ``(token, vector ARRAY<FLOAT>)``.
 
-    A FastText-style header line (two integers) is dropped wherever it occurs;
-    with ``dim`` given, lines of another width are dropped too.
+    Lines may end in white space.  A header (two integers) is dropped where a file begins with it: such a line has one
+    number behind its token, so it counts as header only if ``dim`` is not 1.  A line of another width than ``dim``
+    (without ``dim``: an empty one) or with a value that is no number raises; ``rejected_vectors`` lists such lines.
     """
-    parts = F.split(F.col("value"), " ")
-    df = spark.read.text(path).where(~F.col("value").rlike(r"^\d+ \d+\s*$")).select(
-        parts.getItem(0).alias("token"),
-        F.expr("transform(slice(split(value, ' '), 2, size(split(value, ' ')) - 1), x -> cast(x as float))")
-        .alias("vector"))
-    df = df.withColumn("vector", F.filter("vector", lambda x: x.isNotNull()))
-    return df.where(F.size("vector") == dim) if dim else df
+    rows = _vector_lines(spark, path, dim)
+    checked = F.when(F.col("ok"), F.col("vector")).otherwise(
+        F.raise_error(F.concat(F.lit("not a word vector: "), F.substring("value", 1, 80))).cast("array<float>"))
+    return rows.select("token", checked.alias("vector"))
+
+
+def rejected_vectors(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
+    """``value``: the lines that ``scan_vectors`` would refuse."""
+    return _vector_lines(spark, path, dim).where("not ok").select("value")
+
+
+def _vector_lines(spark: SparkSession, path: str, dim: int | None) -> DataFrame:
+    parts = F.split(F.rtrim("value"), r"\s+")
+    numbers = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.try_cast("float"))
+    df = spark.read.text(path)
+    if dim != 1:
+        df = df.where(~F.col("value").rlike(r"^\d+ \d+\s*$"))
+    ok = F.forall("vector", lambda x: x.isNotNull()) & (F.size("vector") == dim if dim else F.size("vector") > 0)
+    return df.select("value", parts.getItem(0).alias("token"), numbers.alias("vector")).withColumn("ok", ok)
 
 
 def write_vectors(df: DataFrame, path: str) -> None:

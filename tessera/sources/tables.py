@@ -12,45 +12,21 @@ from pyspark.sql import functions as F
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
-# key each table is spread on when its scan is too coarse (see ``balanced``)
+#: Session setting: number of partitions that scans of TABLE_KEYS are dealt into by key.  Unset (the default), a scan
+#: keeps its splits.  For tables whose files are one row group each, which no split size divides.
+SCAN_PARTITIONS = "tessera.scan.partitions"
 TABLE_KEYS = {"documents": "doc_id", "embeddings": "vec_id", "events": "event_id", "labels": "doc_id"}
 
 
-def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread a scan that yields fewer splits than the cluster has task slots.
-
-    A parquet file with one row group is one split, whatever its size, so the
-    CPU-heavy text work after it would run in a single task.  When the scan
-    has fewer partitions than ``defaultParallelism`` it is hash-partitioned by
-    ``key`` (later ``groupBy(key)`` stages reuse that partitioning); a large
-    input with many splits is left untouched, so at scale this adds no shuffle.
-    Counting partitions only plans the scan; it runs no job.
-    """
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= slots:
-            return df
-    except Exception:  # no RDD access (e.g. a Spark Connect session): leave the scan as is
-        return df
-    return df.repartition(slots, key) if key else df.repartition(slots)
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}")
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return balanced(df, TABLE_KEYS.get(name)) if name in TABLE_KEYS else df
+    parts = spark.conf.get(SCAN_PARTITIONS, None)
+    return df.repartition(int(parts), TABLE_KEYS[name]) if parts and name in TABLE_KEYS else df
 
 
 def labelled_documents(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
     """Row-per-document table ``(doc_id, text, label)``; ``label`` names the class column."""
     docs = read_table(spark, sf_dir, "documents")
     return docs.select("doc_id", "text", F.col(label).alias("label"))
-
-
-def labelled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents left-joined with ``labels``; ``label`` = quality (null when unlabelled)."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = read_table(spark, sf_dir, "labels").select(
-        "doc_id", F.col("quality").cast("string").alias("label"))
-    return docs.join(labels, "doc_id", "left")

@@ -56,7 +56,7 @@ def test_seeded_vectors_are_deterministic_and_scaled(spark):
 
 def test_embedding_join_coverage_and_sequence(spark):
     vocab = spark.createDataFrame([("<unk>", 0), ("<pad>", 1), ("cat", 2), ("Dog", 3)], "token string, token_id int")
-    vecs = spark.createDataFrame([("cat", [1.0, 2.0]), ("dog", [3.0, 4.0])], "token string, vector array<float>")
+    vecs = spark.createDataFrame([("cat", [1.0, 2.0]), ("Dog", [3.0, 4.0]), ("dog", [9.0, 9.0]), ("Dog", [5.0, 0.0])], "token string, vector array<float>")
     emb = EM.embedding_join(vocab, vecs, 2)
     cov = EM.embedding_coverage(emb).first()
     assert (cov["n_found"], cov["n_total"]) == (2, 4)

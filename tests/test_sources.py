@@ -4,6 +4,8 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from tessera.sources import files
 
 
@@ -40,12 +42,22 @@ def test_attention_trace_numeric_order(spark):
     assert got == [0, 1, 2, 9, 10]
 
 
-def test_scan_vectors_drops_header(spark):
+def test_scan_vectors_of_real_files(spark):
     root = tempfile.mkdtemp(prefix="tessera-vec-")
     with open(os.path.join(root, "vec.txt"), "w") as f:
-        f.write("2 3\nhello 0.1 0.2 0.3\nworld 1 2 3\n")
+        f.write("3 3\nhello 0.1 0.2 0.3 \nworld 1 2 3\nHello -1 2e-3 3 \n")  # header, lines that end in a space
     got = {r["token"]: r["vector"] for r in files.scan_vectors(spark, root, dim=3).collect()}
-    assert set(got) == {"hello", "world"} and got["world"] == [1.0, 2.0, 3.0]
+    assert set(got) == {"hello", "world", "Hello"} and got["world"] == [1.0, 2.0, 3.0]
+    assert files.rejected_vectors(spark, root, dim=3).count() == 0
+
+
+def test_scan_vectors_refuses_other_lines(spark):
+    root = tempfile.mkdtemp(prefix="tessera-vec-")
+    with open(os.path.join(root, "vec.txt"), "w") as f:
+        f.write("a 1 2\nb 1\nc 1 x\n")
+    assert sorted(r["value"] for r in files.rejected_vectors(spark, root, dim=2).collect()) == ["b 1", "c 1 x"]
+    with pytest.raises(Exception, match="not a word vector"):
+        files.scan_vectors(spark, root, dim=2).collect()
 
 
 def test_optional_inputs(spark):

@@ -63,10 +63,14 @@ def test_global_index_after_shuffle_is_a_permutation(spark):
     assert got == list(range(997))
 
 
-def test_balanced_spreads_single_split_scans(spark):
-    from tessera.sources.tables import balanced, read_table
-
-    d = read_table(spark, "/root/testdata/sf0.001", "documents")
-    assert d.rdd.getNumPartitions() >= min(spark.sparkContext.defaultParallelism, 2)
-    big = spark.range(0, 10, numPartitions=spark.sparkContext.defaultParallelism)
-    assert balanced(big) is big  # enough splits already: no extra shuffle
+def test_scan_partitions_is_an_explicit_setting(spark):
+    from tessera.sources.tables import SCAN_PARTITIONS, read_table
+
+    plain = read_table(spark, "/root/testdata/sf0.001", "documents")
+    assert "Exchange" not in plain._jdf.queryExecution().executedPlan().toString()
+    spark.conf.set(SCAN_PARTITIONS, "5")
+    try:
+        dealt = read_table(spark, "/root/testdata/sf0.001", "documents")
+        assert dealt.count() == plain.count() and "Exchange" in dealt._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset(SCAN_PARTITIONS)
