@@ -1,10 +1,9 @@
-"""Attention pooling (N1-N4) as a weighted aggregation per document.
+"""Attention pooling (N1-N4) as a weighted aggregation per document, by token.
 
-Input: long rows ``(key, pos, token_id, vector)``.  Scores are computed
-in-row; one shuffle groups each document's positions (at most ``max_len``
-per document, so every group is bounded), and softmax + the weighted sum run
-as higher-order functions on that group.  Scorer parameters are plain arrays
-(learning them is the model's job, not this engine's).
+A linear or MLP score depends on the token alone, so each vocabulary row is scored once and a document is the counts
+of its tokens; all its pads are one row.  Scores are scalars in every shuffle; vectors are joined once per document
+and distinct token, after the softmax.  Scorer parameters are plain arrays (learning them is the model's job, not this
+engine's).
 """
 
 from __future__ import annotations
@@ -15,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot
+from ..functions.lookup import by_id, head_tail_lookup
 
 
 def _lit_vec(values: Sequence[float]) -> Column:
@@ -33,61 +33,71 @@ def mlp_score(vector: Column, w1: Sequence[Sequence[float]], b1: Sequence[float]
     return dot(hidden, _lit_vec(w2)) + F.lit(float(b2))
 
 
-def _pool(scored: DataFrame, key: str, dim: int, pad_id: int | None, mask_pad: bool,
-          query_last: bool) -> DataFrame:
-    """Softmax over each document's positions, then the weighted vector sum.
+def token_counts(seqs: DataFrame, ids_col: str, key: str = "doc_id", pad_id: int | None = 1,
+                 mask_pad: bool = False) -> DataFrame:
+    """``(key, token_id, n)``: how often each id stands in a sequence.  ``mask_pad`` leaves pads out."""
+    ids = F.filter(ids_col, lambda i: i != pad_id) if mask_pad and pad_id is not None else F.col(ids_col)
+    return seqs.select(key, F.explode(ids).alias("token_id")).groupBy(key, "token_id").agg(F.count(F.lit(1)).alias("n"))
 
-    The softmax runs on long rows with window aggregates partitioned by
-    ``key``; the following ``groupBy(key)`` reuses that partitioning, so the
-    whole operator costs one shuffle.  Only lambda variables appear inside
-    the higher-order functions (per-document constants would otherwise be
-    re-evaluated for every element).
-    """
-    rows = scored
-    if mask_pad and pad_id is not None:
-        rows = rows.where(F.col("token_id") != pad_id)
+
+def _softmax(scored: DataFrame, key: str) -> DataFrame:
+    """``(key, token_id, n, weight)``: the weight that each of a token's n positions has."""
     doc = Window.partitionBy(key)
-    if query_last:
-        # q = vector at the last non-pad position (the last position if all are pads)
-        last_real = F.max_by("vector", F.when(F.col("token_id") != F.lit(pad_id), F.col("pos"))).over(doc) \
-            if pad_id is not None else F.lit(None)
-        q = F.coalesce(last_real, F.max_by("vector", "pos").over(doc))
-        rows = rows.withColumn("_q", q).withColumn("score", dot(F.col("vector"), F.col("_q"))).drop("_q")
-    rows = rows.withColumn("_e", F.exp(F.col("score") - F.max("score").over(doc)))
-    rows = rows.withColumn("weight", F.col("_e") / F.sum("_e").over(doc))
-    g = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("pos", "weight", "vector"))).alias("_it"))
-    zero = F.array_repeat(F.lit(0.0), dim)
-    ctx = F.aggregate("_it", zero, lambda acc, t: F.zip_with(acc, t["vector"], lambda a, x: a + t["weight"] * x))
-    return g.select(key, F.transform("_it", lambda s: s["pos"]).alias("positions"),
-                    F.transform("_it", lambda s: s["weight"]).alias("weights"), ctx.alias("context"))
-
-
-def attn_pool_linear(seq: DataFrame, w: Sequence[float], b: float, key: str = "doc_id",
+    e = scored.withColumn("_e", F.exp(F.col("score") - F.max("score").over(doc)))
+    return e.withColumn("weight", F.col("_e") / F.sum(F.col("n") * F.col("_e")).over(doc)).select(key, "token_id", "n", "weight")
+
+
+def weights_by_token(counts: DataFrame, table: DataFrame, score: Column, key: str = "doc_id") -> DataFrame:
+    """Softmax over positions of ``score``, an expression over the table's ``vector``."""
+    scores = table.select("token_id", score.alias("score"))
+    return _softmax(head_tail_lookup(counts, "token_id", [key, "token_id"], *by_id(scores), "score"), key)
+
+
+def weights_by_last(counts: DataFrame, seqs: DataFrame, ids_col: str, table: DataFrame, key: str = "doc_id") -> DataFrame:
+    """score = x . q, q = the vector at the sequence's final position (a pad in short documents)."""
+    vectors = by_id(table.select("token_id", "vector"))
+    last = seqs.where(F.size(ids_col) > 0).select(key, F.element_at(ids_col, -1).alias("token_id"))
+    query = head_tail_lookup(last, "token_id", [key], *vectors, "vector", "_q").select(key, "_q")
+    x = head_tail_lookup(counts, "token_id", [key, "token_id"], *vectors, "vector")
+    scored = x.join(query, key).select(key, "token_id", "n", dot(F.col("vector"), F.col("_q")).alias("score"))
+    return _softmax(scored, key)
+
+
+def context(weights: DataFrame, table: DataFrame, dim: int, key: str = "doc_id") -> DataFrame:
+    """``(key, context)``: sum over positions of weight * vector, with a partial sum before the shuffle."""
+    x = head_tail_lookup(weights, "token_id", [key, "token_id"], *by_id(table.select("token_id", "vector")), "vector")
+    share = F.col("n") * F.col("weight")
+    sums = x.groupBy(key).agg(*[F.sum(share * F.col("vector")[i]).alias(f"_s{i}") for i in range(dim)])
+    return sums.select(key, F.array(*[f"_s{i}" for i in range(dim)]).alias("context"))
+
+
+def attn_pool_linear(seqs: DataFrame, ids_col: str, table: DataFrame, w: Sequence[float], b: float, key: str = "doc_id",
                      pad_id: int | None = 1, mask_pad: bool = False) -> DataFrame:
     """Softmax over positions of w . x + b; context = sum of weight * x."""
-    scored = seq.withColumn("score", linear_score(F.col("vector"), w, b))
-    return _pool(scored, key, len(w), pad_id, mask_pad, query_last=False)
+    counts = token_counts(seqs, ids_col, key, pad_id, mask_pad)
+    return context(weights_by_token(counts, table, linear_score(F.col("vector"), w, b), key), table, len(w), key)
 
 
-def attn_pool_dot(seq: DataFrame, dim: int, key: str = "doc_id", pad_id: int | None = 1,
-                  mask_pad: bool = False) -> DataFrame:
-    """score = x . q, q = the document's last (non-pad) vector."""
-    scored = seq.withColumn("score", F.lit(0.0))
-    return _pool(scored, key, dim, pad_id, mask_pad, query_last=True)
+def attn_pool_dot(seqs: DataFrame, ids_col: str, table: DataFrame, dim: int, key: str = "doc_id",
+                  pad_id: int | None = 1, mask_pad: bool = False) -> DataFrame:
+    """score = x . q, q = the vector at the final position."""
+    counts = token_counts(seqs, ids_col, key, pad_id, mask_pad)
+    return context(weights_by_last(counts, seqs, ids_col, table, key), table, dim, key)
 
 
-def attn_pool_mlp(seq: DataFrame, w1, b1, w2, b2, key: str = "doc_id", pad_id: int | None = 1,
-                  mask_pad: bool = False) -> DataFrame:
+def attn_pool_mlp(seqs: DataFrame, ids_col: str, table: DataFrame, w1, b1, w2, b2, key: str = "doc_id",
+                  pad_id: int | None = 1, mask_pad: bool = False) -> DataFrame:
     """score = w2 . tanh(W1 x + b1) + b2."""
-    scored = seq.withColumn("score", mlp_score(F.col("vector"), w1, b1, w2, b2))
-    return _pool(scored, key, len(w1[0]), pad_id, mask_pad, query_last=False)
+    counts = token_counts(seqs, ids_col, key, pad_id, mask_pad)
+    return context(weights_by_token(counts, table, mlp_score(F.col("vector"), w1, b1, w2, b2), key), table, len(w1[0]), key)
 
 
-def attn_weights(pooled: DataFrame, key: str = "doc_id") -> DataFrame:
+def attn_weights(weights: DataFrame, seqs: DataFrame, ids_col: str, key: str = "doc_id") -> DataFrame:
     """One row per (key, pos) with its attention weight.  No pad mask by default,
     so pads share the weight (entropy <= ln max_len)."""
-    return pooled.select(key, F.inline(F.arrays_zip(F.col("positions").alias("pos"),
-                                                    F.col("weights").alias("weight"))))
+    maps = weights.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("token_id", "weight"))).alias("_w"))
+    return seqs.join(maps, key).select(key, F.posexplode(ids_col).alias("pos", "token_id"), "_w") \
+        .select(key, "pos", F.col("_w")[F.col("token_id")].alias("weight")).where("weight is not null")
 
 
 def context_long(pooled: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lookup import by_id, head_tail_lookup
+
 _TWO52 = float(2 ** 52)
 
 
@@ -54,21 +56,14 @@ def random_embedding(vocab: DataFrame, dim: int, pad_id: int = 1, seed: int = 42
                         .otherwise(gaussian_vector(F.col("token"), dim, 1.0, seed)).alias("vector"))
 
 
-def embed_sequence(seqs: DataFrame, ids_col: str, emb: DataFrame, key: str = "doc_id",
-                   hot_id: int | None = 1) -> DataFrame:
+def embed_sequence(seqs: DataFrame, ids_col: str, emb: DataFrame, key: str = "doc_id", unk_id: int = 0) -> DataFrame:
     """Id sequences -> long ``(key, pos, token_id, vector)`` rows (model input).
 
-    The embedding table grows with the vocabulary, so the join carries no
-    broadcast hint; AQE broadcasts it when it is measured small.  ``hot_id``
-    (the pad id) fills most positions of short documents: those rows skip the
-    join and take the one pad vector from a scalar subquery, so no join
-    partition holds the pad key.
+    Every position stays: an id without a vector takes that of ``unk_id``.  Frequent ids, pads among them, are answered
+    from the broadcast head of the table.
     """
     ex = seqs.select(key, F.posexplode(ids_col).alias("pos", "token_id"))
     table = emb.select("token_id", "vector")
-    if hot_id is None:
-        return ex.join(table, "token_id").select(key, "pos", "token_id", "vector")
-    hot_vec = table.where(F.col("token_id") == hot_id).select("vector").scalar()
-    cold = ex.where(F.col("token_id") != hot_id).join(table, "token_id")
-    hot = ex.where(F.col("token_id") == hot_id).withColumn("vector", hot_vec)
-    return cold.select(key, "pos", "token_id", "vector").unionByName(hot.select(key, "pos", "token_id", "vector"))
+    unknown = table.where(F.col("token_id") == unk_id).select(F.col("vector").alias("_unk"))  # one row
+    found = head_tail_lookup(ex, "token_id", [key, "pos"], *by_id(table), "vector")
+    return found.withColumn("vector", F.coalesce("vector", unknown.scalar())).select(key, "pos", "token_id", "vector")

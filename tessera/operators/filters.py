@@ -18,11 +18,6 @@ def project_xy(df: DataFrame, text_col: str = "text", label_col: str = "label",
     return df.select(*key, text_col), df.select(*key, label_col)
 
 
-def drop_label(df: DataFrame, label_col: str = "label") -> DataFrame:
-    """B2: every column except the label."""
-    return df.drop(label_col)
-
-
 def filter_misclassified(pred: DataFrame) -> DataFrame:
     """Rows with predicted != true; confidence = probability of the predicted class."""
     return (

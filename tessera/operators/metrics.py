@@ -47,14 +47,18 @@ def accuracy(pred: DataFrame) -> DataFrame:
     return pred.groupBy("run").agg(F.avg(F.col("correct").cast("double")).alias("accuracy"))
 
 
-def pair_counts(pred: DataFrame) -> DataFrame:
-    """The single row pass behind M4-M6: counts per (run, true class, predicted class)."""
-    return pred.groupBy("run", "true_idx", "pred_idx").agg(F.count(F.lit(1)).alias("n"))
+def pair_counts(pred: DataFrame, k: int = 3) -> DataFrame:
+    """The single row pass behind M3-M8: per (run, true class, predicted class) the rows ``n``, their top-k hits and
+    summed loss, and the class names.  Of runs x classes^2 rows; what follows reads this table alone."""
+    nll = A.log_sum_exp("logits") - F.element_at("logits", F.col("true_idx") + 1)
+    return pred.groupBy("run", "true_idx", "pred_idx").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(A.topk_hit("logits", "true_idx", k).cast("bigint")).alias("hits"),
+        F.sum(nll).alias("loss"), F.first("class_names").alias("names"))
 
 
-def class_names(pred: DataFrame) -> DataFrame:
-    """(run, class_idx, label) from the per-run class list (bounded by classes)."""
-    return (pred.groupBy("run").agg(F.first("class_names").alias("names"))
+def class_names(counts: DataFrame) -> DataFrame:
+    """(run, class_idx, label) from the per-run class list of the pair table (bounded by classes)."""
+    return (counts.groupBy("run").agg(F.first("names").alias("names"))
             .select("run", F.posexplode("names").alias("class_idx", "label")))
 
 
@@ -64,28 +68,29 @@ def per_class_report(pred: DataFrame, counts: DataFrame | None = None) -> DataFr
     Undefined ratios are 0 (zero_division=0).
     """
     counts = counts if counts is not None else pair_counts(pred)
+    name = lambda c: F.element_at("names", F.col(c) + 1).alias("label")
     roles = counts.select(
         "run", "n",
         F.explode(F.array(
             F.struct(F.col("true_idx").alias("class_idx"), F.lit(1).alias("is_true"),
-                     (F.col("true_idx") == F.col("pred_idx")).cast("int").alias("hit")),
-            F.struct(F.col("pred_idx").alias("class_idx"), F.lit(0).alias("is_true"), F.lit(0).alias("hit")),
+                     (F.col("true_idx") == F.col("pred_idx")).cast("int").alias("hit"), name("true_idx")),
+            F.struct(F.col("pred_idx").alias("class_idx"), F.lit(0).alias("is_true"), F.lit(0).alias("hit"), name("pred_idx")),
         )).alias("r"))
     per = roles.groupBy("run", F.col("r.class_idx").alias("class_idx")).agg(
+        F.first("r.label").alias("label"),
         F.sum(F.when(F.col("r.hit") == 1, F.col("n")).otherwise(0)).alias("tp"),
         F.sum(F.when(F.col("r.is_true") == 1, F.col("n")).otherwise(0)).alias("support"),
         F.sum(F.when(F.col("r.is_true") == 0, F.col("n")).otherwise(0)).alias("n_pred"),
     )
     zero = F.lit(0.0)
-    rep = per.select(
-        "run", "class_idx",
+    return per.select(
+        "run", "class_idx", "label",
         F.coalesce(F.try_divide(F.col("tp"), F.col("n_pred").cast("double")), zero).alias("precision"),
         F.coalesce(F.try_divide(F.col("tp"), F.col("support").cast("double")), zero).alias("recall"),
         F.coalesce(F.try_divide(2.0 * F.col("tp"), (F.col("support") + F.col("n_pred")).cast("double")),
                    zero).alias("f1"),
         F.col("support").cast("bigint").alias("support"),
     )
-    return rep.join(class_names(pred), ["run", "class_idx"], "left")
 
 
 def macro_prf(report: DataFrame) -> DataFrame:
@@ -94,26 +99,23 @@ def macro_prf(report: DataFrame) -> DataFrame:
                                      F.avg("f1").alias("f1"))
 
 
-def report_with_averages(report: DataFrame, acc: DataFrame) -> DataFrame:
-    """Classification report rows plus 'accuracy', 'macro avg', 'weighted avg' rows."""
-    cls = report.select("run", "label", "precision", "recall", "f1", "support")
-    tot = report.groupBy("run").agg(
-        F.avg("precision").alias("mp"), F.avg("recall").alias("mr"), F.avg("f1").alias("mf"),
-        (F.sum(F.col("precision") * F.col("support")) / F.sum("support")).alias("wp"),
-        (F.sum(F.col("recall") * F.col("support")) / F.sum("support")).alias("wr"),
-        (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("wf"),
-        F.sum("support").alias("s"))
-    t = tot.join(acc, "run")
-    def row(name, p, r, f):
-        return F.struct(F.lit(name).alias("label"), F.col(p).alias("precision"), F.col(r).alias("recall"),
-                        F.col(f).alias("f1"), F.col("s").alias("support"))
-
-    extra = t.select("run", F.inline(F.array(
-        row("accuracy", "accuracy", "accuracy", "accuracy"),
-        row("macro avg", "mp", "mr", "mf"),
-        row("weighted avg", "wp", "wr", "wf"),
-    )))
-    return cls.unionByName(extra)
+def class_report(pred: DataFrame) -> DataFrame:
+    """The classification report of all runs, in one pass: accuracy is the support-weighted recall."""
+    report = per_class_report(pred)
+    w = Window.partitionBy("run")  # a run's classes
+    r = report.withColumns({
+        "s": F.sum("support").over(w), "mp": F.avg("precision").over(w), "mr": F.avg("recall").over(w), "mf": F.avg("f1").over(w),
+        "wp": F.sum(F.col("precision") * F.col("support")).over(w), "wr": F.sum(F.col("recall") * F.col("support")).over(w),
+        "wf": F.sum(F.col("f1") * F.col("support")).over(w), "first": F.row_number().over(w.orderBy("class_idx")) == 1})
+
+    def row(name, p, rc, f, s="s"):
+        return F.struct(name.alias("label"), p.alias("precision"), rc.alias("recall"), f.alias("f1"), F.col(s).alias("support"))
+
+    c, per = F.col, lambda x: F.col(x) / F.col("s")
+    own = row(c("label"), c("precision"), c("recall"), c("f1"), "support")
+    extra = F.array(row(F.lit("accuracy"), per("wr"), per("wr"), per("wr")), row(F.lit("macro avg"), c("mp"), c("mr"), c("mf")),
+                    row(F.lit("weighted avg"), per("wp"), per("wr"), per("wf")))
+    return r.select("run", F.inline(F.when(c("first"), F.concat(F.array(own), extra)).otherwise(F.array(own))))
 
 
 def confusion_matrix(pred: DataFrame, counts: DataFrame | None = None) -> DataFrame:
@@ -123,17 +125,17 @@ def confusion_matrix(pred: DataFrame, counts: DataFrame | None = None) -> DataFr
     count) is expanded into the k x k output grid and left-joined to the counts.
     """
     counts = counts if counts is not None else pair_counts(pred)
-    classes = counts.select("run", F.explode(F.array("true_idx", "pred_idx")).alias("c")).distinct()
-    lists = classes.groupBy("run").agg(F.array_sort(F.collect_list("c")).alias("cs"))
-    grid = classes.join(lists, "run").select(
-        "run", F.col("c").alias("true_idx"), F.explode("cs").alias("pred_idx"))
-    names = class_names(pred)
-    out = grid.join(counts, ["run", "true_idx", "pred_idx"], "left").fillna(0, ["n"])
-    out = out.join(names.select("run", F.col("class_idx").alias("true_idx"), F.col("label").alias("true_label")),
-                   ["run", "true_idx"], "left")
-    out = out.join(names.select("run", F.col("class_idx").alias("pred_idx"),
-                                F.col("label").alias("predicted_label")), ["run", "pred_idx"], "left")
-    return out.select("run", "true_idx", "pred_idx", "true_label", "predicted_label", F.col("n").cast("bigint"))
+    # one row per run: its classes, its class names and its cells; the grid is made in the row
+    per_run = counts.groupBy("run").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.array("true_idx", "pred_idx"))))).alias("cs"),
+        F.first("names").alias("names"),
+        F.map_from_entries(F.collect_list(F.struct(F.struct("true_idx", "pred_idx"), "n"))).alias("cells"))
+    grid = per_run.select("run", "cs", "names", "cells", F.explode("cs").alias("true_idx")) \
+        .select("run", "names", "cells", "true_idx", F.explode("cs").alias("pred_idx"))
+    label = lambda c: F.element_at("names", F.col(c) + 1)
+    n = F.coalesce(F.try_element_at("cells", F.struct("true_idx", "pred_idx")), F.lit(0))
+    return grid.select("run", "true_idx", "pred_idx", label("true_idx").alias("true_label"),
+                       label("pred_idx").alias("predicted_label"), n.cast("bigint").alias("n"))
 
 
 def topk_accuracy(pred: DataFrame, k: int = 3) -> DataFrame:
@@ -200,17 +202,40 @@ def top_misclassified(pred: DataFrame, k: int = 5) -> DataFrame:
 
 
 def summary_metrics(pred: DataFrame) -> DataFrame:
-    """Per run: accuracy, macro precision/recall/f1, top-3 accuracy, loss."""
-    counts = pair_counts(pred)
-    rep = per_class_report(pred, counts)
-    return (accuracy(pred).join(macro_prf(rep), "run").join(topk_accuracy(pred, 3), "run")
-            .join(cross_entropy(pred), "run"))
-
+    """Per run: accuracy, macro precision/recall/f1, top-3 accuracy, loss; predictions are read once.
 
-def run_summary(summary: DataFrame, entropy: DataFrame | None = None) -> DataFrame:
-    """One display row per run, rounded to 4 places; missing entropy -> 'N/A'."""
+    The pair table of a run is gathered into one row (classes^2 entries) from which all figures are computed.
+    """
+    cells = pair_counts(pred, 3)
+    per_run = cells.groupBy("run").agg(
+        (F.sum(F.when(F.col("true_idx") == F.col("pred_idx"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
+        (F.sum("hits") / F.sum("n")).alias("top3_accuracy"), (F.sum("loss") / F.sum("n")).alias("loss"),
+        F.collect_list(F.struct("true_idx", "pred_idx", "n")).alias("cells"))
+    total = lambda cs: F.aggregate(cs, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
+    classes = F.array_distinct(F.flatten(F.transform("cells", lambda x: F.array(x["true_idx"], x["pred_idx"]))))
+    tallies = F.transform(classes, lambda c: F.struct(
+        total(F.filter("cells", lambda x: (x["true_idx"] == c) & (x["pred_idx"] == c))).alias("tp"),
+        total(F.filter("cells", lambda x: x["true_idx"] == c)).alias("support"),
+        total(F.filter("cells", lambda x: x["pred_idx"] == c)).alias("n_pred")))
+    ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+    mean = lambda f: F.aggregate(F.transform("t", f), F.lit(0.0), lambda a, x: a + x) / F.size("t")
+    return per_run.withColumn("t", tallies).select(
+        "run", "accuracy", mean(lambda x: ratio(x["tp"], x["n_pred"])).alias("precision"),
+        mean(lambda x: ratio(x["tp"], x["support"])).alias("recall"),
+        mean(lambda x: ratio(2 * x["tp"], x["support"] + x["n_pred"])).alias("f1"), "top3_accuracy", "loss")
+
+
+def run_summary(summary: DataFrame, entropy: DataFrame | None = None, kinds: DataFrame | None = None) -> DataFrame:
+    """One display row per run, rounded to 4 places.
+
+    ``entropy``: ``(run, avg_attn_entropy)`` of the runs with attention; the others show NULL.  ``kinds``:
+    ``(run, test_type)``; a run without one is 'Unknown'.
+    """
     s = summary if entropy is None else summary.join(entropy, "run", "left")
+    s = s if kinds is None else s.join(kinds, "run", "left")
     ent = F.col("avg_attn_entropy") if entropy is not None else F.lit(None).cast("double")
+    kind = F.col("test_type") if kinds is not None else F.lit(None).cast("string")
+    # --- fixed values: the display names of the summary
     r4 = lambda c: F.round(F.coalesce(F.col(c), F.lit(0.0)), 4)
     return s.select(
         F.col("run").alias("Model"),
@@ -219,9 +244,9 @@ def run_summary(summary: DataFrame, entropy: DataFrame | None = None) -> DataFra
         r4("precision").alias("Precision"),
         r4("recall").alias("Recall"),
         r4("top3_accuracy").alias("Top-3 Accuracy"),
-        F.coalesce(F.round(ent, 4).cast("string"), F.lit("N/A")).alias("Avg Attention Entropy"),
+        F.round(ent, 4).alias("Avg Attention Entropy"),
         F.round(F.col("loss"), 4).alias("Loss"),
-        F.coalesce(F.col("run"), F.lit("Unknown")).alias("Test Type"),
+        F.coalesce(kind, F.lit("Unknown")).alias("Test Type"),
     )
 
 
@@ -249,34 +274,57 @@ def factorize_labels(df: DataFrame, label_col: str = "label", order_col: str = "
 
 
 def hidden_pca(states: DataFrame, k: int = 2, by: str = "run") -> DataFrame:
-    """2-component PCA of centred hidden states, fitted per run (Spark ML)."""
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    outs = []
-    for (run,) in states.select(by).distinct().collect():  # one fit per run
-        part = states.where(F.col(by) == run).withColumn("_v", array_to_vector("hidden_state"))
-        centred = StandardScaler(withMean=True, withStd=False, inputCol="_v", outputCol="_c").fit(part) \
-            .transform(part)
-        model = PCA(k=k, inputCol="_c", outputCol="_p").fit(centred)
-        outs.append(model.transform(centred).select(by, "row_id", "label",
-                                                    vector_to_array("_p").alias("components")))
-    out = outs[0]
-    for o in outs[1:]:
-        out = out.unionByName(o)
-    return out
-
-
-def attention_entropy(pooled: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``k``-component PCA of centred hidden states, fitted per run.
+
+    A run's mean and covariance are sums over its rows (partial sums of dims^2 values, whatever the number of rows or
+    runs); each run's eigenvectors come from that one small matrix, and rows are projected in the scan.  Of the two
+    signs of a component the one with a positive largest entry is taken.
+    """
+    import numpy as np
+    import pandas as pd
+
+    x = states.select(by, "row_id", "label", F.col("hidden_state").cast("array<double>").alias("x"))
+    wide = x.select(by, F.size("x").alias("d"), F.posexplode("x").alias("i", "a"), "x")
+    cells = wide.select(by, "d", "i", "a", F.posexplode("x").alias("j", "b")).where("j >= i") \
+        .groupBy(by, "d", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"),
+                                        F.sum(F.col("a") * F.col("b")).alias("sab"))
+
+    def fit(rows: pd.DataFrame) -> pd.DataFrame:
+        d = int(rows.d.max())
+        n = rows.n.iloc[0]
+        cov, mean = np.zeros((d, d)), np.zeros(d)
+        i, j = rows.i.to_numpy(), rows.j.to_numpy()
+        cov[i, j] = cov[j, i] = rows.sab / n - rows.sa / n * rows.sb / n
+        mean[i] = rows.sa / n
+        values, vectors = np.linalg.eigh(cov)
+        top = vectors[:, np.argsort(-values)[:k]].T
+        top *= np.sign(top[np.arange(len(top)), np.abs(top).argmax(axis=1)])[:, None]
+        return pd.DataFrame({by: [rows[by].iloc[0]], "axes": [[a.tolist() for a in top]], "shift": [(top @ mean).tolist()]})
+
+    kind = x.schema[by].dataType.simpleString()
+    axes = cells.groupBy(by).applyInPandas(fit, f"{by} {kind}, axes array<array<double>>, shift array<double>")
+    # one row of k x (dims + 1) values per run: joined by run, as the number of runs has no bound
+    j = x.join(axes, by)
+    projected = F.transform("axes", lambda a, i: A.dot(F.col("x"), a) - F.col("shift")[i])
+    return j.select(by, "row_id", "label", projected.alias("components"))
+
+
+def document_attention(weights: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``(key, entropy, max_weight)`` from token weights ``(key, token_id, n, weight)``; 0 ln 0 = 0."""
+    w = F.col("weight")
+    return weights.groupBy(key).agg((-F.sum(F.when(w > 0, F.col("n") * w * F.log(w)).otherwise(0.0))).alias("entropy"),
+                                    F.max(w).alias("max_weight"))
+
+
+def attention_entropy(weights: DataFrame, key: str = "doc_id") -> DataFrame:
     """Mean over rows of -sum(w ln w) (0 ln 0 = 0)."""
-    return pooled.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(A.entropy("weights")).alias("mean_entropy"))
+    return document_attention(weights, key).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("entropy").alias("mean_entropy"))
 
 
-def attention_batch_stats(pooled: DataFrame, batches: DataFrame, key: str = "doc_id") -> DataFrame:
+def attention_batch_stats(weights: DataFrame, batches: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per batch: mean row entropy and max weight (batches from S3)."""
-    j = pooled.join(batches.select(key, "batch_id"), key)
-    return j.groupBy("batch_id").agg(F.avg(A.entropy("weights")).alias("entropy"),
-                                     F.max(F.array_max("weights")).alias("max_weight"),
+    j = document_attention(weights, key).join(batches.select(key, "batch_id"), key)
+    return j.groupBy("batch_id").agg(F.avg("entropy").alias("entropy"), F.max("max_weight").alias("max_weight"),
                                      F.count(F.lit(1)).alias("n"))
 
 

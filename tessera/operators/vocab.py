@@ -1,9 +1,8 @@
 """Vocabulary, encoding and label dictionaries.
 
-All lookups are equi-joins.  Dictionaries whose size grows with the corpus
-(the token vocabulary) carry no broadcast hint: AQE turns the join into a
-broadcast at runtime when the measured side is small and keeps a shuffle join
-otherwise.  Only tables with a fixed size bound are hinted.
+All lookups are equi-joins.  Vocabulary ids are in order of frequency, so the
+first ids make the broadcast head of a head/tail lookup (see ``functions.lookup``)
+and the rest of the vocabulary, which grows with the corpus, is shuffled.
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.indexing import with_global_index
+from ..functions.lookup import by_id, head_tail_lookup
 
 SPECIALS = ("<unk>", "<pad>")
 UNK_ID = 0
@@ -53,7 +53,7 @@ def encode_tokens(df: DataFrame, tokens_col: str, vocab: DataFrame, key: str = "
     ex = df.select(*rest, F.posexplode_outer(tokens_col).alias("_pos", "token"))
     if max_len is not None:
         ex = ex.where(F.col("_pos").isNull() | (F.col("_pos") < max_len))
-    joined = ex.join(vocab.select("token", "token_id"), "token", "left")
+    joined = head_tail_lookup(ex, "token", [key, "_pos"], *by_id(vocab.select("token", "token_id")), "token_id")
     item = F.when(F.col("_pos").isNotNull(),
                   F.struct(F.col("_pos"), F.coalesce("token_id", F.lit(unk_id)).alias("id")))
     return (
@@ -86,11 +86,10 @@ def decode_ids(df: DataFrame, ids_col: str, vocab: DataFrame, key: str = "doc_id
                pad_id: int = PAD_ID, unk: str = "<unk>", out_col: str = "decoded") -> DataFrame:
     """Ids -> words joined by a space; ``pad_id`` dropped, unknown ids -> ``unk``."""
     rest = [c for c in df.columns if c != ids_col]
-    ex = df.select(*rest, F.posexplode_outer(ids_col).alias("_pos", "token_id"))
-    joined = ex.join(vocab.select("token_id", "token"), "token_id", "left")
-    # pads become null items (collect_list skips them) so an all-pad sequence keeps its row
-    keep = F.col("_pos").isNotNull() & (F.col("token_id") != pad_id)
-    item = F.when(keep, F.struct(F.col("_pos"), F.coalesce("token", F.lit(unk)).alias("t")))
+    # pads go before the explode; an all-pad sequence keeps its row through the outer explode
+    ex = df.select(*rest, F.posexplode_outer(F.filter(ids_col, lambda i: i != pad_id)).alias("_pos", "token_id"))
+    joined = head_tail_lookup(ex, "token_id", [key, "_pos"], *by_id(vocab.select("token_id", "token")), "token")
+    item = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce("token", F.lit(unk)).alias("t")))
     return (
         joined.groupBy(*rest).agg(F.array_sort(F.collect_list(item)).alias("_items"))
         .select(*rest, F.array_join(F.transform("_items", lambda s: s["t"]), " ").alias(out_col))

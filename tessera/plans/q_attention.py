@@ -102,13 +102,13 @@ ctx AS (SELECT doc_id, CAST(i AS INTEGER) AS dim, sum(weight * v) AS value
 CTX_OUT = "SELECT doc_id, dim, round(value, 6) AS value FROM ctx"
 
 
-@shared
-def pooled_linear(spark, sf):
-    return N.attn_pool_linear(seq_vectors(spark, sf), W_LIN, B_LIN)
+def weights_linear(spark, sf):
+    counts = N.token_counts(test_padded(spark, sf), "padded")
+    return N.weights_by_token(counts, used_emb_table(spark, sf), N.linear_score(F.col("vector"), W_LIN, B_LIN))
 
 
-def _vec_summary(df):
-    return df.select("token_id", "token", array_sum(F.col("vector")).alias("vsum"),
+def _vec_summary(df, *more):
+    return df.select("token_id", "token", *more, array_sum(F.col("vector")).alias("vsum"),
                      array_sum(F.transform("vector", lambda x: x * x)).alias("vsq"))
 
 
@@ -116,7 +116,7 @@ def _vec_summary(df):
 SELECT token_id, token, found, round(list_sum(vector), 6) AS vsum, round(list_sum(list_transform(vector, lambda x: x * x)), 6) AS vsq FROM emb""")
 def _c7(spark, sf):
     e = emb_table(spark, sf)
-    return rounded(_vec_summary(e).join(e.select("token_id", "found"), "token_id"))
+    return rounded(_vec_summary(e, "found"))
 
 
 @query("embedding_coverage", f"""WITH {EMB}
@@ -141,33 +141,33 @@ def _c10(spark, sf):
 
 @query("attn_pool_linear", f"WITH {LIN_SQL} {CTX_OUT}")
 def _n1(spark, sf):
-    return rounded(N.context_long(pooled_linear(spark, sf)))
+    table = used_emb_table(spark, sf)
+    return rounded(N.context_long(N.attn_pool_linear(test_padded(spark, sf), "padded", table, W_LIN, B_LIN)))
 
 
 @query("attn_pool_dot", f"WITH {DOT_SQL} {CTX_OUT}")
 def _n2(spark, sf):
-    return rounded(N.context_long(N.attn_pool_dot(seq_vectors(spark, sf), DIM)))
+    return rounded(N.context_long(N.attn_pool_dot(test_padded(spark, sf), "padded", used_emb_table(spark, sf), DIM)))
 
 
 @query("attn_pool_mlp", f"WITH {MLP_SQL} {CTX_OUT}")
 def _n3(spark, sf):
-    return rounded(N.context_long(N.attn_pool_mlp(seq_vectors(spark, sf), W1, B1, W2, B2)))
+    return rounded(N.context_long(N.attn_pool_mlp(test_padded(spark, sf), "padded", used_emb_table(spark, sf), W1, B1, W2, B2)))
 
 
 @query("attn_weights", f"WITH {LIN_SQL} SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(weight, 6) AS weight FROM wt")
 def _n4(spark, sf):
-    return rounded(N.attn_weights(pooled_linear(spark, sf)))
+    return rounded(N.attn_weights(weights_linear(spark, sf), test_padded(spark, sf).select("doc_id", "padded"), "padded"))
 
 
 @query("attention_entropy", f"WITH {LIN_SQL} SELECT count(*) AS n_rows, round(avg(entropy), 6) AS mean_entropy FROM ent")
 def _m10(spark, sf):
-    return rounded(M.attention_entropy(pooled_linear(spark, sf)))
+    return rounded(M.attention_entropy(weights_linear(spark, sf)))
 
 
 def _batch_stats(spark, sf):
-    pooled = pooled_linear(spark, sf)
     batches = split.assign_batches(test_padded(spark, sf).select("doc_id"), 8)
-    return M.attention_batch_stats(pooled, batches)
+    return M.attention_batch_stats(weights_linear(spark, sf), batches)
 
 
 @query("attention_max", f"WITH {LIN_SQL} SELECT round(avg(max_weight), 6) AS mean_batch_max_weight FROM bs")

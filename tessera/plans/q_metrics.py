@@ -153,10 +153,11 @@ def _top_mis(spark, sf):
 
 @query("run_summary", f"""WITH {PRED}
 SELECT run AS "Model", round(accuracy, 4) AS "Accuracy", round(f1, 4) AS "Macro-F1", round(precision, 4) AS "Precision",
-       round(recall, 4) AS "Recall", round(top3_accuracy, 4) AS "Top-3 Accuracy", 'N/A' AS "Avg Attention Entropy",
-       round(loss, 4) AS "Loss", run AS "Test Type" FROM summ""")
+       round(recall, 4) AS "Recall", round(top3_accuracy, 4) AS "Top-3 Accuracy", CAST(NULL AS DOUBLE) AS "Avg Attention Entropy",
+       round(loss, 4) AS "Loss", CASE run WHEN 'full64' THEN 'all dims' ELSE 'Unknown' END AS "Test Type" FROM summ""")
 def _run_summary(spark, sf):
-    return M.run_summary(M.summary_metrics(preds(spark, sf)))
+    kinds = spark.createDataFrame([("full64", "all dims")], "run string, test_type string")  # dims8 names no type
+    return M.run_summary(M.summary_metrics(preds(spark, sf)), kinds=kinds)
 
 
 _LONG_SQL = """SELECT run AS "Model", m.title AS "Metric",
@@ -179,8 +180,7 @@ def _metrics_wide(spark, sf):
 
 
 def _report(spark, sf):
-    p = preds(spark, sf)
-    return M.report_with_averages(M.per_class_report(p), M.accuracy(p))
+    return M.class_report(preds(spark, sf))
 
 
 @query("filter_class_rows", f"""WITH {PRED}

@@ -64,13 +64,13 @@ def _a6(spark, sf):
 
 @query("sink_metrics", f"""WITH {PRED}
 SELECT run AS "Model", round(accuracy, 4) AS "Accuracy", round(f1, 4) AS "Macro-F1", round(precision, 4) AS "Precision",
-       round(recall, 4) AS "Recall", round(top3_accuracy, 4) AS "Top-3 Accuracy", 'N/A' AS "Avg Attention Entropy",
-       round(loss, 4) AS "Loss", run AS "Test Type" FROM summ""")
+       round(recall, 4) AS "Recall", round(top3_accuracy, 4) AS "Top-3 Accuracy", CAST(NULL AS DOUBLE) AS "Avg Attention Entropy",
+       round(loss, 4) AS "Loss", 'Unknown' AS "Test Type" FROM summ""")
 def _a7(spark, sf):
     root = scratch_path(spark, "metrics")
     files.sink_metrics(M.run_summary(M.summary_metrics(preds(spark, sf))), root)
     schema = ("`Model` STRING, `Accuracy` DOUBLE, `Macro-F1` DOUBLE, `Precision` DOUBLE, `Recall` DOUBLE, "
-              "`Top-3 Accuracy` DOUBLE, `Avg Attention Entropy` STRING, `Loss` DOUBLE, `Test Type` STRING")
+              "`Top-3 Accuracy` DOUBLE, `Avg Attention Entropy` DOUBLE, `Loss` DOUBLE, `Test Type` STRING")
     return files.csv_reader(spark, schema).csv(f"{root}/csv")
 
 

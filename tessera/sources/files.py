@@ -94,7 +94,7 @@ def scan_attention_trace(spark: SparkSession, directory: str, schema: str = TRAC
     if tag is None:
         return df.orderBy("file_epoch")
     # traces of several runs: the folder above the epochs names the run
-    run = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/]+)/epoch_\d+(?:\.json)?(?:/[^/]*)?$", 1)
+    run = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"([^/]+)/(?:[^/=]+=)?epoch_\d+(?:\.json)?(?:/[^/]*)?$", 1)
     return df.withColumn(tag, F.regexp_replace(run, r"^[^=/]+=", "")).orderBy(tag, "file_epoch")
 
 

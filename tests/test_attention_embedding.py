@@ -8,40 +8,63 @@ from pyspark.sql import functions as F
 from tessera.operators import attention as N, embedding as EM
 
 
-def seq(spark):
-    rows = [(1, 0, 5, [1.0, 0.0]), (1, 1, 6, [0.0, 1.0]), (1, 2, 1, [0.0, 0.0]),
-            (2, 0, 5, [1.0, 0.0])]
-    return spark.createDataFrame(rows, "doc_id long, pos int, token_id int, vector array<double>")
+def seqs(spark):
+    return spark.createDataFrame([(1, [5, 6, 1]), (2, [5])], "doc_id long, ids array<int>")
+
+
+def table(spark):
+    rows = [(5, [1.0, 0.0]), (6, [0.0, 1.0]), (1, [0.0, 0.0]), (9000, [2.0, 2.0])]
+    return spark.createDataFrame(rows, "token_id int, vector array<double>")
+
+
+def weights(spark, **more):
+    return N.weights_by_token(N.token_counts(seqs(spark), "ids", **more), table(spark), N.linear_score(F.col("vector"), [2.0, 1.0], 0.0))
 
 
 def test_linear_pool_matches_softmax(spark):
-    out = {r["doc_id"]: r for r in N.attn_pool_linear(seq(spark), [2.0, 1.0], 0.0).collect()}
+    out = {r["doc_id"]: r for r in N.attn_pool_linear(seqs(spark), "ids", table(spark), [2.0, 1.0], 0.0).collect()}
     e = [math.exp(2.0), math.exp(1.0), math.exp(0.0)]
     w = [x / sum(e) for x in e]
-    assert out[1]["weights"] == pytest.approx(w)
-    assert out[1]["context"] == pytest.approx([w[0], w[1]])
-    assert out[2]["weights"] == pytest.approx([1.0]) and out[2]["context"] == pytest.approx([1.0, 0.0])
+    got = {(r["doc_id"], r["token_id"]): r["weight"] for r in weights(spark).collect()}
+    assert [got[1, t] for t in (5, 6, 1)] == pytest.approx(w) and got[2, 5] == pytest.approx(1.0)
+    assert out[1]["context"] == pytest.approx([w[0], w[1]]) and out[2]["context"] == pytest.approx([1.0, 0.0])
 
 
 def test_mask_pad_drops_pad_positions(spark):
-    out = {r["doc_id"]: r for r in N.attn_pool_linear(seq(spark), [2.0, 1.0], 0.0, mask_pad=True).collect()}
-    assert out[1]["positions"] == [0, 1] and sum(out[1]["weights"]) == pytest.approx(1.0)
+    got = {r["token_id"]: r["weight"] for r in weights(spark, mask_pad=True).where("doc_id = 1").collect()}
+    assert set(got) == {5, 6} and sum(got.values()) == pytest.approx(1.0)
 
 
-def test_dot_pool_uses_last_real_vector(spark):
-    out = {r["doc_id"]: r for r in N.attn_pool_dot(seq(spark), 2).collect()}
-    # q = vector at pos 1 (pos 2 is the pad): scores 0, 1, 0
-    e = [1.0, math.e, 1.0]
-    assert out[1]["weights"] == pytest.approx([x / sum(e) for x in e])
+def test_dot_pool_uses_the_final_position(spark):
+    # document 1 ends in the pad: q = 0, all scores are equal
+    out = {r["doc_id"]: r["context"] for r in N.attn_pool_dot(seqs(spark), "ids", table(spark), 2).collect()}
+    assert out[1] == pytest.approx([1 / 3, 1 / 3]) and out[2] == pytest.approx([1.0, 0.0])
+    other = spark.createDataFrame([(3, [5, 1, 6])], "doc_id long, ids array<int>")
+    e = [1.0, 1.0, math.e]  # q = [0, 1]
+    got = N.attn_pool_dot(other, "ids", table(spark), 2).first()["context"]
+    assert got == pytest.approx([e[0] / sum(e), e[2] / sum(e)])
+
+
+def test_repeated_tokens_and_tail_ids(spark):
+    s = spark.createDataFrame([(4, [9000, 5, 5, 9000, 5])], "doc_id long, ids array<int>")
+    e = [math.exp(6.0)] * 2 + [math.exp(2.0)] * 3
+    w = [x / sum(e) for x in e]
+    got = N.attn_pool_linear(s, "ids", table(spark), [2.0, 1.0], 0.0).first()["context"]
+    assert got == pytest.approx([2 * (w[0] + w[1]) + sum(w[2:]), 2 * (w[0] + w[1])])
 
 
 def test_attn_weights_long_form(spark):
-    pooled = N.attn_pool_linear(seq(spark), [2.0, 1.0], 0.0)
-    rows = N.attn_weights(pooled).where("doc_id = 1").collect()
+    rows = N.attn_weights(weights(spark), seqs(spark), "ids").where("doc_id = 1").collect()
     assert sorted(r["pos"] for r in rows) == [0, 1, 2]
     assert sum(r["weight"] for r in rows) == pytest.approx(1.0)
 
 
+def test_embed_sequence_keeps_unknown_ids(spark):
+    emb = spark.createDataFrame([(0, [7.0]), (5, [1.0])], "token_id int, vector array<double>")
+    s = spark.createDataFrame([(1, [5, 77, 5])], "doc_id long, ids array<int>")
+    assert {r["pos"]: r["vector"] for r in EM.embed_sequence(s, "ids", emb).collect()} == {0: [1.0], 1: [7.0], 2: [1.0]}
+
+
 def test_seeded_vectors_are_deterministic_and_scaled(spark):
     df = spark.range(2000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("token"))
     v = df.select(EM.gaussian_vector(F.col("token"), 8, 0.6).alias("v"))
