@@ -9,8 +9,10 @@ strings are judged on the input, and all their places go.
 2. Records whose gram occurs once hold no repeated window and go.  Records with equal grams and stretches are one
    context with a weight; a gram with a single context of weight two or more is repeated as a whole.
 3. Of the other grams the contexts' bytes are fetched and dealt into buckets of bounded size, all contexts of a gram
-   together.  In a bucket the suffix array of the contexts is built (see ``suffix_array``); neighbouring suffixes
-   that share ``length`` bytes are classes, repeated if their weights sum up to two.
+   together.  As equal windows select equal grams, what a context shares with another one stands around the gram;
+   the rest is trimmed, and contexts that are equal then are one string with their weights added up.  In a bucket the
+   suffix array of the strings is built (see ``suffix_array``); neighbouring suffixes that share ``length`` bytes are
+   classes, repeated if their weights sum up to two.
    A gram with over ``CONTEXTS`` contexts would not fit a bucket; its windows are dealt singly, by their hash.
 4. The windows found are united by document and cut out of the text.
 
@@ -33,7 +35,8 @@ from .common import KEY, join_counted, with_key, written
 
 GRAM = 48
 CONTEXTS = 1000  #: contexts of one gram that may meet in a bucket
-BUCKET_BYTES = 1 << 18
+BUCKET_BYTES = 1 << 18  #: context bytes of a bucket, before they are trimmed
+STRING_BYTES = 1 << 16  #: bytes of one suffix array
 CHUNK = 1 << 20  #: windows handled at once
 LOW = (1 << 21) - 1
 
@@ -144,6 +147,73 @@ def repeated_starts(contexts: list[bytes], weights: list[int], length: int) -> l
     return [np.array(sorted(x), np.int64) for x in out]
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common prefix."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    low, high = 0, n - 1  # a[:low] == b[:low], a[:high + 1] != b[:high + 1]
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[:mid] == b[:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def shared_parts(contexts: list[bytes], offsets: list[int]) -> list[tuple[int, int]]:
+    """Per context the part around its gram (at ``offsets``) that bounds what it shares with any other: behind the
+    gram's start the longest common prefix, before it the longest common suffix, each with its neighbour in order."""
+    reach = []
+    for strings in ([c[:o][::-1] for c, o in zip(contexts, offsets)], [c[o:] for c, o in zip(contexts, offsets)]):
+        order = sorted(range(len(strings)), key=strings.__getitem__)
+        longest = [0] * len(strings)
+        for x, y in zip(order, order[1:]):
+            n = _common(strings[x], strings[y])
+            longest[x], longest[y] = max(longest[x], n), max(longest[y], n)
+        reach.append(longest)
+    return [(o - left, o + right) for o, left, right in zip(offsets, *reach)]
+
+
+def repeated_in_grams(grams: list[tuple[list[bytes], list[int], list[int]]], length: int) -> list[list[np.ndarray]]:
+    """For the contexts, gram offsets and weights of each gram: the repeated starts of each context."""
+    strings: dict[tuple[int, bytes], int] = {}  # weight by gram and trimmed string
+    parts = []
+    for g, (contexts, offsets, weights) in enumerate(grams):
+        bounds = shared_parts(contexts, offsets)
+        own = [(g, c[a:b]) if b - a >= length else None for c, (a, b) in zip(contexts, bounds)]
+        for key, w in zip(own, weights):
+            if key is not None:
+                strings[key] = strings.get(key, 0) + w
+        # a context of weight two or more is repeated as a whole, whatever it shares
+        parts.append([(None, 0) if w > 1 else (key, a) for key, (a, _), w in zip(own, bounds, weights)])
+    several: dict[int, list[tuple[int, bytes]]] = {}
+    for key in strings:
+        several.setdefault(key[0], []).append(key)
+    starts: dict[tuple[int, bytes], np.ndarray] = {}
+    batch: list[tuple[int, bytes]] = []
+
+    def flush():
+        if batch:
+            starts.update(zip(batch, repeated_starts([k[1] for k in batch], [strings[k] for k in batch], length)))
+            batch.clear()
+
+    for keys in several.values():
+        if len(keys) == 1:  # one string needs no order: all its places count
+            starts[keys[0]] = np.arange(len(keys[0][1]) - length + 1) if strings[keys[0]] > 1 else np.zeros(0, np.int64)
+            continue
+        batch += keys
+        if sum(len(k[1]) for k in batch) >= STRING_BYTES:
+            flush()
+    flush()
+    out = []
+    for (contexts, _, weights), placed in zip(grams, parts):
+        out.append([np.arange(len(c) - length + 1) if w > 1 else starts[key] + a if key is not None else np.zeros(0, np.int64)
+                    for c, w, (key, a) in zip(contexts, weights, placed)])
+    return out
+
+
 # -- anchors --------------------------------------------------------------------------------------------------------
 _FACTOR = 0x9E3779B97F4A7C15
 _BYTE = np.array([xxhash.xxh64_intdigest(bytes([b]), 17) for b in range(256)], np.uint64)
@@ -191,26 +261,27 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-RECORD = "fp long, ctx long, _id long, _h long, first long, n int"
+RECORD = "fp long, ctx long, _id long, _h long, first long, n int, at int"
 
 
 def records(docs: DataFrame, length: int) -> DataFrame:
-    """One row per record: hash of the gram, hash of the stretch, document, first window, number of windows."""
+    """One row per record: hash of the gram, hash of the stretch, document, first window, number of windows, and the
+    gram's place behind the first window's start."""
 
     def kernel(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            cols: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            cols: list[list[np.ndarray]] = [[], [], [], [], [], [], []]
             for key, h, text in zip(*(c.to_pylist() for c in batch.columns)):
                 raw = (text or "").encode()
                 if len(raw) < length:
                     continue
-                fp, _, first, last = anchors(np.frombuffer(raw, np.uint8), length, GRAM)
+                fp, at, first, last = anchors(np.frombuffer(raw, np.uint8), length, GRAM)
                 ctx = np.fromiter((xxhash.xxh3_64_intdigest(raw[a:b + length]) for a, b in zip(first.tolist(), last.tolist())), np.uint64, len(first))
-                for c, x in zip(cols, (fp.view(np.int64), ctx.view(np.int64), np.full(len(fp), key), np.full(len(fp), h), first, last - first + 1)):
+                for c, x in zip(cols, (fp.view(np.int64), ctx.view(np.int64), np.full(len(fp), key), np.full(len(fp), h), first, last - first + 1, at - first)):
                     c.append(x)
-            kinds = (np.int64,) * 5 + (np.int32,)
+            kinds = (np.int64,) * 5 + (np.int32,) * 2
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(t) if c else np.zeros(0, t)) for c, t in zip(cols, kinds)],
-                                             ["fp", "ctx", "_id", "_h", "first", "n"])
+                                             ["fp", "ctx", "_id", "_h", "first", "n", "at"])
 
     return with_key(docs.select("doc_id", "text")).select(*KEY, "text").mapInArrow(kernel, RECORD)
 
@@ -238,22 +309,22 @@ def _sum(df: DataFrame, column: str) -> int:
 
 # -- the operator ---------------------------------------------------------------------------------------------------
 def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``fp, ctx, weight, bytes``: the contexts of ``wanted`` (``fp, ctx, weight``, one place of each)."""
-    places = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("fp", "ctx", "weight", "first", "n")).alias("places"))
+    """``fp, ctx, weight, at, bytes``: the contexts of ``wanted`` (``fp, ctx, weight``, one place of each)."""
+    places = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("fp", "ctx", "weight", "first", "n", "at")).alias("places"))
 
     def kernel(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             out = []
             for data, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = _unpack(data)
-                out += [(p["fp"], p["ctx"], p["weight"], raw[p["first"]:p["first"] + p["n"] + length - 1]) for p in places]
-            cols = list(zip(*out)) if out else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-                                             ["fp", "ctx", "weight", "bytes"])
+                out += [(p["fp"], p["ctx"], p["weight"], p["at"], raw[p["first"]:p["first"] + p["n"] + length - 1]) for p in places]
+            cols = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
+                                             ["fp", "ctx", "weight", "at", "bytes"])
 
     # rows that repeat a key bring the same bytes, so one of them is enough
     one = packed(docs).join(places, KEY).dropDuplicates(KEY)
-    return one.select("data", "places").mapInArrow(kernel, "fp long, ctx long, weight long, bytes binary")
+    return one.select("data", "places").mapInArrow(kernel, "fp long, ctx long, weight long, at int, bytes binary")
 
 
 FOUND = "fp long, ctx long, starts array<int>"
@@ -265,17 +336,12 @@ def by_suffix_arrays(contexts: DataFrame, length: int) -> DataFrame:
     buckets = max(1, -(-size // BUCKET_BYTES))
 
     def bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        rows = rows.sort_values(["fp", "ctx"])
-        sizes = rows.groupby("fp")["bytes"].agg(lambda b: sum(map(len, b)))
-        share = (sizes.cumsum() // BUCKET_BYTES).to_dict()  # a bucket that has come out large is done in parts
-        for _, part in rows.groupby(rows.fp.map(share)):
-            found = repeated_starts(part["bytes"].tolist(), part.weight.tolist(), length)
-            out += [(f, c, s.tolist()) for f, c, s in zip(part.fp, part.ctx, found) if len(s)]
+        grams = [g for _, g in rows.sort_values(["fp", "ctx"]).groupby("fp")]
+        found = repeated_in_grams([(g["bytes"].tolist(), g["at"].tolist(), g.weight.tolist()) for g in grams], length)
+        out = [(f, c, s.tolist()) for g, starts in zip(grams, found) for f, c, s in zip(g.fp, g.ctx, starts) if len(s)]
         return pd.DataFrame(out, columns=["fp", "ctx", "starts"])
 
-    return contexts.groupBy(F.pmod(F.xxhash64("fp"), F.lit(buckets)).alias("bucket")).applyInPandas(
-        lambda rows: bucket(rows), FOUND) if size else contexts.sparkSession.createDataFrame([], FOUND)
+    return contexts.groupBy(F.pmod(F.xxhash64("fp"), F.lit(buckets)).alias("bucket")).applyInPandas(bucket, FOUND) if size else contexts.sparkSession.createDataFrame([], FOUND)
 
 
 def by_windows(contexts: DataFrame, length: int) -> DataFrame:
@@ -304,7 +370,7 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     all_records = written(records(docs, length), "suffix-records")
     shared = written(all_records.groupBy("fp").agg(F.count("*").alias("times")).where("times > 1"), "suffix-grams")
     near = written(join_counted(all_records, shared, "fp", "times", _sum(shared, "times")), "suffix-near")
-    contexts = near.groupBy("fp", "ctx").agg(F.count("*").alias("weight"), F.min(F.struct(*KEY, "first", "n")).alias("place"))
+    contexts = near.groupBy("fp", "ctx").agg(F.count("*").alias("weight"), F.min(F.struct(*KEY, "first", "n", "at")).alias("place"))
     contexts = written(contexts.select("fp", "ctx", "weight", "place.*"), "suffix-contexts")
     kinds = contexts.groupBy("fp").agg(F.count("*").alias("kinds"))
     # a gram with one context: all its windows are repeated; its records are those of its context
@@ -313,7 +379,7 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     told = written(join_counted(contexts, kinds, "fp", "kinds", _sum(kinds, "kinds")), "suffix-told")
     several = told.where(~single & (F.col("kinds") <= CONTEXTS))
     many = told.where(F.col("kinds") > CONTEXTS)
-    bytes_of = written(fetch(docs, several.unionByName(many).select(*KEY, "fp", "ctx", "weight", "first", "n"), length)
+    bytes_of = written(fetch(docs, several.unionByName(many).select(*KEY, "fp", "ctx", "weight", "first", "n", "at"), length)
                        .join(kinds.where("kinds > 1"), "fp"), "suffix-bytes") if told.where(~single).limit(1).count() else None
     starts = [told.where(single).select("fp", "ctx", F.lit(None).cast("array<int>").alias("starts"))]
     if bytes_of is not None:

@@ -50,6 +50,19 @@ def test_anchors_are_the_same_for_equal_windows():
     assert (h[:253] == h[300:]).all() and len(np.unique(h[:253])) > 200
 
 
+def test_repeated_starts_against_brute_force():
+    rnd = random.Random(9)
+    for _ in range(30):
+        texts = [bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(8, 40))) for _ in range(6)]
+        weights = [rnd.choice([1, 1, 2]) for _ in texts]
+        times = {}
+        for t, w in zip(texts, weights):
+            for i in range(len(t) - 7):
+                times[t[i:i + 8]] = times.get(t[i:i + 8], 0) + w
+        for t, starts in zip(texts, S.repeated_starts(texts, weights, 8)):
+            assert starts.tolist() == [i for i in range(len(t) - 7) if times[t[i:i + 8]] > 1]
+
+
 def sample(rnd):
     word = lambda: "".join(rnd.choice("abcdeé") for _ in range(rnd.randrange(1, 9)))
     prose = lambda n: " ".join(word() for _ in range(n))
@@ -71,6 +84,7 @@ def sample(rnd):
 def test_against_brute_force(docs_of, monkeypatch, contexts):
     monkeypatch.setattr(S, "CONTEXTS", contexts)
     monkeypatch.setattr(S, "BUCKET_BYTES", 5000)
+    monkeypatch.setattr(S, "STRING_BYTES", 2000)
     monkeypatch.setattr(S, "CHUNK", 333)
     texts = sample(random.Random(contexts))
     rows = list(enumerate(texts)) + [(3000, "same id " + texts[20]), (3000, "x"), (5, texts[5]), (None, texts[6][:250])]
