@@ -2,8 +2,6 @@
 
 Windows are partitioned by ``run``; a run's epoch log is bounded by its
 epoch count, so each window partition is small and runs spread over tasks.
-The LR-plateau replay is a sequential fold per run (``aggregate`` over the
-run's sorted epochs), parallel across runs.
 """
 
 from __future__ import annotations
@@ -65,37 +63,10 @@ def early_stop_epoch(log: DataFrame, patience: int = 3, metric: str = "val_acc")
     )
 
 
-def lr_plateau(log: DataFrame, lr0: float, factor: float = 0.5, patience: int = 2,
-               threshold: float = 1e-4, min_lr: float = 0.0, eps: float = 1e-8,
-               metric: str = "val_acc") -> DataFrame:
-    """Replay reduce-on-plateau (mode max, relative threshold) over each run's log.
-
-    Per epoch: improvement when value > best * (1 + threshold); otherwise the
-    bad-epoch counter grows; when it exceeds ``patience`` the rate is
-    multiplied by ``factor`` (not below ``min_lr``) and the counter resets.
-    Output ``(run, epoch, lr)`` = the rate after that epoch's step.
-    """
-    seq = log.groupBy("run").agg(
-        F.array_sort(F.collect_list(F.struct("epoch", F.col(metric).cast("double").alias("v")))).alias("s"))
-    init = F.struct(F.lit(float("-inf")).alias("best"), F.lit(0).alias("bad"),
-                    F.lit(float(lr0)).alias("lr"), F.array().cast("array<double>").alias("lrs"))
-
-    def step(acc, x):
-        better = x["v"] > acc["best"] * (1.0 + threshold)
-        bad1 = F.when(better, F.lit(0)).otherwise(acc["bad"] + 1)
-        cut = bad1 > patience
-        lowered = F.greatest(acc["lr"] * factor, F.lit(min_lr))
-        new_lr = F.when(cut & ((acc["lr"] - lowered) > eps), lowered).otherwise(acc["lr"])
-        return F.struct(
-            F.when(better, x["v"]).otherwise(acc["best"]).alias("best"),
-            F.when(cut, F.lit(0)).otherwise(bad1).alias("bad"),
-            new_lr.alias("lr"),
-            F.concat(acc["lrs"], F.array(new_lr)).alias("lrs"),
-        )
-
-    folded = seq.select("run", "s", F.aggregate("s", init, step)["lrs"].alias("lrs"))
-    return folded.select("run", F.inline(F.arrays_zip(
-        F.transform("s", lambda e: e["epoch"]).alias("epoch"), F.col("lrs").alias("lr"))))
+def lr_changes(log: DataFrame, lr_col: str = "lr") -> DataFrame:
+    """The logged learning rate per epoch, and whether it differs from the epoch before (a reduction on plateau)."""
+    before = F.lag(lr_col).over(Window.partitionBy("run").orderBy("epoch"))
+    return log.select("run", "epoch", F.col(lr_col).alias("lr"), F.coalesce(F.col(lr_col) != before, F.lit(False)).alias("changed"))
 
 
 def compare_runs(logs: list[DataFrame] | DataFrame, metrics: tuple[str, ...] | None = None) -> DataFrame:

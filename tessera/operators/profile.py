@@ -26,9 +26,18 @@ def union_splits(full: DataFrame, split_df: DataFrame, split_col: str = "split",
     return full.withColumn(split_col, F.lit(full_name)).unionByName(split_df)
 
 
-def class_distribution(df: DataFrame, label_col: str = "label", by: str = "split") -> DataFrame:
+def with_total(counts: DataFrame, by: str, total: str | None) -> DataFrame:
+    """Counts per group, and once more under the group name ``total`` for the whole collection.
+
+    Applied to aggregated rows, so the collection is not read again beside its splits.
+    """
+    return counts if total is None else counts.withColumn(by, F.explode(F.array(F.col(by), F.lit(total))))
+
+
+def class_distribution(df: DataFrame, label_col: str = "label", by: str = "split", total: str | None = None) -> DataFrame:
     """Rows per label and their percentage of the group total."""
-    counts = df.groupBy(by, label_col).agg(F.count(F.lit(1)).alias("n"))
+    counts = with_total(df.groupBy(by, label_col).agg(F.count(F.lit(1)).alias("n")), by, total)
+    counts = counts.groupBy(by, label_col).agg(F.sum("n").alias("n"))
     tot = F.sum("n").over(Window.partitionBy(by))  # window over the (group, label) table
     return counts.withColumn("pct", 100.0 * F.col("n") / tot)
 
@@ -66,52 +75,52 @@ def with_token_length(df: DataFrame, text_col: str = "text", out: str = "n_token
     return df.withColumn(out, token_count(text_col))
 
 
-def token_length_stats(df: DataFrame, text_col: str = "text", by: str = "split") -> DataFrame:
-    """P5: mean and exact median whitespace-token count per group.
+def length_counts(df: DataFrame, text_col: str = "text", by: str = "split", total: str | None = None) -> DataFrame:
+    """``(by, n_tokens, n)``: rows per group and whitespace-token count; each text is tokenized once."""
+    counts = df.groupBy(by, token_count(text_col).alias("n_tokens")).agg(F.count(F.lit(1)).alias("n"))
+    return with_total(counts, by, total).groupBy(by, "n_tokens").agg(F.sum("n").alias("n"))
+
+
+def token_length_stats(df: DataFrame, text_col: str = "text", by: str = "split", total: str | None = None) -> DataFrame:
+    """P5: mean and exact median whitespace-token count per group, from the counts of each length.
 
-    ``median`` is the exact percentile (midpoint of the two middle values);
-    its buffer is a value->count map, so it grows with distinct lengths only.
+    The median is the exact percentile (midpoint of the two middle values), weighted by the counts.
     """
-    n = token_count(text_col)
-    return df.groupBy(by).agg(F.avg(n).alias("mean_tokens"), F.median(n).alias("median_tokens"))
+    x = length_counts(df, text_col, by, total)
+    return x.groupBy(by).agg((F.sum(F.col("n_tokens") * F.col("n")) / F.sum("n")).alias("mean_tokens"),
+                             F.percentile("n_tokens", 0.5, F.col("n")).alias("median_tokens"))
 
 
-def equal_width_histogram(df: DataFrame, value_col: str, bins: int, by: list[str],
-                          integer: bool = False) -> DataFrame:
+def equal_width_histogram(counts: DataFrame, value_col: str, bins: int, by: str, integer: bool = False,
+                          weight: str = "n") -> DataFrame:
     """Equal-width bins over [min, max] of each group, last bin closed, empty bins kept.
 
-    min/max come from one aggregate joined back on the group key (one row per
-    group); the bin grid is generated with ``sequence`` per group.
+    ``counts`` has one row per group and value with its number of rows, so a group's window and grid are bounded by
+    its distinct values.
     """
-    stats = df.groupBy(*by).agg(F.min(value_col).alias("_mn"), F.max(value_col).alias("_mx"))
+    own = Window.partitionBy(by)
+    ranged = counts.withColumns({"_mn": F.min(value_col).over(own), "_mx": F.max(value_col).over(own)})
     x, mn, mx = F.col(value_col), F.col("_mn"), F.col("_mx")
     if integer:
         raw = F.floor((x - mn) * bins / (mx - mn))
     else:
         raw = F.floor((x - mn) * (bins / (mx - mn)))
     b = F.when(mx == mn, F.lit(bins // 2)).otherwise(F.least(raw, F.lit(bins - 1))).cast("int")
-    counts = (
-        df.select(*by, value_col).join(F.broadcast(stats), by)
-        .groupBy(*by, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    )
     lo = F.when(mx == mn, mn - 0.5).otherwise(mn.cast("double"))
     width = F.when(mx == mn, F.lit(1.0)).otherwise((mx - mn).cast("double")) / bins
-    grid = stats.select(*by, lo.alias("_lo"), width.alias("_w"),
-                        F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
-    return (
-        grid.join(counts, [*by, "bin"], "left")
-        .select(*by, "bin",
-                (F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_lo"),
-                (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("bin_hi"),
-                F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
-    )
+    # the group's filled bins in one row, then all of its bins
+    filled = ranged.groupBy(by, lo.alias("_lo"), width.alias("_w"), b.alias("bin")).agg(F.sum(weight).alias("n")) \
+        .groupBy(by, "_lo", "_w").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("_n"))
+    return filled.select(by, "_lo", "_w", "_n", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin")).select(
+        by, "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("bin_lo"),
+        (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("bin_hi"),
+        F.coalesce(F.try_element_at("_n", F.col("bin")), F.lit(0)).cast("bigint").alias("n"))
 
 
 def token_length_histogram(df: DataFrame, text_col: str = "text", by: str = "split",
-                           bins: int = 50) -> DataFrame:
+                           bins: int = 50, total: str | None = None) -> DataFrame:
     """50 equal-width bins of whitespace-token counts per group."""
-    lengths = df.select(by, token_count(text_col).alias("n_tokens"))
-    return equal_width_histogram(lengths, "n_tokens", bins, [by], integer=True)
+    return equal_width_histogram(length_counts(df, text_col, by, total), "n_tokens", bins, by, integer=True)
 
 
 def avg_length_per_label(df: DataFrame, text_col: str = "text", label_col: str = "label") -> DataFrame:
@@ -120,10 +129,11 @@ def avg_length_per_label(df: DataFrame, text_col: str = "text", label_col: str =
 
 
 def word_frequency(df: DataFrame, text_col: str = "text", by: str = "split",
-                   stopwords: Iterable[str] | None = None) -> DataFrame:
+                   stopwords: Iterable[str] | None = None, total: str | None = None) -> DataFrame:
     """Frequency of profile tokens (T9) per group."""
     toks = df.select(by, F.explode_outer(alpha_tokens(text_col, stopwords)).alias("token"))
-    return toks.where(F.col("token").isNotNull()).groupBy(by, "token").agg(F.count(F.lit(1)).alias("n"))
+    counts = toks.where(F.col("token").isNotNull()).groupBy(by, "token").agg(F.count(F.lit(1)).alias("n"))
+    return counts if total is None else with_total(counts, by, total).groupBy(by, "token").agg(F.sum("n").alias("n"))
 
 
 def _whitespace_token_counts(df: DataFrame, text_col: str) -> DataFrame:
@@ -163,7 +173,12 @@ def top_tokens_per_class(df: DataFrame, text_col: str = "text", label_col: str =
 
 
 def duplicate_rows(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Rows equal (in ``cols``) to an earlier row = sum over groups of (size - 1)."""
+    """Rows equal (in ``cols``) to an earlier row = sum over groups of (size - 1).
+
+    Rows are grouped by a 256-bit hash of the columns (as JSON, which tells null from empty), so texts stay where they
+    are.
+    """
     cols = cols or df.columns
-    groups = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_c"))
+    row = F.sha2(F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}), 256)
+    groups = df.groupBy(F.unhex(row).alias("_row")).agg(F.count(F.lit(1)).alias("_c"))
     return groups.agg(F.coalesce(F.sum(F.col("_c") - 1), F.lit(0)).cast("bigint").alias("n_duplicates"))

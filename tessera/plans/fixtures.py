@@ -3,8 +3,9 @@
 * prediction scores -- nearest-centroid logits over ``embeddings`` (hidden
   states), one run per feature width; logit = -squared distance to the class
   centroid, rounded to 6 digits so every engine ranks the same values.
-* epoch/batch logs -- aggregates of ``events``: run := event_type,
-  epoch := user bucket, batch := event-id block.
+* epoch/batch logs -- aggregates of ``events``: run := event_type and block of
+  EPOCHS user buckets, epoch := the bucket in its block (so runs grow with the
+  users and a run has EPOCHS epochs at most), batch := event-id block.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from ..sources.tables import read_table
 # --- fixed values: fixture runs (name, number of leading embedding dims used)
 RUNS = (("full64", 64), ("dims8", 8))
 USERS_PER_EPOCH = 15
+EPOCHS = 10  # of a run
 EVENTS_PER_BATCH = 64
 
 
@@ -78,8 +80,8 @@ def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     ev = read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
     return (
         ev.select(
-            F.col("event_type").alias("run"),
-            F.floor(F.col("user_id") / USERS_PER_EPOCH).cast("int").alias("epoch"),
+            F.concat_ws("-", "event_type", F.floor(F.col("user_id") / (USERS_PER_EPOCH * EPOCHS))).alias("run"),
+            F.pmod(F.floor(F.col("user_id") / USERS_PER_EPOCH), F.lit(EPOCHS)).cast("int").alias("epoch"),
             F.when(F.pmod("event_id", F.lit(5)) == 0, "val").otherwise("train").alias("phase"),
             F.floor(F.col("event_id") / EVENTS_PER_BATCH).cast("bigint").alias("batch_id"),
             F.log1p("value").alias("loss"),

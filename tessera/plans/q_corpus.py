@@ -124,27 +124,27 @@ def _truncate(spark, sf):
 
 # ---------------------------------------------------------------- filters (B1, B2)
 
-_JOINED = """j AS (SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"""
+_JOINED = """j AS (SELECT d.doc_id, d.text, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"""
 
 
 def _joined(spark, sf):
-    d = read_table(spark, sf, "documents").select("doc_id", "lang")
+    d = read_table(spark, sf, "documents").select("doc_id", "text", "lang")
     lab = read_table(spark, sf, "labels").select("doc_id", "quality", "toxic")
     return d.join(lab, "doc_id", "left")
 
 
 @query("drop_null_rows", f"""WITH {_JOINED}
-SELECT * FROM j WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL""")
+SELECT * FROM j WHERE doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL""")
 def _drop_null(spark, sf):
     return filters.drop_null_rows(_joined(spark, sf))
 
 
 @query("project_xy", f"""WITH {_JOINED}
-SELECT doc_id, quality AS label FROM j WHERE doc_id IS NOT NULL AND lang IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL""")
+SELECT doc_id, text, quality AS label FROM j WHERE doc_id IS NOT NULL AND text IS NOT NULL AND lang IS NOT NULL AND quality IS NOT NULL AND toxic IS NOT NULL""")
 def _project_xy(spark, sf):
     clean = filters.drop_null_rows(_joined(spark, sf)).withColumnRenamed("quality", "label")
-    _, y = filters.project_xy(clean, text_col="lang", label_col="label")
-    return y
+    x, y = filters.project_xy(clean, text_col="text", label_col="label")
+    return x.join(y, "doc_id")
 
 
 # ---------------------------------------------------------------- splits (S)
@@ -176,7 +176,7 @@ def _union(spark, sf):
 @query("class_distribution", f"""WITH {UNION}, c AS (SELECT split, label, count(*) AS n FROM u GROUP BY split, label)
 SELECT split, label, n, round(100.0 * n / sum(n) OVER (PARTITION BY split), 6) AS pct FROM c""")
 def _class_dist(spark, sf):
-    return rounded(profile.class_distribution(union_docs(spark, sf)))
+    return rounded(profile.class_distribution(split_docs(spark, sf), total="full"))
 
 
 @query("table_profile", """SELECT a.n_rows, v.ordinal, v.column_name, v.data_type,
@@ -202,7 +202,7 @@ def _distinct_labels(spark, sf):
 @query("token_length_stats", f"""WITH {UNION}
 SELECT split, round(avg({q.token_count('text')}), 6) AS mean_tokens, round(median({q.token_count('text')}), 6) AS median_tokens FROM u GROUP BY split""")
 def _length_stats(spark, sf):
-    return rounded(profile.token_length_stats(union_docs(spark, sf)))
+    return rounded(profile.token_length_stats(split_docs(spark, sf), total="full"))
 
 
 @query("token_length_histogram", f"""WITH {UNION},
@@ -217,7 +217,7 @@ SELECT g.split, CAST(g.bin AS INTEGER) AS bin,
        coalesce(b.n, 0) AS n
 FROM g LEFT JOIN b USING (split, bin)""")
 def _length_hist(spark, sf):
-    return rounded(profile.token_length_histogram(union_docs(spark, sf)))
+    return rounded(profile.token_length_histogram(split_docs(spark, sf), total="full"))
 
 
 @query("avg_length_per_label", f"WITH {DOCS} SELECT label, round(avg({q.token_count('text')}), 6) AS avg_tokens FROM docs GROUP BY label")
@@ -228,7 +228,7 @@ def _avg_len(spark, sf):
 @query("word_frequency", f"""WITH {UNION}, t AS (SELECT split, unnest({q.alpha_tokens('text')}) AS token FROM u)
 SELECT split, token, count(*) AS n FROM t GROUP BY split, token""")
 def _word_freq(spark, sf):
-    return profile.word_frequency(union_docs(spark, sf))
+    return profile.word_frequency(split_docs(spark, sf), total="full")
 
 
 @query("vocabulary_size", f"WITH {DOCS} SELECT count(DISTINCT tok) AS vocabulary_size FROM (SELECT unnest({q.nonempty_split('text')}) AS tok FROM docs)")

@@ -9,10 +9,11 @@ from ..functions.text import basic_english_tokens, normalize_placeholders, trunc
 from ..operators import epochs as E
 from ..sources.tables import read_table
 from . import sqlparts as q
-from .fixtures import EVENTS_PER_BATCH, USERS_PER_EPOCH, batch_log
+from .fixtures import EPOCHS, EVENTS_PER_BATCH, USERS_PER_EPOCH, batch_log
 from .registry import query, rounded
 
-BATCH = f"""bl AS (SELECT event_type AS run, CAST(floor(user_id / {USERS_PER_EPOCH}) AS INTEGER) AS epoch,
+BATCH = f"""bl AS (SELECT event_type || '-' || CAST(floor(user_id / {USERS_PER_EPOCH * EPOCHS}) AS BIGINT) AS run,
+              CAST(floor(user_id / {USERS_PER_EPOCH}) AS INTEGER) % {EPOCHS} AS epoch,
               CASE WHEN event_id % 5 = 0 THEN 'val' ELSE 'train' END AS phase,
               CAST(floor(event_id / {EVENTS_PER_BATCH}) AS BIGINT) AS batch_id,
               count(*) AS n, avg(ln(1 + value)) AS batch_loss, sum(CASE WHEN value < 100 THEN 1 ELSE 0 END) AS correct
@@ -56,33 +57,30 @@ def _e3(spark, sf):
     return E.early_stop_epoch(elog(spark, sf), patience=3)
 
 
-_REL = repr(1.0 + 1e-4)  # the same double the Spark fold multiplies by
-
-_LR_SQL = f"""WITH RECURSIVE {BATCH},
-ord AS (SELECT run, epoch, val_acc, row_number() OVER (PARTITION BY run ORDER BY epoch) AS k FROM el),
-st(run, k, epoch, best, bad, lr) AS (
-  SELECT run, k, epoch, val_acc, 0, 0.001::DOUBLE FROM ord WHERE k = 1
-  UNION ALL
-  SELECT o.run, o.k, o.epoch,
-         CASE WHEN o.val_acc > st.best * {_REL} THEN o.val_acc ELSE st.best END,
-         CASE WHEN o.val_acc > st.best * {_REL} THEN 0 WHEN st.bad + 1 > 2 THEN 0 ELSE st.bad + 1 END,
-         CASE WHEN o.val_acc <= st.best * {_REL} AND st.bad + 1 > 2 AND st.lr - greatest(st.lr * 0.5, 0.0) > 1e-8
-              THEN greatest(st.lr * 0.5, 0.0) ELSE st.lr END
-  FROM st JOIN ord o ON o.run = st.run AND o.k = st.k + 1)
-SELECT run, epoch, lr FROM st"""
+# the logged rate: halved after every third epoch
+_LR_SQL = f"""WITH {BATCH}, lr AS (SELECT run, epoch, 0.001::DOUBLE / (1 << (epoch // 3)) AS lr FROM el)
+SELECT run, epoch, lr, lr <> lag(lr, 1, lr) OVER (PARTITION BY run ORDER BY epoch) AS changed FROM lr"""
 
 
 @query("lr_plateau", _LR_SQL)
 def _e4(spark, sf):
-    # lr values are exact binary halvings of lr0: compared unrounded
-    return E.lr_plateau(elog(spark, sf), lr0=0.001, factor=0.5, patience=2)
+    log = elog(spark, sf).withColumn("lr", F.lit(0.001) / F.expr("shiftleft(1, epoch div 3)"))
+    return E.lr_changes(log)
+
+
+# runs of one event type log two columns more than the others
+_MORE = "CASE WHEN run LIKE 'click-%' THEN {} END"
 
 
-@query("compare_runs", f"""WITH {BATCH}
-SELECT run, epoch, metric, round(value, 6) AS value FROM (UNPIVOT el ON train_loss, val_loss, train_acc, val_acc
+@query("compare_runs", f"""WITH {BATCH},
+more AS (SELECT *, {_MORE.format('2 * train_loss')} AS grad_norm, {_MORE.format('val_acc / 2')} AS attn_entropy FROM el)
+SELECT run, epoch, metric, round(value, 6) AS value FROM (UNPIVOT more ON train_loss, val_loss, train_acc, val_acc, grad_norm, attn_entropy
   INTO NAME metric VALUE value) WHERE value IS NOT NULL""")
 def _e5(spark, sf):
-    return rounded(E.compare_runs(elog(spark, sf), ("train_loss", "val_loss", "train_acc", "val_acc")))
+    log = elog(spark, sf)
+    rich = log.where(F.col("run").startswith("click-")).withColumns(
+        {"grad_norm": 2 * F.col("train_loss"), "attn_entropy": F.col("val_acc") / 2})
+    return rounded(E.compare_runs([log.where(~F.col("run").startswith("click-")), rich]))
 
 
 def traces(spark, sf):

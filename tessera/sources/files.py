@@ -55,12 +55,23 @@ def scan_runs(spark: SparkSession, root: str, file_glob: str = "metrics.csv",
     """A2: read ``root/*/<file_glob>`` of many run directories in one scan, tagged by directory.
 
     Directory names such as ``(100, 50)`` and CRLF line ends are fine; a run
-    directory without the file simply contributes no rows (see A10).
+    directory without the file simply contributes no rows, and if none has it, the scan is empty (see A10).
     """
-    df = csv_reader(spark, schema).csv(f"{root.rstrip('/')}/*/{file_glob}")
+    path = f"{root.rstrip('/')}/*/{file_glob}"
+    if schema is not None and not _any_file(spark, path):
+        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return spark.createDataFrame([], T.StructType([T.StructField(tag, T.StringType()), *kind.fields]))
+    df = csv_reader(spark, schema).csv(path)
     return df.select(parent_dir().alias(tag), *df.columns)
 
 
+def _any_file(spark: SparkSession, pattern: str) -> bool:
+    """Whether a path pattern matches anything, in whatever file system it names."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    return bool(path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path))
+
+
 def scan_nested_runs(spark: SparkSession, root: str, file_name: str, schema, tags: tuple[str, str]) -> DataFrame:
     """A2 for two-level layouts ``root/<a>/<b>/<file>`` (e.g. vectorizer/layers/loss.csv)."""
     df = csv_reader(spark, schema).csv(f"{root.rstrip('/')}/*/*/{file_name}")
@@ -78,6 +89,17 @@ def scan_json_arrays(spark: SparkSession, path: str, schema: T.StructType | str,
     return df.select(parent_dir().alias(tag), *df.columns) if tag else df
 
 
+def write_json_arrays(df: DataFrame, path: str, partition_by: str, rows_per_file: int = 10_000) -> None:
+    """The layout that ``scan_json_arrays`` reads: files with one pretty-printed JSON array of objects each, below a
+    folder per value of ``partition_by``; a file has ``rows_per_file`` objects at most, about."""
+    cols = [c for c in df.columns if c != partition_by]
+    sizes = df.groupBy(partition_by).agg(F.ceil(F.count(F.lit(1)) / rows_per_file).alias("_files"))  # one row per folder
+    dealt = df.join(sizes, partition_by).withColumn("_file", F.pmod(F.xxhash64(*cols), F.col("_files")))
+    arrays = dealt.groupBy(partition_by, "_file").agg(F.to_json(F.collect_list(F.struct(*cols)), {"pretty": "true"}).alias("value"))
+    # a file is one JSON value, so one array
+    arrays.select(partition_by, "value").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy(partition_by).text(path)
+
+
 TRACE_SCHEMA = "epoch INT, tokens ARRAY<STRING>, attention_weights ARRAY<DOUBLE>"
 
 

@@ -21,9 +21,17 @@ def test_early_stop(spark):
     assert r["stop_epoch"] == 3 and r["stopped_early"]
 
 
-def test_lr_plateau_replay(spark):
-    got = [r["lr"] for r in E.lr_plateau(log(spark), lr0=0.01, factor=0.5, patience=1).orderBy("epoch").collect()]
-    assert got == pytest.approx([0.01, 0.01, 0.005, 0.005, 0.005])
+def test_lr_changes_of_the_log(spark):
+    rows = [("r", e, lr) for e, lr in enumerate([0.01, 0.01, 0.005, 0.005, 0.0025])] + [("q", 3, 1.0)]
+    out = E.lr_changes(spark.createDataFrame(rows, "run string, epoch int, lr double")).collect()
+    assert sorted(r["epoch"] for r in out if r["changed"]) == [2, 4] and len(out) == 6
+
+
+def test_compare_runs_with_columns_that_some_runs_lack(spark):
+    a = spark.createDataFrame([("a", 0, 1.0)], "run string, epoch int, val_loss double")
+    b = spark.createDataFrame([("b", 0, 2.0, 0.5)], "run string, epoch int, val_loss double, grad_norm double")
+    got = {(r["run"], r["metric"]): r["value"] for r in E.compare_runs([a, b]).collect()}
+    assert got == {("a", "val_loss"): 1.0, ("b", "val_loss"): 2.0, ("b", "grad_norm"): 0.5}
 
 
 def test_weighted_epoch_means(spark):

@@ -64,3 +64,22 @@ def test_optional_inputs(spark):
     req = spark.createDataFrame([("a",), ("b",)], "run string")
     found = spark.createDataFrame([("a",)], "run string")
     assert [r["run"] for r in files.optional_inputs(req, found).collect()] == ["b"]
+
+
+def test_runs_without_the_file(spark):
+    root = tempfile.mkdtemp(prefix="tessera-none-")
+    os.makedirs(os.path.join(root, "runA"))
+    empty = files.scan_runs(spark, root, "test_metrics.csv", "epoch INT, val_loss DOUBLE")
+    assert empty.columns == ["run", "epoch", "val_loss"] and empty.count() == 0
+    missing = files.optional_inputs(spark.createDataFrame([("runA",)], "run string"), empty)
+    assert [(r["run"], r["status"]) for r in missing.collect()] == [("runA", "missing")]
+
+
+def test_json_arrays_round_trip_pretty_printed(spark):
+    root = os.path.join(tempfile.mkdtemp(prefix="tessera-json-"), "p")
+    df = spark.createDataFrame([("a", i, f"x{i}") for i in range(7)] + [("b", 9, None)], "run string, row_id long, name string")
+    files.write_json_arrays(df, root, "run", rows_per_file=3)
+    back = files.scan_json_arrays(spark, f"{root}/*/*.txt", "row_id BIGINT, name STRING")
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
+    part = next(os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".txt"))
+    assert len(open(part).read().splitlines()) > 3  # not one line per object
