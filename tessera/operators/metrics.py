@@ -138,6 +138,23 @@ def confusion_matrix(pred: DataFrame, counts: DataFrame | None = None) -> DataFr
                        label("pred_idx").alias("predicted_label"), n.cast("bigint").alias("n"))
 
 
+def test_metrics(pred: DataFrame) -> DataFrame:
+    """One nested row per run, as the evaluation writes it: accuracy, macro F1, class names, the matrix of counts and a
+    map of per-class figures.  A run has classes^2 counts."""
+    counts = pair_counts(pred)
+    rep = per_class_report(pred, counts)
+    per = rep.groupBy("run").agg(
+        F.avg("f1").alias("macro_f1"),
+        F.map_from_entries(F.collect_list(F.struct("label", F.struct("precision", "recall", "f1", "support")))).alias("per_class"))
+    cells = counts.groupBy("run").agg(
+        F.first("names").alias("classes"), (F.sum(F.when(F.col("true_idx") == F.col("pred_idx"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
+        F.map_from_entries(F.collect_list(F.struct(F.struct("true_idx", "pred_idx"), "n"))).alias("cells"))
+    index = F.transform("classes", lambda c, i: i)
+    cell = lambda i, j: F.coalesce(F.try_element_at("cells", F.struct(i.alias("true_idx"), j.alias("pred_idx"))), F.lit(0).cast("bigint"))
+    matrix = F.transform(index, lambda i: F.transform(index, lambda j: cell(i, j)))
+    return cells.join(per, "run").select("run", "accuracy", "macro_f1", "classes", matrix.alias("confusion_matrix"), "per_class")
+
+
 def topk_accuracy(pred: DataFrame, k: int = 3) -> DataFrame:
     """M7: share of rows whose true class is among the ``k`` best scores."""
     hit = A.topk_hit("logits", "true_idx", k).cast("double")

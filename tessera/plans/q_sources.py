@@ -9,13 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import epochs as E, metrics as M
+from ..operators import epochs as E, metrics as M, vocab
 from ..session import scratch_path
 from ..sources import files
 from ..sources.tables import read_table
 from . import sqlparts as q
 from .q_corpus import SPLITS, split_docs
-from .q_encode import SEQ, train_vocab
+from .q_encode import SEQ, ids_text, seq_tokens, train_vocab
 from .q_epochs import BATCH, elog, means
 from .q_metrics import PRED, preds
 from .registry import query, rounded
@@ -53,13 +53,16 @@ def _a3(spark, sf):
     return back.select("run", "row_id", "true_label", "predicted_label")
 
 
-@query("sink_history", f"WITH {BATCH} SELECT run, phase, epoch, round(loss, 6) AS loss FROM em")
+@query("sink_history", f"""WITH {BATCH}, fin AS (SELECT run, phase, arg_max(accuracy, epoch) AS accuracy FROM em GROUP BY run, phase)
+SELECT run, phase, epoch, round(loss, 6) AS loss, round(accuracy, 6) AS final_accuracy FROM em JOIN fin USING (run, phase)""".replace("accuracy, 6)", "fin.accuracy, 6)"))
 def _a6(spark, sf):
     root = scratch_path(spark, "history")
-    hist = means(spark, sf).select("run", "phase", "epoch", "loss")
-    files.sink_history(hist, root, keys=("run", "phase"))
-    back = files.scan_nested_runs(spark, root, "*.csv", "epoch INT, loss DOUBLE", ("run", "phase"))
-    return rounded(back)
+    m = means(spark, sf)
+    files.sink_history(m.select("run", "phase", "epoch", "loss"), f"{root}/loss", keys=("run", "phase"))
+    files.sink_accuracies(m.groupBy("run", "phase").agg(F.max_by("accuracy", "epoch").alias("final_accuracy")), f"{root}/accuracies")
+    back = files.scan_nested_runs(spark, f"{root}/loss", "*.csv", "epoch INT, loss DOUBLE", ("run", "phase"))
+    acc = files.csv_reader(spark, "run STRING, phase STRING, final_accuracy DOUBLE").csv(f"{root}/accuracies")
+    return rounded(back.join(acc, ["run", "phase"]))
 
 
 @query("sink_metrics", f"""WITH {PRED}
@@ -74,6 +77,22 @@ def _a7(spark, sf):
     return files.csv_reader(spark, schema).csv(f"{root}/csv")
 
 
+@query("nested_test_metrics", f"""WITH {PRED}
+SELECT g.run, g.true_idx, g.pred_idx, CAST(kt.cls AS VARCHAR) AS true_label, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n, round(rep.f1, 6) AS f1
+FROM (SELECT a.run, a.cidx AS true_idx, b.cidx AS pred_idx FROM kk a JOIN kk b USING (run)) g
+LEFT JOIN cnt USING (run, true_idx, pred_idx) JOIN kk kt ON kt.run = g.run AND kt.cidx = g.true_idx
+LEFT JOIN rep ON rep.run = g.run AND rep.class_idx = g.true_idx""")
+def _a7_nested(spark, sf):
+    root = scratch_path(spark, "test-metrics")
+    files.write_json_documents(M.test_metrics(preds(spark, sf)), root, "run")
+    back = files.scan_json_arrays(spark, f"{root}/*/*.txt", files.TEST_METRICS_SCHEMA)
+    rows = back.select("run", "classes", "per_class", F.posexplode("confusion_matrix").alias("true_idx", "row"))
+    cells = rows.select("run", "true_idx", F.element_at("classes", F.col("true_idx") + 1).alias("true_label"), "per_class",
+                        F.posexplode("row").alias("pred_idx", "n"))
+    return rounded(cells.select("run", "true_idx", "pred_idx", "true_label", "n",
+                                F.try_element_at("per_class", F.col("true_label"))["f1"].alias("f1")))
+
+
 @query("sink_splits", f"WITH {SPLITS} SELECT doc_id, label, split FROM splits")
 def _a8(spark, sf):
     root = scratch_path(spark, "splits")
@@ -88,6 +107,21 @@ def _a9(spark, sf):
     return files.load_artifacts(spark, root, ("vocab",))["vocab"]
 
 
+@query("artifact_reuse", f"""WITH {SEQ}, lab AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_idx
+  FROM (SELECT DISTINCT label FROM splits WHERE split = 'train'))
+SELECT doc_id, label_idx, array_to_string(ids, ' ') AS encoded FROM encl JOIN lab USING (label)""")
+def _a9_reuse(spark, sf):
+    # training saves vocabulary, label dictionary and prepared test rows; evaluation reads nothing else
+    root = scratch_path(spark, "artifacts")
+    sd = split_docs(spark, sf)
+    test = seq_tokens(spark, sf).where(F.col("split") == "test").select("doc_id", "label", "tokens")
+    files.save_artifacts({"vocab": train_vocab(spark, sf), "labels": vocab.label_dictionary(sd.where(F.col("split") == "train")),
+                          "prepared": test}, root)
+    a = files.load_artifacts(spark, root, ("vocab", "labels", "prepared"))
+    enc = vocab.label_encode(vocab.encode_tokens(a["prepared"], "tokens", a["vocab"]), a["labels"])
+    return enc.select("doc_id", "label_idx", ids_text("token_ids").alias("encoded"))
+
+
 @query("optional_inputs", f"""WITH {PRED} SELECT DISTINCT run, 'missing' AS status FROM p""")
 def _a10(spark, sf):
     root = scratch_path(spark, "runs-optional")

@@ -159,6 +159,11 @@ def sink_history(history: DataFrame, path: str, keys: tuple[str, ...] = ("vector
     write_csv(history, path, partition_by=list(keys))
 
 
+def sink_accuracies(accuracies: DataFrame, path: str) -> None:
+    """The table of all experiments' accuracies (one row per experiment key) beside their loss histories."""
+    write_csv(accuracies, path)
+
+
 def sink_metrics(metrics: DataFrame, path: str, formats: tuple[str, ...] = ("json", "csv")) -> None:
     """Metrics tables as JSON and/or CSV under ``path/<format>``."""
     for fmt in formats:
@@ -168,6 +173,18 @@ def sink_metrics(metrics: DataFrame, path: str, formats: tuple[str, ...] = ("jso
             metrics.write.mode("overwrite").format(fmt).save(f"{path}/{fmt}")
 
 
+#: Nested metrics of one run: figures, a map of classes and the matrix of counts (rows: true classes).
+TEST_METRICS_SCHEMA = ("accuracy DOUBLE, macro_f1 DOUBLE, classes ARRAY<STRING>, confusion_matrix ARRAY<ARRAY<BIGINT>>, "
+                       "per_class MAP<STRING, STRUCT<precision: DOUBLE, recall: DOUBLE, f1: DOUBLE, support: BIGINT>>")
+
+
+def write_json_documents(df: DataFrame, path: str, partition_by: str) -> None:
+    """One pretty-printed JSON object per row, each in a file of its own below its ``partition_by`` folder."""
+    cols = [c for c in df.columns if c != partition_by]
+    docs = df.select(partition_by, F.to_json(F.struct(*cols), {"pretty": "true"}).alias("value"))
+    docs.write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy(partition_by).text(path)
+
+
 def sink_splits(df: DataFrame, path: str, split_col: str = "split") -> None:
     """A split table partitioned by split name (readers prune to one split)."""
     df.write.mode("overwrite").partitionBy(split_col).parquet(path)
