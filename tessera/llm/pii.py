@@ -3,7 +3,7 @@
 Detected entities are e-mail and IP addresses, phone and card numbers, access keys, secrets behind a name such as
 ``password=``, and persons behind a title.  An entity's normal form (digits alone, lower case, ...) is what counts
 as the same entity; its surrogate is drawn from a keyed hash of type and normal form and has the same format: letters
-for letters, digits for digits, separators as in the mention, valid check digits where they were valid, octets within
+for letters, digits for digits, separators as in the mention, valid check digits, octets within
 range, and for persons given names of the title's gender and the name's script.
 
 Distinctness is checked over the whole corpus: of the entities of a type that draw the same surrogate one keeps it,
@@ -90,7 +90,7 @@ def detect(text: str | None) -> list[Mention]:
             if all(int(x) < 256 for x in m[0].split(".")):
                 add(m.start(), m.end(), "ip", ".".join(str(int(x)) for x in m[0].split(".")))
         for m in CARD.finditer(text):
-            if 13 <= len(d := _digits(m[0])) <= 19:
+            if 13 <= len(d := _digits(m[0])) <= 19 and luhn_ok(d):  # any other long number is no card
                 add(m.start(), m.end(), "card", d)
         for m in PHONE.finditer(text):
             if 9 <= len(d := _digits(m[0])) <= 15:
@@ -152,9 +152,7 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
         return ".".join(str(1 + draw.below(254)) for _ in range(4))
     if kind == "card":
         body = norm[0] + "".join(str(draw.below(10)) for _ in norm[1:-1])
-        if luhn_ok(norm):
-            return next(body + d for d in "0123456789" if luhn_ok(body + d))
-        return body + str(draw.below(10))
+        return next(body + d for d in "0123456789" if luhn_ok(body + d))
     if kind == "phone":
         code = len(norm) - 10 if len(norm) > 10 else 0  # the country's code stays
         return norm[:code] + str(2 + draw.below(8)) + "".join(str(draw.below(10)) for _ in norm[code + 1:])

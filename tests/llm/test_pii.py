@@ -15,6 +15,7 @@ def test_detection():
     assert [m.kind for m in pii.detect(TEXTS[2])] == []
     assert [m.norm for m in pii.detect(TEXTS[3])] == ["joe.doe@mail.example.com"] * 2
     assert len({m.norm for m in pii.detect(TEXTS[4])}) == 1 and [m.kind for m in pii.detect(TEXTS[5])] == ["card"] * 2
+    assert pii.detect("order 4539148803436468 and 9870157079875996") == []  # no valid check digit, no issuer
     assert [m.norm for m in pii.detect(TEXTS[6])] == ["61.131.143.218"]
     assert [m.kind for m in pii.detect(TEXTS[7])] == ["access", "secret", "secret"]
     assert [(m.kind, m.norm) for m in pii.detect(TEXTS[8])][:5] == [
