@@ -15,9 +15,12 @@ from pyspark.sql import types as T
 DOC_SCHEMA = T.StructType([T.StructField("abstract", T.StringType()), T.StructField("label", T.StringType())])
 
 
-def csv_reader(spark: SparkSession, schema: T.StructType | str | None):
-    """CSV reader matching ``write_csv``: header, multi-line quoted fields, explicit schema."""
-    r = (spark.read.option("header", True).option("multiLine", True).option("escape", '"')
+def csv_reader(spark: SparkSession, schema: T.StructType | str | None, multi_line: bool = False):
+    """CSV reader matching ``write_csv``: header, quoted fields, explicit schema.
+
+    ``multi_line`` is for texts with line breaks: such a file is one split.  Numeric logs are read without it.
+    """
+    r = (spark.read.option("header", True).option("multiLine", multi_line).option("escape", '"')
          .option("mode", "FAILFAST"))
     return r.schema(schema) if schema is not None else r.option("inferSchema", True)
 
@@ -26,12 +29,13 @@ def scan_documents(spark: SparkSession, path: str, schema: T.StructType | str =
                    text_col: str = "abstract", label_col: str = "label") -> DataFrame:
     """A1: labelled CSV with header and quoted multi-line text -> ``(doc_id, text, label, ...)``.
 
-    Without a ``doc_id`` column, a unique 64-bit id is assigned during the scan (no shuffle).
+    Without a ``doc_id`` column, the id is a hash of the file's name and the row, so it is the same in each run, however
+    the files are split; rows that repeat in a file share it.
     """
-    df = csv_reader(spark, schema).csv(path).withColumnsRenamed({text_col: "text", label_col: "label"})
+    df = csv_reader(spark, schema, multi_line=True).csv(path).withColumnsRenamed({text_col: "text", label_col: "label"})
     if "doc_id" in df.columns:
         return df
-    return df.withColumn("doc_id", F.monotonically_increasing_id())
+    return df.withColumn("doc_id", F.xxhash64(F.col("_metadata.file_name"), *df.columns))
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:

@@ -83,3 +83,11 @@ def test_json_arrays_round_trip_pretty_printed(spark):
     assert sorted(map(tuple, back.collect()), key=repr) == sorted(map(tuple, df.collect()), key=repr)
     part = next(os.path.join(d, f) for d, _, fs in os.walk(root) for f in fs if f.endswith(".txt"))
     assert len(open(part).read().splitlines()) > 3  # not one line per object
+
+
+def test_document_ids_do_not_depend_on_splits(spark):
+    root = tempfile.mkdtemp(prefix="tessera-docs-")
+    with open(os.path.join(root, "a.csv"), "w") as f:
+        f.write('abstract,label\n"two\nlines",x\nplain,y\nplain,y\n')
+    ids = [sorted((r["text"], r["doc_id"]) for r in files.scan_documents(spark, root).repartition(n).collect()) for n in (1, 4)]
+    assert ids[0] == ids[1] and len({i for _, i in ids[0]}) == 2 and ids[0][-1][0] == "two\nlines"
