@@ -13,7 +13,9 @@ strings are judged on the input, and all their places go.
    the rest is trimmed, and contexts that are equal then are one string with their weights added up.  In a bucket the
    suffix array of the strings is built (see ``suffix_array``); neighbouring suffixes that share ``length`` bytes are
    classes, repeated if their weights sum up to two.
-   A gram with over ``CONTEXTS`` contexts would not fit a bucket; its windows are dealt singly, by their hash.
+   A gram with over ``CONTEXTS`` contexts would not fit a bucket.  Its windows are split by where they start before the
+   gram: all of a half hold more bytes than the gram, and these are the grams that the halves are dealt by.  What is
+   still too large after ``HALVINGS`` rounds is dealt window by window, by hash.
 4. The windows found are united by document and cut out of the text.
 
 Null texts count as empty.  Rows that repeat id and text are two places: their bytes go like any other copy's.
@@ -31,10 +33,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, join_counted, with_key, written
+from .common import KEY, join_counted, slices, with_key, written
 
 GRAM = 48
 CONTEXTS = 1000  #: contexts of one gram that may meet in a bucket
+HALVINGS = 4
 BUCKET_BYTES = 1 << 18  #: context bytes of a bucket, before they are trimmed
 STRING_BYTES = 1 << 16  #: bytes of one suffix array
 CHUNK = 1 << 20  #: windows handled at once
@@ -308,23 +311,57 @@ def _sum(df: DataFrame, column: str) -> int:
 
 
 # -- the operator ---------------------------------------------------------------------------------------------------
+CONTEXT = "fp long, kinds long, gram long, ctx long, weight long, shift int, at int, low int, high int, bytes binary"
+
+
 def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """``fp, ctx, weight, at, bytes``: the contexts of ``wanted`` (``fp, ctx, weight``, one place of each)."""
-    places = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("fp", "ctx", "weight", "first", "n", "at")).alias("places"))
+    """The contexts of ``wanted`` with their bytes, as CONTEXT: dealt by ``fp`` (of ``kinds`` contexts), belonging to
+    ``gram, ctx``, whose bytes begin ``shift`` behind the context's; the gram is at ``at``, and windows start from
+    ``low`` to ``high`` before it."""
+    places = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("fp", "kinds", "ctx", "weight", "first", "n", "at")).alias("places"))
 
     def kernel(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             out = []
             for data, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = _unpack(data)
-                out += [(p["fp"], p["ctx"], p["weight"], p["at"], raw[p["first"]:p["first"] + p["n"] + length - 1]) for p in places]
-            cols = list(zip(*out)) if out else [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))],
-                                             ["fp", "ctx", "weight", "at", "bytes"])
+                out += [(p["fp"], p["kinds"], p["fp"], p["ctx"], p["weight"], 0, p["at"], 0, length - GRAM,
+                         raw[p["first"]:p["first"] + p["n"] + length - 1]) for p in places]
+            yield _context_batch(out)
 
     # rows that repeat a key bring the same bytes, so one of them is enough
     one = packed(docs).join(places, KEY).dropDuplicates(KEY)
-    return one.select("data", "places").mapInArrow(kernel, "fp long, ctx long, weight long, at int, bytes binary")
+    return one.select("data", "places").mapInArrow(kernel, CONTEXT)
+
+
+def _context_batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int64()] * 5 + [pa.int32()] * 4 + [pa.binary()]
+    cols = list(zip(*rows)) if rows else [()] * len(kinds)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], [c.split()[0] for c in CONTEXT.split(", ")])
+
+
+def halves(contexts: DataFrame, length: int) -> DataFrame:
+    """Contexts cut in two by where their windows start before the gram, each dealt by the bytes all of the half hold;
+    those that share them with no other context are gone."""
+
+    def kernel(batches: Iterator[pa.RecordBatch]):
+        for batch in slices(batches, 1 << 22):
+            out = []
+            for fp, _, gram, ctx, weight, shift, at, low, high, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                mid = (low + high) // 2
+                for a, b in ((low, mid), (mid + 1, high)):
+                    # window starts, as places in raw: from at - b to at - a, as far as the context has them
+                    begin, end = max(0, at - b), min(len(raw) - length, at - a)
+                    if begin > end:
+                        continue
+                    core = raw[at - a:at - b + length]  # in every window of the half
+                    key = xxhash.xxh3_64_intdigest(core + bytes([a & 255]) + (fp & (1 << 64) - 1).to_bytes(8, "little"))
+                    out.append((key - (1 << 64) if key >> 63 else key, 0, gram, ctx, weight, shift + begin, at - begin, a, b, raw[begin:end + length]))
+            yield _context_batch(out)
+
+    cut = written(contexts.mapInArrow(kernel, CONTEXT).drop("kinds"), "suffix-halves")
+    sizes = written(cut.groupBy("fp").agg(F.count("*").alias("kinds"), F.sum("weight").alias("w")).where("w > 1"), "suffix-half-grams")
+    return written(join_counted(cut, sizes, "fp", "kinds", _sum(sizes, "kinds")).select(*[c.split()[0] for c in CONTEXT.split(", ")]), "suffix-half")
 
 
 FOUND = "fp long, ctx long, starts array<int>"
@@ -332,39 +369,47 @@ FOUND = "fp long, ctx long, starts array<int>"
 
 def by_suffix_arrays(contexts: DataFrame, length: int) -> DataFrame:
     """Repeated starts of each context; all contexts of a gram meet in one bucket."""
-    size = contexts.agg(F.sum(F.length("bytes"))).first()[0] or 0
+    size = _sum(contexts.select(F.length("bytes").alias("size")), "size")
     buckets = max(1, -(-size // BUCKET_BYTES))
 
     def bucket(rows: pd.DataFrame) -> pd.DataFrame:
-        grams = [g for _, g in rows.sort_values(["fp", "ctx"]).groupby("fp")]
+        grams = [g for _, g in rows.sort_values(["fp", "ctx", "shift"]).groupby("fp")]
         found = repeated_in_grams([(g["bytes"].tolist(), g["at"].tolist(), g.weight.tolist()) for g in grams], length)
-        out = [(f, c, s.tolist()) for g, starts in zip(grams, found) for f, c, s in zip(g.fp, g.ctx, starts) if len(s)]
+        out = [(f, c, (s + d).tolist()) for g, starts in zip(grams, found) for f, c, d, s in zip(g.gram, g.ctx, g["shift"], starts) if len(s)]
         return pd.DataFrame(out, columns=["fp", "ctx", "starts"])
 
-    return contexts.groupBy(F.pmod(F.xxhash64("fp"), F.lit(buckets)).alias("bucket")).applyInPandas(bucket, FOUND) if size else contexts.sparkSession.createDataFrame([], FOUND)
+    return contexts.groupBy(F.pmod(F.xxhash64("fp"), F.lit(buckets)).alias("bucket")).applyInPandas(bucket, FOUND)
 
 
 def by_windows(contexts: DataFrame, length: int) -> DataFrame:
     """The same for grams of very many contexts, window by window."""
 
     def kernel(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            fp, ctx, weight, hashes, starts = [], [], [], [], []
-            for f, c, w, raw in zip(*(x.to_pylist() for x in batch.columns)):
-                for s in range(len(raw) - length + 1):
-                    hashes.append(xxhash.xxh3_128_digest(raw[s:s + length]))
-                    starts.append(s)
-                fp += [f] * (len(raw) - length + 1)
-                ctx += [c] * (len(raw) - length + 1)
-                weight += [w] * (len(raw) - length + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(fp, pa.int64()), pa.array(ctx, pa.int64()), pa.array(weight, pa.int64()),
-                                              pa.array(hashes, pa.binary()), pa.array(starts, pa.int32())], ["fp", "ctx", "weight", "window", "start"])
-
-    rows = written(contexts.select("fp", "ctx", "weight", "bytes").mapInArrow(kernel, "fp long, ctx long, weight long, window binary, start int"), "suffix-windows")
+        for batch in slices(batches, 1 << 20):
+            out = [(gram, ctx, weight, xxhash.xxh3_128_digest(raw[s:s + length]), shift + s)
+                   for _, _, gram, ctx, weight, shift, _, _, _, raw in zip(*(c.to_pylist() for c in batch.columns)) for s in range(len(raw) - length + 1)]
+            cols = list(zip(*out)) if out else [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32()))],
+                                             ["fp", "ctx", "weight", "window", "start"])
+
+    rows = written(contexts.mapInArrow(kernel, "fp long, ctx long, weight long, window binary, start int"), "suffix-windows")
     twice = written(rows.groupBy("window").agg(F.sum("weight").alias("w"), F.count("*").alias("m")).where("w > 1"), "suffix-twice")
     return join_counted(rows, twice, "window", "m", _sum(twice, "m")).groupBy("fp", "ctx").agg(F.collect_list("start").alias("starts"))
 
 
+def starts_of(contexts: DataFrame, length: int) -> DataFrame:
+    """Repeated starts of all contexts, as FOUND; a context may have several rows."""
+    found = by_suffix_arrays(contexts.where(F.col("kinds") <= CONTEXTS), length)
+    large = contexts.where(F.col("kinds") > CONTEXTS)
+    for _ in range(HALVINGS):
+        if not large.limit(1).count():
+            return found
+        cut = halves(large, length)
+        found = found.unionByName(by_suffix_arrays(cut.where(F.col("kinds") <= CONTEXTS), length))
+        large = cut.where(F.col("kinds") > CONTEXTS)
+    return found.unionByName(by_windows(large, length)) if large.limit(1).count() else found
+
+
 def repeated(docs: DataFrame, length: int) -> DataFrame:
     """``_id, _h, spans``: per document the windows found, as ``first, n`` (n windows from a first on)."""
     all_records = written(records(docs, length), "suffix-records")
@@ -377,17 +422,10 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     single = F.col("kinds") == 1
     kinds = written(kinds, "suffix-kinds")
     told = written(join_counted(contexts, kinds, "fp", "kinds", _sum(kinds, "kinds")), "suffix-told")
-    several = told.where(~single & (F.col("kinds") <= CONTEXTS))
-    many = told.where(F.col("kinds") > CONTEXTS)
-    bytes_of = written(fetch(docs, several.unionByName(many).select(*KEY, "fp", "ctx", "weight", "first", "n", "at"), length)
-                       .join(kinds.where("kinds > 1"), "fp"), "suffix-bytes") if told.where(~single).limit(1).count() else None
-    starts = [told.where(single).select("fp", "ctx", F.lit(None).cast("array<int>").alias("starts"))]
-    if bytes_of is not None:
-        starts.append(by_suffix_arrays(bytes_of.where(F.col("kinds") <= CONTEXTS), length))
-        starts.append(by_windows(bytes_of.where(F.col("kinds") > CONTEXTS), length))
-    found = starts[0]
-    for s in starts[1:]:
-        found = found.unionByName(s)
+    found = told.where(single).select("fp", "ctx", F.lit(None).cast("array<int>").alias("starts"))
+    if told.where(~single).limit(1).count():
+        contexts = written(fetch(docs, told.where(~single), length), "suffix-bytes")
+        found = found.unionByName(starts_of(contexts, length))
     # back to all records of the contexts; the hash of the stretch is joined with its gram's
     mark = F.xxhash64("fp", "ctx")
     found = found.join(told.select("fp", "ctx", "weight"), ["fp", "ctx"]).withColumn("mark", mark)

@@ -80,8 +80,9 @@ def sample(rnd):
     return texts + [w + " " + prose(9) + " " + w, "abcdefghij" * 60]
 
 
-@pytest.mark.parametrize("contexts", [1000, 3])
-def test_against_brute_force(docs_of, monkeypatch, contexts):
+@pytest.mark.parametrize("contexts, halvings", [(1000, 4), (3, 4), (2, 1)])
+def test_against_brute_force(docs_of, monkeypatch, contexts, halvings):
+    monkeypatch.setattr(S, "HALVINGS", halvings)
     monkeypatch.setattr(S, "CONTEXTS", contexts)
     monkeypatch.setattr(S, "BUCKET_BYTES", 5000)
     monkeypatch.setattr(S, "STRING_BYTES", 2000)
