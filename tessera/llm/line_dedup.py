@@ -94,32 +94,35 @@ def without(text: str | None, starts: list[int] | None, run: int) -> tuple[str |
 
 
 def dedup(docs: DataFrame, gram: int = 2, run: int = 3) -> DataFrame:
-    """``docs`` with all columns, the shortened ``text``, and ``_n_lines`` and ``_n_removed`` behind them."""
-    base = docs.drop("_n_lines", "_n_removed", "_starts", *KEY)
-    joined = with_key(base).join(repeated(docs, gram, run).withColumnRenamed("starts", "_starts"), KEY, "left").drop(*KEY)
-    at = base.columns.index("text")
-    base_names = base.columns
-    schema = T.StructType([*base.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())])
+    """``row, text, n_lines, n_removed``: per document its other columns as a struct, the shortened text, its lines with
+    a word and how many of them went."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    keyed = docs.select(F.struct(*others).alias("row"), "doc_id", "text")
+    joined = with_key(keyed).join(repeated(docs, gram, run), KEY, "left").select("row", "text", "starts")
+    schema = T.StructType([*joined.schema.fields[:2], T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
 
     def kernel(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            rows = [without(t, s, run) for t, s in zip(batch.column(at).to_pylist(), batch.column(len(base_names)).to_pylist())]
-            cols = list(batch.columns[:-1])
-            cols[at] = pa.array([r[0] for r in rows], pa.string())
-            cols += [pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays(cols, [*base_names, "_n_lines", "_n_removed"])
+            rows = [without(t, s, run) for t, s in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.int64(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["row", "text", "n_lines", "n_removed"])
 
     return joined.mapInArrow(kernel, schema)
 
 
 def digests(found: DataFrame) -> DataFrame:
     """What the query returns."""
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    return found.select(F.col("row.doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", "text")
 
 
 def shorten(docs: DataFrame, gram: int = 2, run: int = 3) -> DataFrame:
     """``docs`` with shortened texts (and ``n_chars`` to match, if there is one); documents of which nothing is left go."""
-    out = dedup(docs, gram, run).where("_n_removed = 0 or _n_removed < _n_lines")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    out = dedup(docs, gram, run).where("n_removed = 0 or n_removed < n_lines")
+
+    def column(c: str):
+        own = F.col("text") if c == "text" else F.col("row").getField(c)
+        if c == "n_chars":
+            own = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema[c].dataType)).otherwise(own)
+        return own.alias(c)
+
+    return out.select(*map(column, docs.columns))

@@ -202,5 +202,5 @@ def keep_one(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
     # a class without any id is named by none; its fingerprint class stands for it
     stay = found.groupBy("component_id", F.when(F.col("component_id").isNull(), F.col("fp")).alias("_fp")).agg(
         F.min(F.struct(F.col("doc_id").isNull(), *KEY)).alias("k")).select("k._id", "k._h")
-    kept = with_key(docs).join(stay, KEY, "left_semi").dropDuplicates(KEY)
-    return kept.select(*docs.columns)
+    rows = with_key(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")).select("row", *KEY)
+    return rows.join(stay, KEY, "left_semi").dropDuplicates(KEY).select("row.*")

@@ -43,15 +43,15 @@ def test_against_brute_force(spark, docs_of):
     for gram, run in ((2, 3), (1, 2), (2, 5)):
         want = brute([(i, t, hashes[i, t]) for i, t in rows], run)
         got = D.dedup(docs, gram, run)
-        pairs = sorted((repr((r.doc_id, r._n_lines, r._n_removed, r.text)) for r in got.collect()))
+        pairs = sorted((repr((r.doc_id, r.n_lines, r.n_removed, r.text)) for r in D.digests(got).collect()))
         assert pairs == sorted(repr((i, want[i, t][1], want[i, t][2], want[i, t][0])) for i, t in rows)
 
 
 def test_stage(docs_of):
-    docs = docs_of(["a\nb\nc\nd", "a\nb\nc", "z\na\nb\nc", None, ""]).withColumn("_n_lines", F.lit("clash"))
-    kept = D.shorten(docs.drop("_n_lines"))
+    docs = docs_of(["a\nb\nc\nd", "a\nb\nc", "z\na\nb\nc", None, ""]).withColumns({"n_lines": F.lit("clash"), "_id": F.lit("x")})
+    kept = D.shorten(docs)
     got = {r.doc_id: (r.text, r.n_chars) for r in kept.collect()}
-    assert got == {0: ("a\nb\nc\nd", 7), 2: ("z", 1), 3: (None, None), 4: ("", 0)} and kept.columns == docs.columns[:-1]
+    assert got == {0: ("a\nb\nc\nd", 7), 2: ("z", 1), 3: (None, None), 4: ("", 0)} and kept.columns == docs.columns
     assert D.digests(D.dedup(docs)).count() == 5
     assert D.shorten(docs_of([])).count() == 0
 
