@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
+from .runs import Codes, Runs, run_sums
 
 BLOCK_BYTES = 4 << 20  #: text encoded at once
 CACHE_WORDS = 200_000  #: words and pieces whose ids a worker keeps between blocks
@@ -201,42 +202,6 @@ def ranks(path: str) -> Ranks:
     return Ranks(path)
 
 
-class Runs:
-    """Numbered runs of ids, in one array."""
-
-    def __init__(self):
-        self.ids, self.start = np.zeros(0, np.int32), np.zeros(1, np.int64)
-
-    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
-        self.ids = np.concatenate([self.ids, ids.astype(np.int32)])
-
-    def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The runs' ids in a row, and each run's length."""
-        first = self.start[codes]
-        n = self.start[codes + 1] - first
-        shift = first - np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else first
-        return self.ids[np.repeat(shift, n) + np.arange(int(n.sum()))], n
-
-
-class Codes(dict):
-    """Numbers keys as they come; ``new`` lists those that have come since it was emptied."""
-
-    def __init__(self):
-        self.new: list = []
-
-    def __missing__(self, key):
-        code = self[key] = len(self)
-        self.new.append(key)
-        return code
-
-
-def _sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Sums of runs of ``sizes`` values."""
-    total = np.concatenate([[0], np.cumsum(values)])
-    return np.diff(np.concatenate([[0], total[np.cumsum(sizes)]])).astype(np.int64)
-
-
 class Encoder:
     """Texts to ids; keeps the ids of words and pieces it has met.
 
@@ -288,18 +253,18 @@ class Encoder:
             self.loose.update(known + i for i, p in enumerate(strings) if p in ("", " ") or p[-1].isspace())
             word_codes, sizes = self._words(strings)
             ids, n = self.word_runs.take(word_codes)
-            self.piece_runs.add(ids, _sums(n, sizes))
+            self.piece_runs.add(ids, run_sums(n, sizes))
         codes = np.array(codes, np.int64)
         ids, n = self.piece_runs.take(codes)
-        counts = _sums(n, np.diff(bounds))
+        counts = run_sums(n, np.diff(bounds))
         if self.loose:
             loose = np.isin(codes, np.fromiter(self.loose, np.int64))
-            whole = np.flatnonzero(_sums(loose, np.diff(bounds))).tolist()
+            whole = np.flatnonzero(run_sums(loose, np.diff(bounds))).tolist()
             if whole:
                 word_codes, sizes = self._words([texts[k] for k in whole])
                 other, n = self.word_runs.take(word_codes)
                 parts = np.split(ids, np.cumsum(counts)[:-1])
-                mended = np.split(other, np.cumsum(_sums(n, sizes))[:-1])
+                mended = np.split(other, np.cumsum(run_sums(n, sizes))[:-1])
                 for k, x in zip(whole, mended):
                     parts[k] = x
                     counts[k] = len(x)

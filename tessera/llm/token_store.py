@@ -32,20 +32,36 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import slices
+from .runs import Codes, Runs, run_sums
 
 FRAME_TOKENS = 1 << 18  #: a frame is closed when it holds that many ids
 SKIPPABLE, SEEKABLE = 0x184D2A5E, 0x8F92EAB1  #: fixed values of the seekable layout
 NULL_ID = -(1 << 63)
 BLOCK_BYTES = 4 << 20
 CACHE_WORDS = 200_000
-WORDS_AT_ONCE = 2000
+MARKS = frozenset(".,;:!?")
+
+
+def _byte_letters() -> dict[int, int]:
+    """The public byte-level alphabet: visible characters of Latin-1 stand for their byte, the other bytes follow 256."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    return {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in visible)}
+
+
+BYTE_LETTERS = _byte_letters()
+
+
+def byte_letters(word: str) -> str:
+    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LETTERS)
 
 
 # -- tokens ---------------------------------------------------------------------------------------------------------
 class WordEncoder:
-    """Encodes texts with the tokenizers library, each distinct space-separated word once per block.
+    """Encodes texts with the tokenizers library, each distinct part of a word once while it is remembered.
 
-    Holds for tokenizers that drop white space before they split: no token then spans a space or a line break.
+    Holds for tokenizers that drop white space before they split and keep letters, digits and punctuation apart: no
+    token then spans a space or a line break, and a mark behind a letter or digit stands for itself.  Latin words are
+    lower-cased, as the tokenizer would.
     """
 
     def __init__(self, path: str, end_id: int, cache: int = CACHE_WORDS):
@@ -54,41 +70,63 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.end_id, self.cache = end_id, cache
+        # where a plain word is one pre-token by its bytes, the library's model can take it without the steps before
+        probes = ("a", "word", "tokenization", "zqxj", "é", "ñandú", "straße", "çà", "œuvre", "žluťoučký")
+        self.plain = all(self._ids(w) == [t.id for t in self.tokenizer.model.tokenize(byte_letters(w))] for w in probes)
         self._forget()
 
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
     def _forget(self):
-        self.code: dict[str, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.start = np.zeros(1, np.int64)
+        self.words, self.word_runs = Codes(), Runs()
+        self.parts, self.part_runs = Codes(), Runs()
+
+    def _encode(self, parts: list[str]) -> None:
+        ids: list[int] = []
+        counts = []
+        model = self.tokenizer.model.tokenize
+        for p in parts:
+            before = len(ids)
+            if self.plain and p.isalpha() and max(p) < "\u0180" and p.islower():
+                ids += [t.id for t in model(byte_letters(p))]
+            else:
+                ids += self._ids(p)
+            counts.append(len(ids) - before)
+        self.part_runs.add(np.array(ids, np.int32), np.array(counts, np.int64))
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``ids, counts`` of the texts, each with the end id."""
-        if len(self.code) > self.cache:
+        if len(self.words) > self.cache:
             self._forget()
-        words = [t.replace("\n", " ").split(" ") for t in texts]
-        new = set()
-        for w in words:
-            new.update(w)
-        new = sorted(w for w in new if w not in self.code)
-        lists = [e.ids for at in range(0, len(new), WORDS_AT_ONCE)  # the library's results are large
-                 for e in self.tokenizer.encode_batch_fast(new[at:at + WORDS_AT_ONCE], add_special_tokens=False)]
-        counts = np.fromiter(map(len, lists), np.int64, len(lists))
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
-        self.ids = np.concatenate([self.ids, np.fromiter((i for x in lists for i in x), np.uint32, int(counts.sum()))])
-        self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(counts)])
         codes: list[int] = []
         sizes = []
-        get = self.code.__getitem__
-        for w in words:
-            codes.extend(map(get, w))
-            sizes.append(len(w))
-        codes = np.array(codes, np.int64)
-        first, n = self.start[codes], self.start[codes + 1] - self.start[codes]
-        at = np.concatenate([[0], np.cumsum(n)])
-        flat = self.ids[np.repeat(first - at[:-1], n) + np.arange(int(at[-1]))]
-        ends = at[np.cumsum(sizes)]  # where each text ends in flat
-        ids = np.insert(flat, ends, np.uint32(self.end_id))
-        return ids, np.diff(np.concatenate([[0], ends])) + 1
+        code = self.words.__getitem__
+        for t in texts:
+            words = t.replace("\n", " ").split(" ")
+            codes.extend(map(code, words))
+            sizes.append(len(words))
+        new, self.words.new = self.words.new, []
+        if new:
+            parts, n = [], []
+            code = self.parts.__getitem__
+            for w in new:
+                if w.isascii() or max(w) < "\u0180" and "İ" not in w:  # one letter for one letter
+                    w = w.lower()
+                if w[-1:] in MARKS and w[-2:-1].isalnum():
+                    parts += (code(w[:-1]), code(w[-1]))
+                    n.append(2)
+                else:
+                    parts.append(code(w))
+                    n.append(1)
+            fresh, self.parts.new = self.parts.new, []
+            if fresh:
+                self._encode(fresh)
+            ids, lens = self.part_runs.take(np.array(parts, np.int64))
+            self.word_runs.add(ids, run_sums(lens, np.array(n, np.int64)))
+        flat, n = self.word_runs.take(np.array(codes, np.int64))
+        counts = run_sums(n, np.array(sizes, np.int64))
+        return np.insert(flat.astype(np.uint32), np.cumsum(counts), np.uint32(self.end_id)), counts + 1
 
 
 @functools.lru_cache(maxsize=2)

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer  # noqa: E402
 from tessera.llm import token_store as S  # noqa: E402
 
 PATH = P.path("word_bpe_49k.json")
-ODD = ["", " ", "a\n\nb  c\td", "Don't STOP   now", "é é ́x", "日本語 🙂", "<|endoftext|> x", "ΑΣ ς\x1cq\x85z", "w " * 3000]
+ODD = ["", " ", "a\n\nb  c\td", "Don't STOP   now", "é é ́x", "日本語 🙂", "<|endoftext|> x", "ΑΣ ς\x1cq\x85z", "w " * 3000, "Übergröße, ÉTÉ. ŉ ſ İstanbul ẞ ĳ Ångström! naïve? ñ; x² ½, «été» ª º µ ŀ", "e\u0301te\u0301. E\u0301"]
 
 
 @pytest.fixture(scope="module")
