@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Character classes by byte of the UTF-8 text.  Digits (numbers are no sign of a language) and the later bytes
 #: of long characters count nothing.
 CLASSES = ("lower", "upper", "space", "mark", "symbol", "other", "wide")
 SYMBOLS = "#*$%&|<>"
+BLOCK_BYTES = 4 << 20  #: text handled at once
 
 
 def _byte_classes() -> np.ndarray:
@@ -102,7 +105,7 @@ def _is_prose(counts: np.ndarray) -> bool:
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per batch: words of each language with their counts, and class counts as words ``\\0<class>``."""
-    for batch in batches:
+    for batch in slices(batches, BLOCK_BYTES):
         plain: dict[str, list[bytes]] = {}
         classes: dict[str, np.ndarray] = {}
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -221,7 +224,7 @@ def score(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     refs = references(docs, rules)
 
     def kernel(batches):
-        for batch in batches:
+        for batch in slices(batches, BLOCK_BYTES):
             rows = [judge(t, lang, refs, rules) for t, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             cols = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(_TYPES)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *cols], _NAMES)
@@ -235,8 +238,59 @@ def keep_good(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
 
     def kernel(batches):
-        for batch in batches:
+        for batch in slices(batches, BLOCK_BYTES):
             kept = [judge(t, lang, refs, rules)[6] for t, lang in zip(batch.column(text_at).to_pylist(), batch.column(lang_at).to_pylist())]
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(kernel, docs.schema)
+
+
+def digests(scored: DataFrame) -> DataFrame:
+    """What the query returns: distances to six digits, on which engines agree."""
+    return scored.withColumns({c: F.round(c, 6) for c in ("char_js", "word_js")})
+
+
+def oracle_sql(rules: Rules = Rules()) -> str:
+    """The same in DuckDB."""
+    gap = "[ \\x09-\\x0D]"
+    classes = ["[a-z]", "[A-Z]", gap, "[.,;:!?''\"()-]", "[#*$%&|<>]", None, "[^\\x00-\\x7F]"]
+    count = lambda c: f"length(text) - length(regexp_replace(text, '{c}', '', 'g'))"
+    classes[5] = "[^a-zA-Z0-9\\x09-\\x0D .,;:!?''\"()#*$%&|<>-]"  # other ASCII, and all that is wide
+    c = [f"{count(x)} AS c{i}" for i, x in enumerate(classes)]
+    sums = "+".join(f"c{i}" for i in range(7))
+    js = lambda p, q: (f"sqrt(least(greatest(sum(CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END"
+                       f" + CASE WHEN {q} > 0 THEN {q} * log2({q} / (({p} + {q}) / 2)) ELSE 0 END) / 2, 0), 1))")
+    bins = "UNION ALL ".join(f"SELECT k, lang, {i} AS bin, c{i} AS c, total FROM t " for i in range(7))
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, lang, coalesce(text, '') AS text FROM documents),
+t0 AS (SELECT *, {', '.join(c)}, regexp_extract_all(text, '[^ \\x09-\\x0D]+') AS words,
+   regexp_extract_all(regexp_replace(lower(text), '[.,;:!?''"()#*$%&|<>-]', '', 'g'), '[^ \\x09-\\x0D]+') AS plain,
+   list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \\x09-\\x0D]')) AS lines FROM d),
+t AS MATERIALIZED (SELECT * REPLACE (c5 - c6 AS c5), {sums.replace('c5', '(c5 - c6)')} AS total, len(words) AS n FROM t0),
+prose AS (SELECT * FROM t WHERE text <> '' AND lang IS NOT NULL AND c4 * 100 <= total AND c1 * 5 <= total AND (c0 + c1 + c6) * 10 >= total * 7),
+cref AS (SELECT lang, bin, sum(c)::DOUBLE / sum(sum(c)) OVER (PARTITION BY lang) AS q FROM ({bins.replace('FROM t ', 'FROM prose ')}) GROUP BY lang, bin),
+wc AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(plain) AS word FROM prose) GROUP BY ALL),
+wr AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r, sum(n) OVER (PARTITION BY lang) AS total FROM wc),
+wref AS (SELECT lang, word, n::DOUBLE / total AS q FROM wr WHERE r <= {rules.top_words}
+  UNION ALL SELECT lang, NULL, (max(total) - sum(n) FILTER (r <= {rules.top_words}))::DOUBLE / max(total) FROM wr GROUP BY lang),
+langs AS (SELECT DISTINCT lang FROM wref),
+own AS (SELECT t.k, l.lang FROM t, langs l WHERE t.lang = l.lang OR t.lang IS NULL OR t.lang NOT IN (SELECT lang FROM langs)),
+cjs AS (SELECT k, min(js) AS char_js FROM (SELECT b.k, o.lang, {js('(b.c::DOUBLE / greatest(b.total, 1))', 'r.q')} AS js
+  FROM ({bins}) b JOIN own o ON o.k = b.k JOIN cref r ON r.lang = o.lang AND r.bin = b.bin GROUP BY b.k, o.lang) GROUP BY k),
+pw AS (SELECT k, word, count(*) AS n FROM (SELECT k, unnest(plain) AS word FROM t) GROUP BY ALL),
+wbin AS (SELECT o.k, o.lang, r.word, r.q, CASE WHEN r.word IS NULL THEN NULL ELSE coalesce(pw.n, 0) END AS n, greatest(len(t.plain), 1) AS total, len(t.plain) AS m
+  FROM own o JOIN t ON t.k = o.k JOIN wref r ON r.lang = o.lang LEFT JOIN pw ON pw.k = o.k AND pw.word = r.word),
+wfull AS (SELECT k, lang, q, (CASE WHEN word IS NULL THEN m - sum(coalesce(n, 0)) OVER (PARTITION BY k, lang) ELSE n END)::DOUBLE / total AS p FROM wbin),
+wjs AS (SELECT k, min(js) AS word_js FROM (SELECT k, lang, {js('p', 'q')} AS js FROM wfull GROUP BY k, lang) GROUP BY k),
+grams AS (SELECT k, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT k, words, unnest(generate_series(1, n - 2)) AS i FROM t WHERE n >= 3)),
+again AS (SELECT k, unnest([i, i + 1, i + 2]) AS i FROM (SELECT *, count(*) OVER (PARTITION BY k, g) AS times FROM grams) WHERE times > 1),
+rep AS (SELECT k, count(DISTINCT i) AS n_repeat FROM again GROUP BY k),
+f AS (SELECT t.doc_id, t.n, t.words, t.c4, len(lines) - len(list_distinct(lines)) AS dup, coalesce(n_repeat, 0) AS n_repeat,
+  CASE WHEN length(text) >= {rules.min_chars_js} THEN char_js END AS char_js, CASE WHEN n >= {rules.min_words_js} THEN word_js END AS word_js,
+  n < {rules.min_words} OR 100 * coalesce(n_repeat, 0) > {rules.max_repeat_pct} * n AS failed
+  FROM t LEFT JOIN cjs USING (k) LEFT JOIN wjs USING (k) LEFT JOIN rep USING (k))
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(words, lambda w: length(w))), 0) AS BIGINT) AS word_chars,
+  CAST(c4 AS BIGINT) AS n_symbols, CAST(dup AS BIGINT) AS n_dup_lines, CAST(n_repeat AS BIGINT) AS n_repeat_words, failed AS base_failed,
+  NOT failed AND NOT coalesce(char_js > {rules.max_char_js}, false) AND NOT coalesce(word_js > {rules.max_word_js}, false) AS kept,
+  round(char_js, 6) AS char_js, round(word_js, 6) AS word_js FROM f
+"""

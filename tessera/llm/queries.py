@@ -56,8 +56,8 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(table(spark, sf_dir, "documents"))
+    return quality.digests(quality.score(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_decontaminate, op4_language_id, op5_line_dedup, op6_pii, op7_token_store, op8_byte_bpe, op9_suffix_dedup, op10_quality)}
-ORACLES = {"op2_license_scan": license_scan.oracle_sql()}
+ORACLES = {"op2_license_scan": license_scan.oracle_sql(), "op10_quality": quality.oracle_sql()}
