@@ -133,7 +133,7 @@ def references(docs: DataFrame, rules: Rules) -> dict[str, Reference]:
     What comes to the driver has ``top_words + 8`` rows per language.
     """
     counts = (docs.where("lang is not null and text is not null").select("lang", "text")
-              .mapInArrow(_count_words, "lang string, word string, n long")
+              .mapInArrow(_count_words, "lang string, word string, n long").where("word <> ''")  # of white space at the ends
               .groupBy("lang", "word").agg(F.sum("n").alias("n")))
     is_class = F.col("word").startswith("\0")
     ranked = counts.withColumn("r", F.row_number().over(W.partitionBy("lang", is_class).orderBy(F.desc("n"), "word")))

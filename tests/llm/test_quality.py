@@ -4,6 +4,8 @@ import numpy as np
 
 from tessera.llm import quality
 
+from .oracle import same
+
 PROSE = "the cat and the dog sat on the mat while it was raining in the old town, and nobody of them cared. "
 
 
@@ -53,3 +55,12 @@ def test_clashing_columns_nulls_and_empty_table(docs_of, spark):
 def test_js_distance():
     assert quality.js_distance(np.array([1.0, 0]), np.array([0, 1.0])) == 1
     assert quality.js_distance(np.array([.5, .5]), np.array([.5, .5])) == 0
+
+
+def test_against_sql(docs_of):
+    words = "the of and to in is it that was for on with as his they at be this from have or by one had not but what".split()
+    rnd = np.random.default_rng(5)
+    texts = [" ".join(rnd.choice(words, int(n))) + "." for n in rnd.integers(20, 300, 25)]
+    texts += [None, "", " \t\n", "l1\nl1\n\n \nl1 ", PROSE * 4, PROSE.upper() * 5, "ü|ö " * 80, "é à # % " * 60, "a b c a b c " * 30, "x" * 3000]
+    docs = docs_of(texts)
+    same(quality.digests(quality.score(docs)), quality.oracle_sql(), documents=docs)
