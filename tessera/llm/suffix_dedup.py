@@ -321,7 +321,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     places = wanted.groupBy(*KEY).agg(F.collect_list(F.struct("fp", "kinds", "ctx", "weight", "first", "n", "at")).alias("places"))
 
     def kernel(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches, 1 << 22):
             out = []
             for data, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 raw = _unpack(data)
@@ -364,7 +364,17 @@ def halves(contexts: DataFrame, length: int) -> DataFrame:
     return written(join_counted(cut, sizes, "fp", "kinds", _sum(sizes, "kinds")).select(*[c.split()[0] for c in CONTEXT.split(", ")]), "suffix-half")
 
 
-FOUND = "fp long, ctx long, starts array<int>"
+RUNS = "array<struct<first:int,n:int>>"
+FOUND = f"fp long, ctx long, runs {RUNS}"  #: repeated windows of a context, as runs of starts
+
+
+def _runs(starts: np.ndarray) -> list[dict]:
+    """Ascending starts as runs of neighbours."""
+    edges = np.flatnonzero(np.diff(starts) != 1) + 1
+    first = starts[np.concatenate([[0], edges])]
+    n = np.diff(np.concatenate([[0], edges, [len(starts)]]))
+    return [{"first": a, "n": b} for a, b in zip(first.tolist(), n.tolist())]
+
 
 
 def by_suffix_arrays(contexts: DataFrame, length: int) -> DataFrame:
@@ -375,8 +385,8 @@ def by_suffix_arrays(contexts: DataFrame, length: int) -> DataFrame:
     def bucket(rows: pd.DataFrame) -> pd.DataFrame:
         grams = [g for _, g in rows.sort_values(["fp", "ctx", "shift"]).groupby("fp")]
         found = repeated_in_grams([(g["bytes"].tolist(), g["at"].tolist(), g.weight.tolist()) for g in grams], length)
-        out = [(f, c, (s + d).tolist()) for g, starts in zip(grams, found) for f, c, d, s in zip(g.gram, g.ctx, g["shift"], starts) if len(s)]
-        return pd.DataFrame(out, columns=["fp", "ctx", "starts"])
+        out = [(f, c, _runs(s + d)) for g, starts in zip(grams, found) for f, c, d, s in zip(g.gram, g.ctx, g["shift"], starts) if len(s)]
+        return pd.DataFrame(out, columns=["fp", "ctx", "runs"])
 
     return contexts.groupBy(F.pmod(F.xxhash64("fp"), F.lit(buckets)).alias("bucket")).applyInPandas(bucket, FOUND)
 
@@ -394,7 +404,8 @@ def by_windows(contexts: DataFrame, length: int) -> DataFrame:
 
     rows = written(contexts.mapInArrow(kernel, "fp long, ctx long, weight long, window binary, start int"), "suffix-windows")
     twice = written(rows.groupBy("window").agg(F.sum("weight").alias("w"), F.count("*").alias("m")).where("w > 1"), "suffix-twice")
-    return join_counted(rows, twice, "window", "m", _sum(twice, "m")).groupBy("fp", "ctx").agg(F.collect_list("start").alias("starts"))
+    single = F.struct(F.col("start").alias("first"), F.lit(1).alias("n"))
+    return join_counted(rows, twice, "window", "m", _sum(twice, "m")).groupBy("fp", "ctx").agg(F.collect_list(single).alias("runs"))
 
 
 def starts_of(contexts: DataFrame, length: int) -> DataFrame:
@@ -422,7 +433,7 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     single = F.col("kinds") == 1
     kinds = written(kinds, "suffix-kinds")
     told = written(join_counted(contexts, kinds, "fp", "kinds", _sum(kinds, "kinds")), "suffix-told")
-    found = told.where(single).select("fp", "ctx", F.lit(None).cast("array<int>").alias("starts"))
+    found = told.where(single).select("fp", "ctx", F.lit(None).cast(RUNS).alias("runs"))
     if told.where(~single).limit(1).count():
         contexts = written(fetch(docs, told.where(~single), length), "suffix-bytes")
         found = found.unionByName(starts_of(contexts, length))
@@ -431,10 +442,10 @@ def repeated(docs: DataFrame, length: int) -> DataFrame:
     found = found.join(told.select("fp", "ctx", "weight"), ["fp", "ctx"]).withColumn("mark", mark)
     found = written(found, "suffix-found")
     hit = join_counted(near.withColumn("mark", mark).select("mark", "fp", "ctx", *KEY, "first", "n"),
-                       found.select("mark", F.col("fp").alias("f"), F.col("ctx").alias("c"), "starts", "weight"), "mark", "weight", _sum(found, "weight"))
+                       found.select("mark", F.col("fp").alias("f"), F.col("ctx").alias("c"), "runs", "weight"), "mark", "weight", _sum(found, "weight"))
     hit = hit.where("fp = f and ctx = c")
-    spans = F.when(F.col("starts").isNull(), F.array(F.struct("first", F.col("n").cast("long").alias("n")))).otherwise(
-        F.transform("starts", lambda s: F.struct((F.col("first") + s).alias("first"), F.lit(1).cast("long").alias("n"))))
+    spans = F.when(F.col("runs").isNull(), F.array(F.struct("first", F.col("n").cast("int").alias("n")))).otherwise(
+        F.transform("runs", lambda r: F.struct((F.col("first") + r["first"]).alias("first"), r["n"].alias("n"))))
     return hit.groupBy(*KEY).agg(F.flatten(F.collect_set(spans)).alias("spans"))
 
 
@@ -456,7 +467,7 @@ def dedup(docs: DataFrame, length: int = 200) -> DataFrame:
     joined = packed(docs).join(repeated(docs, length), KEY, "left").select("doc_id", "data", "spans")
 
     def kernel(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches, 1 << 22):
             sizes, runs, kept = [], [], []
             for data, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 raw = _unpack(data)

@@ -50,6 +50,10 @@ def test_anchors_are_the_same_for_equal_windows():
     assert (h[:253] == h[300:]).all() and len(np.unique(h[:253])) > 200
 
 
+def test_runs():
+    assert S._runs(np.array([3, 4, 5, 9, 11, 12])) == [{"first": 3, "n": 3}, {"first": 9, "n": 1}, {"first": 11, "n": 2}]
+
+
 def test_repeated_starts_against_brute_force():
     rnd = random.Random(9)
     for _ in range(30):
