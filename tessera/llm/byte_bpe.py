@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import slices
 from .runs import Codes, Runs, run_sums
 
-BLOCK_BYTES = 4 << 20  #: text encoded at once
-CACHE_WORDS = 200_000  #: words and pieces whose ids a worker keeps between blocks
+BLOCK_BYTES = 2 << 20  #: text encoded at once
+CACHE_WORDS = 80_000  #: words and pieces whose ids a worker keeps between blocks
 
 
 class Ranks:
