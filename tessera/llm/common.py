@@ -30,6 +30,12 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.withColumns({"_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)), "_h": F.xxhash64("text")})
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most: executors and workers hold a few of them at a time, beside the heap."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: cuts lineage, and lost executors only reread it."""
     path = scratch_path(df.sparkSession, name)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, pii, quality, simhash, suffix_dedup, token_store
-from .common import table
+from .common import small_batches, table
 from tessera.session import scratch_path
 
 
@@ -52,6 +52,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return suffix_dedup.digests(suffix_dedup.dedup(table(spark, sf_dir, "documents"), length=200))
 
 
