@@ -7,7 +7,8 @@ for letters, digits for digits, separators as in the mention, valid check digits
 range, and for persons given names of the title's gender and the name's script.
 
 Distinctness is checked over the whole corpus: of the entities of a type that draw the same surrogate one keeps it,
-the others draw again, as does whoever draws a real entity's normal form or a surrogate given before.  Coreference
+the others draw again, as does whoever draws a real entity's normal form or a surrogate given before.  From every
+fourth draw on the format is one character longer, so a format whose values are all in use ends too.  Coreference
 holds as each mention of a normal form gets the one surrogate; first and last names are entities of their own, so
 "Ms Ada Roe" and "Mrs Roe" share the last name.
 
@@ -78,7 +79,8 @@ def detect(text: str | None) -> list[Mention]:
 
     if "=" in text or ":" in text:
         for m in SECRET.finditer(text):
-            add(m.start(1), m.end(1), "secret", m[1])
+            if any(c.isalnum() for c in m[1]):  # a masked value is no secret
+                add(m.start(1), m.end(1), "secret", m[1])
     if "AKIA" in text or "ASIA" in text:
         for m in ACCESS.finditer(text):
             add(m.start(), m.end(), "access", m[0])
@@ -117,7 +119,7 @@ class Draw:
 
     def __init__(self, key: bytes, kind: str, norm: str, attempt: int):
         seed = hmac.new(key, f"{kind}\0{norm}\0{attempt}".encode(), hashlib.sha256).digest()
-        self.state = int.from_bytes(hashlib.shake_256(seed).digest(24 + 2 * len(norm)), "big")
+        self.state = int.from_bytes(hashlib.shake_256(seed).digest(24 + 2 * len(norm) + attempt), "big")
 
     def below(self, n: int) -> int:
         self.state, out = divmod(self.state, n)
@@ -142,38 +144,42 @@ def _like(c: str, draw: Draw) -> str:
 
 
 def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
-    """The normal form of the entity's surrogate."""
+    """The normal form of the entity's surrogate; ``attempt // 4`` characters longer than the entity's."""
     draw = Draw(key, kind, norm, attempt)
+    more = attempt // 4
     if kind == "email":
         local, domain = norm.rsplit("@", 1)
         host, top = domain.rsplit(".", 1)
-        return "".join(_like(c, draw) for c in local) + "@" + "".join(_like(c, draw) for c in host) + "." + top
+        return "".join(_like(c, draw) for c in "a" * more + local) + "@" + "".join(_like(c, draw) for c in host) + "." + top
     if kind == "ip":
-        return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        if attempt < 64:
+            return ".".join(str(1 + draw.below(254)) for _ in range(4))
+        return ":".join(f"{1 + draw.below(0xFFFF):x}" for _ in range(8))
     if kind == "card":
-        body = norm[0] + "".join(str(draw.below(10)) for _ in norm[1:-1])
+        body = norm[0] + "".join(str(draw.below(10)) for _ in norm[1:-1] + "0" * more)
         return next(body + d for d in "0123456789" if luhn_ok(body + d))
     if kind == "phone":
         code = len(norm) - 10 if len(norm) > 10 else 0  # the country's code stays
-        return norm[:code] + str(2 + draw.below(8)) + "".join(str(draw.below(10)) for _ in norm[code + 1:])
+        return norm[:code] + str(2 + draw.below(8)) + "".join(str(draw.below(10)) for _ in norm[code + 1:] + "0" * more)
     if kind == "access":
-        return norm[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in norm[4:])
+        return norm[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in norm[4:] + "A" * more)
     if kind == "secret":
         hexadecimal = all(c in "0123456789abcdef" for c in norm)
-        return "".join("0123456789abcdef"[draw.below(16)] if hexadecimal else _like(c, draw) for c in norm)
+        return "".join("0123456789abcdef"[draw.below(16)] if hexadecimal else _like(c, draw) for c in norm + "a" * more)
     syllables, endings = SYLLABLES[_script(norm)]
     gender = kind[6:] if kind.startswith("given-") else ""
-    parts = [syllables[draw.below(len(syllables))] for _ in range(3 + attempt // 4)]
+    parts = [syllables[draw.below(len(syllables))] for _ in range(3 + more)]
     return "".join(parts) + endings[gender][draw.below(4)]
 
 
 def render(mention: str, kind: str, norm: str) -> str:
-    """The surrogate's normal form in the mention's format."""
+    """The surrogate's normal form in the mention's format; of a longer one, further digits come last, letters first."""
     if kind in ("phone", "card"):
         digits = iter(norm)
-        return "".join(next(digits) if c.isdigit() else c for c in mention)
+        return "".join(next(digits) if c.isdigit() else c for c in mention) + "".join(digits)
     if kind == "email":
-        return "".join(n.upper() if c.isupper() else n for c, n in zip(mention, norm))
+        more = max(len(norm) - len(mention), 0)
+        return norm[:more] + "".join(n.upper() if c.isupper() else n for c, n in zip(mention, norm[more:]))
     if kind == "name" or kind.startswith("given-"):
         return norm.upper() if mention.isupper() and len(mention) > 1 else norm[:1].upper() + norm[1:]
     return norm
@@ -212,7 +218,7 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
     """``kind, norm, n, surrogate``: distinct surrogates within a kind, none of them a normal form of the corpus.
 
     ``entities`` (``kind, norm, n``) is a written table.  Each round settles all that drew alone; the number of the
-    others falls with the share of the format's space that is in use.
+    others falls with the share of the format's space that is in use, and the formats widen, so that all end.
     """
     real = entities.select("kind", F.col("norm").alias("surrogate"))
     done = None

@@ -59,3 +59,22 @@ def test_repeated_rows_same_key_and_empty_table(docs_of):
     assert first == sorted(r.text for r in pii.digests(pii.replace(docs_of(rows), KEY)).collect())
     assert first != sorted(r.text for r in pii.digests(pii.replace(docs_of(rows), b"another")).collect())
     assert pii.digests(pii.replace(docs_of([]), KEY)).count() == 0
+
+
+def test_masked_values_and_full_formats_end(spark, docs_of):
+    masked = ["password: ********", "token = ------", "secret: ......!"]
+    assert all(pii.detect(t) == [] for t in masked) and [m.kind for m in pii.detect("token = -----7")] == ["secret"]
+    got = {r.doc_id: r.text for r in pii.replace(docs_of([*masked, "token = -----7", "token = ****½½"]), KEY).collect()}
+    assert [got[i] for i in range(3)] == masked and "-----7" not in got[3] and "½½" in got[4] != "token = ****½½" and len(got) == 5
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    full = [("email", f"{a}@{b}.com") for a in letters for b in letters] + [("email", "_@-.com")] + [("secret", f"-----{d}") for d in range(10)]
+    entities = spark.createDataFrame([(k, n, 1) for k, n in full], "kind string, norm string, n long").coalesce(2)
+    out = pii.assign(pii.written(entities, "test-entities"), KEY).collect()
+    assert {(r.kind, r.norm) for r in out} == set(full) and len(out) == len({(r.kind, r.surrogate) for r in out}) == len(full)
+    assert not {(r.kind, r.surrogate) for r in out} & set(full)
+    for kind, mention in [("phone", "+1 555 123 4567"), ("card", "4539 1488 0343 6467"), ("email", "Ab@Cd.com")]:
+        norm = mention.lower() if kind == "email" else re.sub(r"\D", "", mention)
+        wide = pii.surrogate(KEY, kind, norm, 9)
+        new = pii.render(mention, kind, wide)
+        assert len(wide) == len(norm) + 2 and len(new) == len(mention) + 2 and (kind != "card" or pii.luhn_ok(wide))
+        assert (new.lower() if kind == "email" else re.sub(r"\D", "", new)) == wide
