@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +34,16 @@ EMAIL = regex.compile(r"[\p{L}\p{N}._%+-]*[\p{L}\p{N}_%+-]@(?:[\p{L}\p{N}-]+\.)+
 ACCESS = regex.compile(r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)")
 SECRET = regex.compile(r"(?i:(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key))\s*[=:]\s*[\"']?([^\s\"',;]{6,})")
 IP = regex.compile(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?![\w]|\.\d)")
-CARD = regex.compile(r"(?<![\w.+-])[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w]|[.-]\d)")
-PHONE = regex.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?|\d{1,3}[ .-])?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}(?![\w]|[.-]\d)")
+#: Candidates: Python's own parser decides.
+IPV6 = regex.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}(?:(?:\d{1,3}\.){3}\d{1,3}|[0-9A-Fa-f]{1,4}|(?<=::))(?!\w|:[0-9A-Fa-f:]|\.\d)")
+CARD = regex.compile(r"(?<![\w.+-])(?:[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|3\d{3}([ -])\d{6}\1\d{4,5})(?![\w]|[.-]\d)")
+PHONE = regex.compile(
+    r"(?<![\w.])(?:"
+    r"(?:\+\d{1,3}[ .-]?|\d{1,3}[ .-])?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]\d{3,4}"  # groups of at most four
+    r"|(?<!\+)\+(?:\d{8,15}|\(?\d(?:[ .()/-]{0,3}\d){7,14})"  # a country's code, then any grouping
+    r"|(?<!-)(?:\(0\d{1,4}\)[ ./-]?|0\d{1,4}[ ./-])\d{2,8}(?:([ .-])\d{2,8}(?:\1\d{2,8})*)?"  # a trunk 0: pairs, long groups
+    r"|\(\d{2,4}\)[ .-]?\d{5,8}|(?<!-)\d{3}-\d{7}"
+    r")(?![\w]|[.-]\d)")
 #: Titles by gender: f, m.
 TITLES = {"Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "госпожа": "f", "г-жа": "f",
           "Mr": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "господин": "m", "г-н": "m"}
@@ -68,6 +77,17 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if c.isdigit())
 
 
+def _ipv6(s: str) -> str | None:
+    """The normal form of an address; none of ``::`` between few letters, as in code."""
+    try:
+        address = ipaddress.IPv6Address(s)
+    except ValueError:
+        return None
+    if "::" in s and (sum(c in "0123456789abcdefABCDEF" for c in s) < 5 or not DIGIT.search(s)):
+        return None
+    return str(address)
+
+
 def detect(text: str | None) -> list[Mention]:
     """Mentions in the order of the text; where two overlap, the kind that comes first here stands."""
     if not text:
@@ -87,6 +107,10 @@ def detect(text: str | None) -> list[Mention]:
     if "@" in text:
         for m in EMAIL.finditer(text):
             add(m.start(), m.end(), "email", m[0].lower())
+    if "::" in text or text.count(":") > 5:
+        for m in IPV6.finditer(text):
+            if norm := _ipv6(m[0]):
+                add(m.start(), m.end(), "ip", norm)
     if DIGIT.search(text):
         for m in IP.finditer(text):
             if all(int(x) < 256 for x in m[0].split(".")):
@@ -95,7 +119,7 @@ def detect(text: str | None) -> list[Mention]:
             if 13 <= len(d := _digits(m[0])) <= 19 and luhn_ok(d):  # any other long number is no card
                 add(m.start(), m.end(), "card", d)
         for m in PHONE.finditer(text):
-            if 9 <= len(d := _digits(m[0])) <= 15:
+            if (8 if m[0][0] == "+" else 9) <= len(d := _digits(m[0])) <= 15:
                 add(m.start(), m.end(), "phone", d)
     if TITLE.search(text):
         for m in PERSON.finditer(text):
@@ -152,14 +176,15 @@ def surrogate(key: bytes, kind: str, norm: str, attempt: int) -> str:
         host, top = domain.rsplit(".", 1)
         return "".join(_like(c, draw) for c in "a" * more + local) + "@" + "".join(_like(c, draw) for c in host) + "." + top
     if kind == "ip":
-        if attempt < 64:
+        if ":" not in norm and attempt < 64:
             return ".".join(str(1 + draw.below(254)) for _ in range(4))
         return ":".join(f"{1 + draw.below(0xFFFF):x}" for _ in range(8))
     if kind == "card":
         body = norm[0] + "".join(str(draw.below(10)) for _ in norm[1:-1] + "0" * more)
         return next(body + d for d in "0123456789" if luhn_ok(body + d))
     if kind == "phone":
-        code = len(norm) - 10 if len(norm) > 10 else 0  # the country's code stays
+        trunk = min(len(norm) - len(norm.lstrip("0")), 2)
+        code = trunk or max(len(norm) - 10, 0)  # leading zeros or the country's code stay
         return norm[:code] + str(2 + draw.below(8)) + "".join(str(draw.below(10)) for _ in norm[code + 1:] + "0" * more)
     if kind == "access":
         return norm[:4] + "".join("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"[draw.below(32)] for _ in norm[4:] + "A" * more)

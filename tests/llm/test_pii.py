@@ -78,3 +78,31 @@ def test_masked_values_and_full_formats_end(spark, docs_of):
         new = pii.render(mention, kind, wide)
         assert len(wide) == len(norm) + 2 and len(new) == len(mention) + 2 and (kind != "card" or pii.luhn_ok(wide))
         assert (new.lower() if kind == "email" else re.sub(r"\D", "", new)) == wide
+
+
+def test_further_forms(docs_of):
+    phones = ["+15551234567", "+49 30 12345678", "01 23 45 67 89", "+33 1 23 45 67 89", "+49 (0)30 / 1234567", "+12345678", "+123456789012345", "030 12345678", "(030) 12345678",
+              "030/123 45 67", "0470 12 34 56", "044 668 18 00", "0049 30 12345678", "(386) 5553733", "386-5553733", "+4 4 2 0 7 9 4 6 0 9 5 8"]
+    for p in phones:
+        for text in (f"call {p}, or write", p, f"({p})"):
+            found = pii.detect(text)
+            assert [(m.kind, m.norm) for m in found] == [("phone", re.sub(r"\D", "", p))], text
+            assert p == text[found[0].start:found[0].end]
+    for ip, norm in [("2001:DB8:0:0:0:0:0:1", "2001:db8::1"), ("fe80::1ff:fe23:4567:890a", "fe80::1ff:fe23:4567:890a"), ("::ffff:61.131.143.218", None)]:
+        for text in (f"host {ip}: up", f"[{ip}]:80", ip, f"at {ip}."):
+            found = pii.detect(text)
+            assert [m.kind for m in found] == ["ip"] and text[found[0].start:found[0].end] == ip and (norm is None or found[0].norm == norm), text
+    assert [m.norm for m in pii.detect("net 2001:db8::, up")] == ["2001:db8::"]
+    for text in ("3782 822463 10005", "3782-822463-10005", "378282246310005"):
+        assert [(m.kind, m.norm) for m in pii.detect(text)] == [("card", "378282246310005")]
+    for text in ("3782 822463 10006", "+1234567", "+1234567890123456", "at 12:30:45", "std::vector, a::b, x[::2]", "01-02-2024 10:30", "2024-01-01 10:20:30", "00:1B:44:11:3A:B7", "ISBN 978-0306406157",
+                 "1234567890 12"):
+        assert pii.detect(text) == [], text
+    texts = ["call +15551234567 or +1 555 123 4567", "host 2001:db8::1 and 2001:DB8:0:0:0:0:0:1", "card 3782 822463 10005", "01 23 45 67 89"]
+    got = {r.doc_id: r.text for r in pii.replace(docs_of(texts), KEY).collect()}
+    a, b = re.fullmatch(r"call (\+1\d{10}) or (\+1 \d{3} \d{3} \d{4})", got[0]).groups()
+    assert a == b.replace(" ", "") != "+15551234567"
+    c, d = re.fullmatch(r"host ([0-9a-f:]+) and ([0-9a-f:]+)", got[1]).groups()
+    assert c == d != "2001:db8::1" and [m.norm for m in pii.detect(c)] == [c]
+    assert re.fullmatch(r"card 3\d{3} \d{6} \d{5}", got[2]) and pii.luhn_ok(re.sub(r"\D", "", got[2])) and got[2] != texts[2]
+    assert re.fullmatch(r"0\d( \d\d){4}", got[3]) and got[3] != texts[3]
