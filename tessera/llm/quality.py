@@ -1,13 +1,15 @@
 """Quality rules by distribution divergence.
 
 A document's character-class and common-word histograms are compared with references per language by
-Jensen-Shannon distance (base 2, 0 to 1).  The references come from all documents of the table: character classes
+Jensen-Shannon distance (base 2, 0 to 1).  The references come from the documents of the whole table that are prose:
+texts with over 1 % symbols, over 20 % capitals or under 70 % letters are left out, as junk would shape what it is
+judged by (all documents are judged).  Character classes
 are summed, and of each language the ``top_words`` most frequent words make the word histogram's bins (all other
 words share one bin).  Short documents have noisy histograms; each test has a minimum length below which it does
 not speak.
 
-Null or empty texts have no words and fail the base rule.  A null or unseen ``lang`` is compared with every
-reference, and the nearest counts.  Repeated rows are judged alike; other columns are not read.
+Null or empty texts have no words and fail the base rule.  A null ``lang``, or one of which no text is prose, is
+compared with every reference, and the nearest counts.  Repeated rows are judged alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -128,7 +130,7 @@ class Reference:
 
 
 def references(docs: DataFrame, rules: Rules) -> dict[str, Reference]:
-    """Per language: class shares and the shares of its most frequent words, over all documents.
+    """Per language: class shares and the shares of its most frequent words, over all documents that are prose.
 
     What comes to the driver has ``top_words + 8`` rows per language.
     """
