@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, language_id, license_scan, line_dedup, pii, quality, simhash, suffix_dedup, token_store
+from . import (byte_bpe, decontaminate, language_id, license_scan, line_dedup, pii, quality, simhash,
+               suffix_dedup, token_store, whitening)
 from .common import small_batches, table
 from tessera.session import scratch_path
 
@@ -60,5 +61,13 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(quality.score(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_decontaminate, op4_language_id, op5_line_dedup, op6_pii, op7_token_store, op8_byte_bpe, op9_suffix_dedup, op10_quality)}
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    embeddings = table(spark, sf_dir, "embeddings")
+    model = whitening.fit(embeddings, k=8)
+    return whitening.digests(whitening.transform(embeddings, model), model)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_simhash, op2_license_scan, op3_decontaminate, op4_language_id, op5_line_dedup, op6_pii, op7_token_store, op8_byte_bpe,
+    op9_suffix_dedup, op10_quality, op11_whitening)}
 ORACLES = {"op2_license_scan": license_scan.oracle_sql(), "op10_quality": quality.oracle_sql()}
