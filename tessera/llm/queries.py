@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, decontaminate, language_id, license_scan, line_dedup, pii, quality, simhash,
+from . import (byte_bpe, decontaminate, language_id, lexical_search, license_scan, line_dedup, pii, quality, simhash,
                suffix_dedup, token_store, whitening)
 from .common import small_batches, table
 from tessera.session import scratch_path
@@ -67,7 +67,12 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.digests(whitening.transform(embeddings, model), model)
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_license_scan, op3_decontaminate, op4_language_id, op5_line_dedup, op6_pii, op7_token_store, op8_byte_bpe,
-    op9_suffix_dedup, op10_quality, op11_whitening)}
-ORACLES = {"op2_license_scan": license_scan.oracle_sql(), "op10_quality": quality.oracle_sql()}
+    op9_suffix_dedup, op10_quality, op11_whitening, op12_lexical_search)}
+ORACLES = {"op2_license_scan": license_scan.oracle_sql(), "op10_quality": quality.oracle_sql(),
+           "op12_lexical_search": lexical_search.oracle_sql()}
