@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (byte_bpe, decontaminate, language_id, lexical_search, license_scan, line_dedup, pii, quality, simhash,
+from . import (byte_bpe, decontaminate, language_id, lexical_search, license_scan, line_dedup, ngram_join, pii, quality, simhash,
                suffix_dedup, token_store, whitening)
 from .common import small_batches, table
 from tessera.session import scratch_path
@@ -71,8 +71,12 @@ def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), ngram_join.Settings(shingle=4, percent=85))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_simhash, op2_license_scan, op3_decontaminate, op4_language_id, op5_line_dedup, op6_pii, op7_token_store, op8_byte_bpe,
-    op9_suffix_dedup, op10_quality, op11_whitening, op12_lexical_search)}
+    op9_suffix_dedup, op10_quality, op11_whitening, op12_lexical_search, op13_ngram_join)}
 ORACLES = {"op2_license_scan": license_scan.oracle_sql(), "op10_quality": quality.oracle_sql(),
            "op12_lexical_search": lexical_search.oracle_sql()}
