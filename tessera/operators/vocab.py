@@ -1,8 +1,7 @@
 """Vocabulary, encoding and label dictionaries.
 
-All lookups are equi-joins.  Vocabulary ids are in order of frequency, so the
-first ids make the broadcast head of a head/tail lookup (see ``functions.lookup``)
-and the rest of the vocabulary, which grows with the corpus, is shuffled.
+All lookups are equi-joins of the vocabulary, which grows with the corpus, with the distinct tokens of
+blocks of documents (see ``functions.blocks``).
 """
 
 from __future__ import annotations
@@ -10,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import blocks
 from ..functions.indexing import with_global_index
-from ..functions.lookup import by_id, head_tail_lookup
 
 SPECIALS = ("<unk>", "<pad>")
 UNK_ID = 0
@@ -38,28 +37,19 @@ def build_vocab(df: DataFrame, tokens_col: str = "tokens",
     return sp.unionByName(words)
 
 
-def encode_tokens(df: DataFrame, tokens_col: str, vocab: DataFrame, key: str = "doc_id",
-                  out_col: str = "token_ids", max_len: int | None = None,
-                  unk_id: int = UNK_ID) -> DataFrame:
-    """Token array -> id array in the same order; unknown tokens -> ``unk_id``.
+def encode_tokens(df: DataFrame, tokens_col: str, vocab: DataFrame, out_col: str = "token_ids",
+                  max_len: int | None = None, unk_id: int = UNK_ID) -> DataFrame:
+    """Token array -> id array in the same order; unknown and null tokens -> ``unk_id``.
 
-    posexplode_outer (empty documents survive) -> left join vocab -> regroup by
-    ``key`` with positions sorted.  With ``max_len`` only the first ``max_len``
-    positions are looked up (the encoding is 1:1, so padding them later gives
-    the same result while long documents shrink before the join).
-    Every other column rides along with each token, so pass only small ones.
+    Blocks of rows look up their distinct tokens (``functions.blocks``); no position leaves its row.  With ``max_len``
+    only the first ``max_len`` tokens are kept (the encoding is 1:1, so padding them later gives the same result).
+    Rows need no key: each comes back once, also where ids repeat.  A null array counts as empty.
     """
-    rest = [c for c in df.columns if c != tokens_col]
-    ex = df.select(*rest, F.posexplode_outer(tokens_col).alias("_pos", "token"))
     if max_len is not None:
-        ex = ex.where(F.col("_pos").isNull() | (F.col("_pos") < max_len))
-    joined = head_tail_lookup(ex, "token", [key, "_pos"], *by_id(vocab.select("token", "token_id")), "token_id")
-    item = F.when(F.col("_pos").isNotNull(),
-                  F.struct(F.col("_pos"), F.coalesce("token_id", F.lit(unk_id)).alias("id")))
-    return (
-        joined.groupBy(*rest).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-        .select(*rest, F.transform("_items", lambda s: s["id"]).alias(out_col))
-    )
+        df = df.withColumn(tokens_col, F.slice(tokens_col, 1, max_len))
+    packed = blocks.pack(df, tokens_col)
+    found = blocks.words(packed, "token").join(vocab.select("token", "token_id"), "token", "left")
+    return blocks.replace(packed, found.select("_block", "_code", "token_id"), "token_id", out_col, F.lit(unk_id))
 
 
 def pad_truncate(ids: Column | str, max_len: int = 350, pad_id: int = PAD_ID) -> Column:
@@ -82,18 +72,13 @@ def pad_to_longest(df: DataFrame, ids_col: str, batch_col: str = "batch_id",
         F.col(ids_col), F.array_repeat(F.lit(pad_id), (longest - F.size(ids_col)).cast("int"))))
 
 
-def decode_ids(df: DataFrame, ids_col: str, vocab: DataFrame, key: str = "doc_id",
-               pad_id: int = PAD_ID, unk: str = "<unk>", out_col: str = "decoded") -> DataFrame:
-    """Ids -> words joined by a space; ``pad_id`` dropped, unknown ids -> ``unk``."""
-    rest = [c for c in df.columns if c != ids_col]
-    # pads go before the explode; an all-pad sequence keeps its row through the outer explode
-    ex = df.select(*rest, F.posexplode_outer(F.filter(ids_col, lambda i: i != pad_id)).alias("_pos", "token_id"))
-    joined = head_tail_lookup(ex, "token_id", [key, "_pos"], *by_id(vocab.select("token_id", "token")), "token")
-    item = F.when(F.col("_pos").isNotNull(), F.struct(F.col("_pos"), F.coalesce("token", F.lit(unk)).alias("t")))
-    return (
-        joined.groupBy(*rest).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-        .select(*rest, F.array_join(F.transform("_items", lambda s: s["t"]), " ").alias(out_col))
-    )
+def decode_ids(df: DataFrame, ids_col: str, vocab: DataFrame, pad_id: int = PAD_ID, unk: str = "<unk>",
+               out_col: str = "decoded") -> DataFrame:
+    """Ids -> words joined by a space; ``pad_id`` dropped, unknown ids -> ``unk``.  Rows as in ``encode_tokens``."""
+    packed = blocks.pack(df.withColumn(ids_col, F.filter(ids_col, lambda i: i != pad_id)), ids_col)
+    found = blocks.words(packed, "token_id").join(vocab.select("token_id", "token"), "token_id", "left")
+    opened = blocks.replace(packed, found.select("_block", "_code", "token"), "token", out_col, F.lit(unk))
+    return opened.withColumn(out_col, F.array_join(out_col, " "))
 
 
 def label_dictionary(df: DataFrame, label_col: str = "label") -> DataFrame:

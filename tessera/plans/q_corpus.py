@@ -65,7 +65,8 @@ cand AS (SELECT v.token, r.r, left(v.token, length(v.token) - length(r.old)) ||
 known AS (SELECT c.* FROM cand c WHERE c.base IN (SELECT token FROM vocab)),
 best AS (SELECT token, arg_min(base, length(base) * 100 + r) AS lemma, min(length(base)) AS len
          FROM known GROUP BY token),
-lem AS (SELECT token, lemma FROM best WHERE len < length(token)),
+exc(token, lemma) AS (VALUES {q.irregular_values()}),
+lem AS (SELECT token, lemma FROM best WHERE len < length(token) AND token NOT IN (SELECT token FROM exc) UNION ALL SELECT token, lemma FROM exc),
 mapped AS (SELECT p.doc_id, p.p, coalesce(l.lemma, p.token) AS tok FROM pos p LEFT JOIN lem l USING (token))
 SELECT d.doc_id, coalesce(string_agg(m.tok, ' ' ORDER BY m.p), '') AS clean_text
 FROM t d LEFT JOIN mapped m USING (doc_id) GROUP BY d.doc_id"""

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from ..functions.stopwords import NLTK_ENGLISH_STOPWORDS, profile_stopwords
 from ..functions.text import TREEBANK_SPLITS
-from ..operators.text_ops import NOUN_RULES
+from ..operators.text_ops import IRREGULAR_NOUNS, NOUN_RULES
 
 
 def lit_list(words) -> str:
@@ -98,3 +98,7 @@ splits AS (SELECT r.* EXCLUDE (rn), CASE WHEN r.rn <= q.train_quota THEN 'train'
 
 def noun_rules_values() -> str:
     return ", ".join(f"({i}, '{old}', '{new}')" for i, (old, new) in enumerate(NOUN_RULES))
+
+
+def irregular_values() -> str:
+    return ", ".join(f"('{form}', '{base}')" for form, base in IRREGULAR_NOUNS)

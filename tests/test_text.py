@@ -63,3 +63,18 @@ def test_lemmatize_with_given_lexicon(spark):
     lex = spark.createDataFrame([("glass",), ("study",)], "form string")
     out = text_ops.prepare_text(df, lem=True, lexicon=lex).first()["clean_text"]
     assert out == "glass study"
+
+
+def test_irregular_nouns_come_before_rules(spark):
+    words = "mice children analyses axes cats mouse cat boxes feet criteria matrices knives buses news"
+    df = spark.createDataFrame([(1, words), (1, "mice"), (1, "mice")], "doc_id long, text string")
+    got = sorted(r["clean_text"] for r in text_ops.prepare_text(df, lem=True).collect())
+    assert got == ["mouse", "mouse", "mouse child analysis axis cat mouse cat boxes foot criterion matrix knife buses news"]
+    # a lexicon has the last word on bases; a listed form takes no rule
+    lex = spark.createDataFrame([("mouse",), ("analyse",), ("ax",), ("cat",)], "form string")
+    table = {r["token"]: r["lemma"] for r in text_ops.lemma_table(
+        spark.createDataFrame([(w,) for w in words.split()], "token string"), lex).collect()}
+    assert table == {"mice": "mouse", "cats": "cat"}
+    own = spark.createDataFrame([("axes", "ax"), ("axes", "axis")], "form string, base string")
+    table = text_ops.lemma_table(spark.createDataFrame([("axes",), ("mice",)], "token string"), None, own)
+    assert [tuple(r) for r in table.collect()] == [("axes", "ax")]

@@ -37,3 +37,14 @@ def test_sample_n_exact(spark):
     assert S.sample_n(df, 100).count() == 100
     b = S.assign_batches(df, 32).groupBy("batch_id").count().orderBy("batch_id").collect()
     assert [r["count"] for r in b] == [32] * 15 + [20]
+
+
+def test_documents_with_one_id_stay_apart(spark):
+    docs = spark.createDataFrame([(1, "aa bb aa"), (1, "aa"), (None, "bb"), (2, ""), (3, None)], "doc_id long, clean_text string").repartition(2)
+    tf = V.term_frequencies(docs)
+    vocab = V.fit_idf(V.fit_vocabulary(tf, 5000), docs)
+    got = sorted(map(repr, ((r["doc_id"], r["term"], r["tf"]) for r in V.count_vectors(tf, vocab).collect())))
+    assert got == sorted(map(repr, [(1, "aa", 2), (1, "bb", 1), (1, "aa", 1), (None, "bb", 1)]))
+    weights = V.tfidf_vectors(tf, vocab).where("doc_id = 1 and term = 'aa'").select("weight").collect()
+    assert sorted(r["weight"] for r in weights)[1] == pytest.approx(1.0) and len(weights) == 2
+    assert {r["df"] for r in vocab.collect()} == {2}

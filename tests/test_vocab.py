@@ -74,3 +74,48 @@ def test_scan_partitions_is_an_explicit_setting(spark):
         assert dealt.count() == plain.count() and "Exchange" in dealt._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.unset(SCAN_PARTITIONS)
+
+
+def test_repeated_ids_stay_rows_and_nothing_is_merged(spark):
+    """Rows that share an id, or repeat, come back one for one from encoding and decoding."""
+    rows = [(1, ["a", "b"]), (1, ["b", "a", None]), (1, ["a", "b"]), (None, ["c"]), (2, []), (2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, tokens array<string>").repartition(3)
+    vocab = spark.createDataFrame([("<unk>", 0), ("<pad>", 1), ("a", 2), ("b", 3)], "token string, token_id int")
+    enc = V.encode_tokens(docs, "tokens", vocab)
+    assert sorted(map(repr, map(tuple, enc.collect()))) == sorted(map(repr, [
+        (1, [2, 3]), (1, [3, 2, 0]), (1, [2, 3]), (None, [0]), (2, []), (2, [])]))
+    back = V.decode_ids(enc, "token_ids", vocab)
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, [
+        (1, "a b"), (1, "b a <unk>"), (1, "a b"), (None, "<unk>"), (2, ""), (2, "")]))
+
+
+def test_blocks_cut_long_arrays_and_positions_are_not_shuffled(spark, monkeypatch):
+    from tessera.functions import blocks
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 2000)
+    docs = spark.range(200).select(F.col("id").alias("doc_id"), F.struct(F.lit("x").alias("extra")).alias("more"),
+                                   F.expr("transform(sequence(0, cast(id % 90 as int)), i -> concat('w', (i * id) % 37))").alias("tokens"))
+    vocab = V.build_vocab(docs)
+    packed = blocks.pack(docs, "tokens")
+    assert packed.count() > 20
+    enc = V.encode_tokens(docs, "tokens", vocab)
+    ids = {r["token"]: r["token_id"] for r in vocab.collect()}
+    want = {r["doc_id"]: [ids[t] for t in r["tokens"]] for r in docs.collect()}
+    got = enc.collect()
+    assert {r["doc_id"]: r["token_ids"] for r in got} == want and len(got) == 200 and got[0]["more"]["extra"] == "x"
+    # what is exploded are words of blocks: fewer rows than positions
+    assert blocks.words(packed, "token").count() < sum(map(len, want.values())) / 2
+
+
+def test_from_csv_to_padded_ids_with_repeated_rows(spark, tmp_path):
+    from tessera.functions.text import basic_english_tokens, normalize_placeholders
+    from tessera.sources import files
+
+    text = 'A "quoted" text,\nwith lines. And more'
+    rows = [(text, "x"), (text, "x"), ("other, text", "y"), (text, "x"), ("", "y")]
+    files.write_csv(spark.createDataFrame(rows, "abstract string, label string").coalesce(1), str(tmp_path / "c"))
+    docs = files.scan_documents(spark, str(tmp_path / "c")).withColumn("tokens", basic_english_tokens(normalize_placeholders(F.coalesce("text", F.lit("")))))
+    vocab = V.build_vocab(docs)
+    padded = V.encode_tokens(docs, "tokens", vocab).select("label", V.pad_truncate("token_ids", 12).alias("p")).collect()
+    assert len(padded) == 5 and sum(1 for r in padded if r["label"] == "x") == 3
+    assert len({tuple(r["p"]) for r in padded if r["label"] == "x"}) == 1
