@@ -61,15 +61,17 @@ class WordEncoder:
 
     Holds for tokenizers that drop white space before they split and keep letters, digits and punctuation apart: no
     token then spans a space or a line break, and a mark behind a letter or digit stands for itself.  Latin words are
-    lower-cased, as the tokenizer would.
+    lower-cased, as the tokenizer would.  Texts that hold the string of an added token go through the library whole.
     """
 
     def __init__(self, path: str, end_id: int, cache: int = CACHE_WORDS):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library, self.tokenizer = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.tokenizer.encode_special_tokens = True  # for words, whose text holds no added token; lower-casing may make one
         self.end_id, self.cache = end_id, cache
+        #: strings that the library takes out of the raw text before all else
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         # where a plain word is one pre-token by its bytes, the library's model can take it without the steps before
         probes = ("a", "word", "tokenization", "zqxj", "é", "ñandú", "straße", "çà", "œuvre", "žluťoučký")
         self.plain = all(self._ids(w) == [t.id for t in self.tokenizer.model.tokenize(byte_letters(w))] for w in probes)
@@ -79,26 +81,47 @@ class WordEncoder:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _forget(self):
-        self.words, self.word_runs = Codes(), Runs()
-        self.parts, self.part_runs = Codes(), Runs()
+        self.words, self.word_runs, self.word_hits = Codes(), Runs(), np.zeros(0, np.int64)
+        self.parts, self.part_runs, self.part_hits = Codes(), Runs(), np.zeros(0, np.int64)
+
+    def _keep_frequent(self, codes: Codes, runs: Runs, hits: np.ndarray) -> tuple[Codes, Runs, np.ndarray]:
+        """The strings that came more than once, half the table at most: most strings never come again."""
+        kept = np.flatnonzero(hits > 1)
+        kept = kept[np.argsort(-hits[kept], kind="stable")][:self.cache // 2]
+        names, fewer, found = list(codes), Codes(), Runs()
+        fewer.update((names[c], k) for k, c in enumerate(kept.tolist()))
+        found.add(*runs.take(kept))
+        return fewer, found, hits[kept] // 2
 
     def _encode(self, parts: list[str]) -> None:
         ids: list[int] = []
-        counts = []
-        model = self.tokenizer.model.tokenize
+        ends = []
+        model, plain = self.tokenizer.model.tokenize, self.plain
         for p in parts:
-            before = len(ids)
-            if self.plain and p.isalpha() and max(p) < "\u0180" and p.islower():
-                ids += [t.id for t in model(byte_letters(p))]
+            if plain and p.isalpha() and p.islower():
+                if p.isascii():
+                    ids += [t.id for t in model(p)]
+                elif max(p) < "\u0180":
+                    ids += [t.id for t in model(byte_letters(p))]
+                else:
+                    ids += self._ids(p)
             else:
                 ids += self._ids(p)
-            counts.append(len(ids) - before)
-        self.part_runs.add(np.array(ids, np.int32), np.array(counts, np.int64))
+            ends.append(len(ids))
+        self.part_runs.add(np.array(ids, np.int32), np.diff(np.array([0, *ends], np.int64)))
 
     def block(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """``ids, counts`` of the texts, each with the end id."""
+        whole = {k: self.library.encode(t, add_special_tokens=False).ids for k, t in enumerate(texts) if any(a in t for a in self.added)}
+        if whole:  # an added token may end inside a word: such texts go through the library as they are
+            ids, counts = self.block([t for k, t in enumerate(texts) if k not in whole]) if len(whole) < len(texts) else (np.zeros(0, np.uint32), [])
+            rest = iter(np.split(ids, np.cumsum(counts)[:-1]))
+            rows = [np.array([*whole[k], self.end_id], np.uint32) if k in whole else next(rest) for k in range(len(texts))]
+            return np.concatenate(rows), np.array([len(r) for r in rows], np.int64)
         if len(self.words) > self.cache:
-            self._forget()
+            self.words, self.word_runs, self.word_hits = self._keep_frequent(self.words, self.word_runs, self.word_hits)
+        if len(self.parts) > self.cache:
+            self.parts, self.part_runs, self.part_hits = self._keep_frequent(self.parts, self.part_runs, self.part_hits)
         codes: list[int] = []
         sizes = []
         code = self.words.__getitem__
@@ -122,13 +145,23 @@ class WordEncoder:
             fresh, self.parts.new = self.parts.new, []
             if fresh:
                 self._encode(fresh)
-            ids, lens = self.part_runs.take(np.array(parts, np.int64))
+            at = np.array(parts, np.int64)
+            self.part_hits = _added(self.part_hits, at, len(self.parts))
+            ids, lens = self.part_runs.take(at)
             self.word_runs.add(ids, run_sums(lens, np.array(n, np.int64)))
-        flat, n = self.word_runs.take(np.array(codes, np.int64))
+        at = np.array(codes, np.int64)
+        self.word_hits = _added(self.word_hits, at, len(self.words))
+        flat, n = self.word_runs.take(at)
         counts = run_sums(n, np.array(sizes, np.int64))
         return np.insert(flat.astype(np.uint32), np.cumsum(counts), np.uint32(self.end_id)), counts + 1
 
 
+def _added(hits: np.ndarray, codes: np.ndarray, size: int) -> np.ndarray:
+    more = np.bincount(codes, minlength=size)
+    more[:len(hits)] += hits
+    return more
+
+
 @functools.lru_cache(maxsize=2)
 def word_encoder(path: str, end_id: int) -> WordEncoder:
     return WordEncoder(path, end_id)

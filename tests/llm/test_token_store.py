@@ -10,13 +10,12 @@ from tokenizers import Tokenizer  # noqa: E402
 from tessera.llm import token_store as S  # noqa: E402
 
 PATH = P.path("word_bpe_49k.json")
-ODD = ["", " ", "a\n\nb  c\td", "Don't STOP   now", "é é ́x", "日本語 🙂", "<|endoftext|> x", "ΑΣ ς\x1cq\x85z", "w " * 3000, "Übergröße, ÉTÉ. ŉ ſ İstanbul ẞ ĳ Ångström! naïve? ñ; x² ½, «été» ª º µ ŀ", "e\u0301te\u0301. E\u0301"]
+ODD = ["", " ", "a\n\nb  c\td", "Don't STOP   now", "é é ́x", "日本語 🙂", "<|endoftext|> x", "a <|endoftext|> b", "ab<|startoftext|>cd<|endoftext|>", "<|ENDOFTEXT|> y", "x<|endoftext|",  "ΑΣ ς\x1cq\x85z", "w " * 3000, "Übergröße, ÉTÉ. ŉ ſ İstanbul ẞ ĳ Ångström! naïve? ñ; x² ½, «été» ª º µ ŀ", "e\u0301te\u0301. E\u0301"]
 
 
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text, add_special_tokens=False).ids + [2]
 
 
@@ -27,6 +26,11 @@ def test_words_equal_whole_texts(library):
         assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library(t) for t in block]
 
 
+def test_added_tokens_are_the_plain_librarys():
+    ids, counts = S.WordEncoder(PATH, 2).block(["a <|endoftext|> b"])
+    assert ids.tolist() == Tokenizer.from_file(PATH).encode("a <|endoftext|> b", add_special_tokens=False).ids + [2] == [320, 49407, 321, 2]
+
+
 def test_round_trip_and_seek(spark, docs_of, library, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "FRAME_TOKENS", 50)
     rows = [(7 * i % 101, t) for i, t in enumerate(ODD * 9)] + [(None, "null id"), (500, None), (501, "same"), (501, "same")]
