@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import ranges
+
 DOC_SCHEMA = T.StructType([T.StructField("abstract", T.StringType()), T.StructField("label", T.StringType())])
 
 
@@ -25,17 +27,23 @@ def csv_reader(spark: SparkSession, schema: T.StructType | str | None, multi_lin
     return r.schema(schema) if schema is not None else r.option("inferSchema", True)
 
 
-def scan_documents(spark: SparkSession, path: str, schema: T.StructType | str = DOC_SCHEMA,
-                   text_col: str = "abstract", label_col: str = "label") -> DataFrame:
+def scan_documents(spark: SparkSession, path: str, schema: T.StructType | str | None = DOC_SCHEMA,
+                   text_col: str = "abstract", label_col: str = "label", record_col: str | None = None) -> DataFrame:
     """A1: labelled CSV with header and quoted multi-line text -> ``(doc_id, text, label, ...)``.
 
-    Without a ``doc_id`` column, the id is a hash of the file's name and the row, so it is the same in each run, however
-    the files are split; rows that repeat in a file share it.
+    A file is read by ranges, many tasks at once (``sources.ranges``).  Without a ``doc_id`` column, the id is a hash of
+    the file's name and the row, so it is the same in each run, however the files are split; rows that repeat in a file
+    share it.  ``record_col`` adds a number that tells these apart.
     """
-    df = csv_reader(spark, schema, multi_line=True).csv(path).withColumnsRenamed({text_col: "text", label_col: "label"})
+    if schema is None:
+        kind = csv_reader(spark, None, multi_line=True).csv(path).schema
+    else:
+        kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    df = ranges.scan_csv(spark, path, kind, record_col=record_col).withColumnsRenamed({text_col: "text", label_col: "label"})
     if "doc_id" in df.columns:
-        return df
-    return df.withColumn("doc_id", F.xxhash64(F.col("_metadata.file_name"), *df.columns))
+        return df.drop("_file")
+    own = [c for c in df.columns if c not in ("_file", record_col)]
+    return df.withColumn("doc_id", F.xxhash64("_file", *own)).drop("_file")
 
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
@@ -88,8 +96,16 @@ def scan_nested_runs(spark: SparkSession, root: str, file_name: str, schema, tag
 
 def scan_json_arrays(spark: SparkSession, path: str, schema: T.StructType | str,
                      multiline: bool = True, tag: str | None = "run") -> DataFrame:
-    """A3: JSON files holding an array of objects (or one object) -> one row per object."""
-    df = spark.read.schema(schema).option("multiLine", multiline).json(path)
+    """A3: JSON files holding an array of objects (or one object) -> one row per object.
+
+    ``multiline`` files are cut at their top-level objects and read by ranges, many tasks per file (``sources.ranges``);
+    others have one object per line.
+    """
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    if multiline:
+        df = ranges.scan_json(spark, path, kind)
+        return df.select(parent_dir(F.url_decode("_path")).alias(tag), *kind.names) if tag else df.select(*kind.names)
+    df = spark.read.schema(kind).json(path)
     return df.select(parent_dir().alias(tag), *df.columns) if tag else df
 
 
