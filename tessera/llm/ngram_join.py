@@ -41,7 +41,7 @@ from .common import components, join_counted, slices, written
 BATCH_BYTES = 4 << 20
 SKETCH = 1 << 22  #: counters of the frequency sketch
 CHUNK = 1 << 16
-TILE = 1 << 19  #: tokens in a tile, about
+TILE = 1 << 16  #: tokens in a tile, about
 BLOOM = 1 << 25  #: bits of the filter of wanted sets
 WORDS_KEPT = 1 << 18  #: word hashes a task keeps at most
 VERIFY = 20.0  #: cost of comparing a candidate, in shuffled tokens
