@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import components, join_counted, slices, written
 
 BATCH_BYTES = 4 << 20
-SKETCH = 1 << 22  #: counters of the frequency sketch
+SKETCH = 1 << 23  #: counters of the frequency sketch
 CHUNK = 1 << 16
 TILE = 1 << 16  #: tokens in a tile, about
 BLOOM = 1 << 25  #: bits of the filter of wanted sets
@@ -117,8 +117,8 @@ def sized(docs: DataFrame, s: Settings) -> DataFrame:
                 lens.append(len(tokens))
                 if len(tokens) >= s.least_size:
                     slots.append(_slots(tokens))
-            if slots:
-                counts += np.bincount(np.concatenate(slots), minlength=SKETCH).astype(np.uint32)
+            for some in slots:
+                np.add.at(counts, some, np.uint32(1))
             n = len(ids)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(lens, pa.int64()),
                                               none(n, pa.int32()), none(n, pa.binary())], ["doc_id", "set", "n", "chunk", "counts"])
