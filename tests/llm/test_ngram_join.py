@@ -75,18 +75,24 @@ def test_prefixes_share_enough_tokens():
     """Whatever each set chooses, linked sets share the smaller number of matches; predicted cost lengthens prefixes."""
     rng = np.random.default_rng(5)
     s = N.Settings()
-    codes = rng.integers(0, 90, N.SKETCH).astype(np.uint8)
+    codes = np.repeat([0, 85], N.SKETCH // 2).astype(np.uint8)  # by the slot's highest bit: held by few, by many
+    top = np.uint64(N.SKETCH // 2 << 17)
     order, chosen = N.Order(codes, s), set()
+
+    def tokens(k, common):
+        x = rng.integers(0, 1 << 63, k).astype(np.uint64) << np.uint64(1)
+        return np.where(rng.random(k) < common, x | top, x & ~top)
+
     for _ in range(400):
-        n = int(rng.integers(6, 300))
-        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1))
+        n, common = int(rng.integers(6, 300)), rng.choice([0.0, 0.5, 0.97])
+        a = np.unique(tokens(n, common))
         swap = int(len(a) * rng.uniform(0, 0.09))
-        b = np.unique(np.concatenate([a[swap:], rng.integers(0, 1 << 63, swap).astype(np.uint64) << np.uint64(1)]))
-        common = len(np.intersect1d(a, b))
+        b = np.unique(np.concatenate([a[swap:], tokens(swap, 0.5)]))
+        shared = len(np.intersect1d(a, b))
         (p, k), (q, m) = order.prefix(a), order.prefix(b)
         assert k >= s.least_matches(len(a)) and len(p) == len(a) - s.overlap(len(a)) + k
         chosen.add(k > s.least_matches(len(a)))
-        if 100 * common >= 85 * (len(a) + len(b) - common):
+        if 100 * shared >= 85 * (len(a) + len(b) - shared):
             assert len(np.intersect1d(p, q)) >= min(k, m)
     assert chosen == {True, False}
     flat = N.Order(np.zeros(N.SKETCH, np.uint8), s)
