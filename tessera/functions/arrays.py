@@ -6,6 +6,8 @@ here is a Column expression, so it composes into a single projection.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,20 +20,22 @@ def array_sum(arr: Column) -> Column:
     return F.aggregate(arr, F.lit(0.0).cast("double"), lambda acc, x: acc + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row: inside a lambda an expression is computed per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_sum_exp(logits: Column | str) -> Column:
     """ln(sum(exp(x))), shifted by the max for stability."""
     a = _c(logits)
-    m = F.array_max(a)
-    return m + F.log(array_sum(F.transform(a, lambda x: F.exp(x - m))))
+    return let(F.array_max(a), lambda m: m + F.log(F.aggregate(a, F.lit(0.0).cast("double"), lambda acc, x: acc + F.exp(x - m))))
 
 
 def softmax(logits: Column | str) -> Column:
     """M1: softmax of a score vector (max subtracted first)."""
     a = _c(logits)
-    m = F.array_max(a)
-    e = F.transform(a, lambda x: F.exp(x - m))
-    total = array_sum(e)
-    return F.transform(e, lambda x: x / total)
+    shares = lambda e: let(array_sum(e), lambda total: F.transform(e, lambda x: x / total))
+    return let(F.array_max(a), lambda m: let(F.transform(a, lambda x: F.exp(x - m)), shares))
 
 
 def argmax(scores: Column | str) -> Column:

@@ -36,8 +36,12 @@ def embedding_join(vocab: DataFrame, vectors: DataFrame, dim: int, scale: float
 
     A token is found if the vector table holds exactly that token; of repeated lines of a token the smallest vector
     counts, so that reruns agree.  Specials are treated like any other token (the pad row is not zeroed).
+
+    The vocabulary is asked first: a semi-join drops the lines of tokens it lacks, so their vectors are neither cast nor
+    aggregated.  ``scan_vectors(..., tokens=vocab)`` drops them before they are parsed.
     """
-    vec = vectors.groupBy(F.col("token").alias("_k")).agg(F.min(F.col("vector").cast("array<double>")).alias("_v"))
+    asked = vectors.select("token", "vector").join(vocab.select("token"), "token", "left_semi")
+    vec = asked.groupBy(F.col("token").alias("_k")).agg(F.min(F.col("vector").cast("array<double>")).alias("_v"))
     j = vocab.select("token_id", "token").join(vec, vocab["token"] == vec["_k"], "left")
     return j.select("token_id", "token", F.col("_v").isNotNull().alias("found"),
                     F.coalesce("_v", gaussian_vector(F.col("token"), dim, scale, seed)).alias("vector"))

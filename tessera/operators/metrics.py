@@ -9,10 +9,19 @@ runs x classes^2, so nothing downstream of it touches the rows again.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import arrays as A
+from ..session import materialize
+
+#: Runs whose axes go to the records by one broadcast.
+AXES_RUNS = 4096
 
 # --- fixed values: summary metrics and their display names, in report order
 SUMMARY_METRICS = (
@@ -221,25 +230,21 @@ def top_misclassified(pred: DataFrame, k: int = 5) -> DataFrame:
 def summary_metrics(pred: DataFrame) -> DataFrame:
     """Per run: accuracy, macro precision/recall/f1, top-3 accuracy, loss; predictions are read once.
 
-    The pair table of a run is gathered into one row (classes^2 entries) from which all figures are computed.
+    The pair table (classes^2 rows per run) becomes one row per class and run, and these one row per run.
     """
-    cells = pair_counts(pred, 3)
-    per_run = cells.groupBy("run").agg(
-        (F.sum(F.when(F.col("true_idx") == F.col("pred_idx"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"),
-        (F.sum("hits") / F.sum("n")).alias("top3_accuracy"), (F.sum("loss") / F.sum("n")).alias("loss"),
-        F.collect_list(F.struct("true_idx", "pred_idx", "n")).alias("cells"))
-    total = lambda cs: F.aggregate(cs, F.lit(0).cast("bigint"), lambda a, x: a + x["n"])
-    classes = F.array_distinct(F.flatten(F.transform("cells", lambda x: F.array(x["true_idx"], x["pred_idx"]))))
-    tallies = F.transform(classes, lambda c: F.struct(
-        total(F.filter("cells", lambda x: (x["true_idx"] == c) & (x["pred_idx"] == c))).alias("tp"),
-        total(F.filter("cells", lambda x: x["true_idx"] == c)).alias("support"),
-        total(F.filter("cells", lambda x: x["pred_idx"] == c)).alias("n_pred")))
+    hit = F.when(F.col("true_idx") == F.col("pred_idx"), F.col("n")).otherwise(0)
+    # each pair counts for its true class and for its predicted one; figures of the whole run go with the former
+    roles = pair_counts(pred, 3).select("run", F.inline(F.array(
+        F.struct(F.col("true_idx").alias("cls"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("n_pred"), hit.alias("tp"), "hits", "loss"),
+        F.struct(F.col("pred_idx").alias("cls"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("n_pred"),
+                 F.lit(0).cast("bigint").alias("tp"), F.lit(None).alias("hits"), F.lit(None).alias("loss")))))
+    by_class = roles.groupBy("run", "cls").agg(*[F.sum(c).alias(c) for c in ("support", "n_pred", "tp", "hits", "loss")])
     ratio = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
-    mean = lambda f: F.aggregate(F.transform("t", f), F.lit(0.0), lambda a, x: a + x) / F.size("t")
-    return per_run.withColumn("t", tallies).select(
-        "run", "accuracy", mean(lambda x: ratio(x["tp"], x["n_pred"])).alias("precision"),
-        mean(lambda x: ratio(x["tp"], x["support"])).alias("recall"),
-        mean(lambda x: ratio(2 * x["tp"], x["support"] + x["n_pred"])).alias("f1"), "top3_accuracy", "loss")
+    tp, support, n_pred = F.col("tp"), F.col("support"), F.col("n_pred")
+    return by_class.groupBy("run").agg(
+        (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(ratio(tp, n_pred)).alias("precision"),
+        F.avg(ratio(tp, support)).alias("recall"), F.avg(ratio(2 * tp, support + n_pred)).alias("f1"),
+        (F.sum("hits") / F.sum("support")).alias("top3_accuracy"), (F.sum("loss") / F.sum("support")).alias("loss"))
 
 
 def run_summary(summary: DataFrame, entropy: DataFrame | None = None, kinds: DataFrame | None = None) -> DataFrame:
@@ -290,40 +295,77 @@ def factorize_labels(df: DataFrame, label_col: str = "label", order_col: str = "
         label_col, F.col("_i").cast("int").alias("code"))
 
 
-def hidden_pca(states: DataFrame, k: int = 2, by: str = "run") -> DataFrame:
-    """``k``-component PCA of centred hidden states, fitted per run.
+def gram_blocks(states: DataFrame, by: str = "run", vector_col: str = "hidden_state") -> DataFrame:
+    """``by, d, n, sums, cells``: per run and task the rows, their sum and the sum of their outer products (row by row).
 
-    A run's mean and covariance are sums over its rows (partial sums of dims^2 values, whatever the number of rows or
-    runs); each run's eigenvectors come from that one small matrix, and rows are projected in the scan.  Of the two
-    signs of a component the one with a positive largest entry is taken.
+    Vectors are taken as blocks of Arrow batches, each one matrix product, so what leaves a task is one small row per run
+    and width, however many records it read.  Products are of values less the task's first vector, which ``origin``
+    holds: sums of products of values far from zero would lose digits.
     """
-    import numpy as np
-    import pandas as pd
+    kind = states.schema[by].dataType.simpleString()
+
+    def kernel(batches: Iterator[pa.RecordBatch]):
+        total: dict = {}
+        for batch in batches:
+            runs, vectors = batch.column(0).to_pylist(), batch.column(1)
+            lens = vectors.value_lengths().fill_null(0).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(lens)])
+            flat = vectors.flatten().to_numpy(zero_copy_only=False)
+            groups: dict = {}
+            for i, r in enumerate(runs):
+                if lens[i]:
+                    groups.setdefault((r, int(lens[i])), []).append(i)
+            for key, rows in groups.items():
+                x = flat[ends[rows][:, None] + np.arange(key[1])]
+                one = total.setdefault(key, [x[0].copy(), 0, np.zeros(key[1]), np.zeros((key[1], key[1]))])
+                y = x - one[0]
+                one[1] += len(y)
+                one[2] += y.sum(axis=0)
+                one[3] += y.T @ y
+        if total:
+            yield pa.RecordBatch.from_arrays([
+                pa.array([r for r, _ in total], batch.schema.field(0).type), pa.array([d for _, d in total], pa.int32()),
+                pa.array([v[0].tolist() for v in total.values()], pa.list_(pa.float64())), pa.array([v[1] for v in total.values()], pa.int64()),
+                pa.array([v[2].tolist() for v in total.values()], pa.list_(pa.float64())),
+                pa.array([v[3].ravel().tolist() for v in total.values()], pa.list_(pa.float64()))], [by, "d", "origin", "n", "sums", "cells"])
+
+    return states.select(by, F.col(vector_col).cast("array<double>").alias("x")).mapInArrow(
+        kernel, f"{by} {kind}, d int, origin array<double>, n long, sums array<double>, cells array<double>")
 
-    x = states.select(by, "row_id", "label", F.col("hidden_state").cast("array<double>").alias("x"))
-    wide = x.select(by, F.size("x").alias("d"), F.posexplode("x").alias("i", "a"), "x")
-    cells = wide.select(by, "d", "i", "a", F.posexplode("x").alias("j", "b")).where("j >= i") \
-        .groupBy(by, "d", "i", "j").agg(F.count(F.lit(1)).alias("n"), F.sum("a").alias("sa"), F.sum("b").alias("sb"),
-                                        F.sum(F.col("a") * F.col("b")).alias("sab"))
 
+def hidden_pca(states: DataFrame, k: int = 2, by: str = "run") -> DataFrame:
+    """``k``-component PCA of centred hidden states, fitted per run.
+
+    A run's mean and covariance come from one row per task (``gram_blocks``); records are projected where they are read.
+    The axes, one small row per run, are not joined with the records by run: each run's records would meet in one task.
+    They go to the records as a table of runs by broadcast, in blocks of AXES_RUNS runs, so what is sent has a bound; a
+    scan takes one block.  Of the two signs of a component the one with a positive largest entry is taken.
+    """
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         d = int(rows.d.max())
-        n = rows.n.iloc[0]
-        cov, mean = np.zeros((d, d)), np.zeros(d)
-        i, j = rows.i.to_numpy(), rows.j.to_numpy()
-        cov[i, j] = cov[j, i] = rows.sab / n - rows.sa / n * rows.sb / n
-        mean[i] = rows.sa / n
-        values, vectors = np.linalg.eigh(cov)
+        rows = rows[rows.d == d]
+        n, origin = rows.n.sum(), np.array(rows.origin.iloc[0])
+        total, square = np.zeros(d), np.zeros((d, d))
+        for r in rows.itertuples():  # moved to one origin
+            shift, part = np.array(r.origin) - origin, np.array(r.sums)
+            total += part + r.n * shift
+            square += np.array(r.cells).reshape(d, d) + np.outer(part, shift) + np.outer(shift, part) + r.n * np.outer(shift, shift)
+        mean = total / n
+        values, vectors = np.linalg.eigh(square / n - np.outer(mean, mean))
         top = vectors[:, np.argsort(-values)[:k]].T
         top *= np.sign(top[np.arange(len(top)), np.abs(top).argmax(axis=1)])[:, None]
-        return pd.DataFrame({by: [rows[by].iloc[0]], "axes": [[a.tolist() for a in top]], "shift": [(top @ mean).tolist()]})
+        return pd.DataFrame({by: [rows[by].iloc[0]], "axes": [[a.tolist() for a in top]], "shift": [(top @ (mean + origin)).tolist()]})
 
-    kind = x.schema[by].dataType.simpleString()
-    axes = cells.groupBy(by).applyInPandas(fit, f"{by} {kind}, axes array<array<double>>, shift array<double>")
-    # one row of k x (dims + 1) values per run: joined by run, as the number of runs has no bound
-    j = x.join(axes, by)
+    kind = states.schema[by].dataType.simpleString()
+    axes = materialize(gram_blocks(states, by).groupBy(by).applyInPandas(fit, f"{by} {kind}, axes array<array<double>>, shift array<double>"))
+    x = states.select(by, "row_id", "label", F.col("hidden_state").cast("array<double>").alias("x"))
     projected = F.transform("axes", lambda a, i: A.dot(F.col("x"), a) - F.col("shift")[i])
-    return j.select(by, "row_id", "label", projected.alias("components"))
+    of = F.pmod(F.xxhash64(by), F.lit(max(1, -(-axes.count() // AXES_RUNS))))
+    out = None
+    for b in range(max(1, -(-axes.count() // AXES_RUNS))):
+        part = x.where(of == b).join(F.broadcast(axes.where(of == b)), by).select(by, "row_id", "label", projected.alias("components"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def document_attention(weights: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -338,6 +380,14 @@ def attention_entropy(weights: DataFrame, key: str = "doc_id") -> DataFrame:
     return document_attention(weights, key).agg(F.count(F.lit(1)).alias("n_rows"), F.avg("entropy").alias("mean_entropy"))
 
 
+def attention_by_run(records: DataFrame, weights_col: str = "attention_weights") -> DataFrame:
+    """``(run, avg_attn_entropy)`` for M16: mean over a run's records of -sum(w ln w) (0 ln 0 = 0), in the row and by
+    partial means.  Records without weights (null or empty) have no say; a run of such records only has no entropy."""
+    w = F.col(weights_col)
+    own = F.when(F.size(w) > 0, -F.aggregate(w, F.lit(0.0), lambda a, x: a + F.when(x > 0, x * F.log(x)).otherwise(0.0)))
+    return records.groupBy("run").agg(F.avg(own).alias("avg_attn_entropy"))
+
+
 def attention_batch_stats(weights: DataFrame, batches: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per batch: mean row entropy and max weight (batches from S3)."""
     j = document_attention(weights, key).join(batches.select(key, "batch_id"), key)

@@ -90,3 +90,21 @@ def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("run", "epoch", "phase", "batch_id")
         .agg(F.count(F.lit(1)).alias("n"), F.avg("loss").alias("batch_loss"), F.sum("ok").alias("correct"))
     )
+
+
+def epoch_extras(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Further columns of the epoch log, per ``(run, epoch)``: figures of the epoch's own events."""
+    ev = read_table(spark, sf_dir, "events").select("user_id", "event_type", "value")
+    run = F.concat_ws("-", "event_type", F.floor(F.col("user_id") / (USERS_PER_EPOCH * EPOCHS)))
+    epoch = F.pmod(F.floor(F.col("user_id") / USERS_PER_EPOCH), F.lit(EPOCHS)).cast("int")
+    return ev.groupBy(run.alias("run"), epoch.alias("epoch")).agg(
+        F.round(F.min("value"), 2).alias("lr"), F.max("value").alias("grad_norm"), F.log1p(F.avg("value")).alias("attn_entropy"))
+
+
+def attention_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(run, row_id, attention_weights)`` of the one run with attention: a softmax over each vector's entries."""
+    from ..functions.arrays import softmax
+
+    emb = read_table(spark, sf_dir, "embeddings")
+    return emb.select(F.lit(RUNS[0][0]).alias("run"), F.col("vec_id").alias("row_id"),
+                      softmax(F.col("embedding").cast("array<double>")).alias("attention_weights"))

@@ -9,7 +9,7 @@ from ..functions.text import basic_english_tokens, normalize_placeholders, trunc
 from ..operators import epochs as E
 from ..sources.tables import read_table
 from . import sqlparts as q
-from .fixtures import EPOCHS, EVENTS_PER_BATCH, USERS_PER_EPOCH, batch_log
+from .fixtures import EPOCHS, EVENTS_PER_BATCH, USERS_PER_EPOCH, batch_log, epoch_extras
 from .registry import query, rounded
 
 BATCH = f"""bl AS (SELECT event_type || '-' || CAST(floor(user_id / {USERS_PER_EPOCH * EPOCHS}) AS BIGINT) AS run,
@@ -57,29 +57,27 @@ def _e3(spark, sf):
     return E.early_stop_epoch(elog(spark, sf), patience=3)
 
 
-# the logged rate: halved after every third epoch
-_LR_SQL = f"""WITH {BATCH}, lr AS (SELECT run, epoch, 0.001::DOUBLE / (1 << (epoch // 3)) AS lr FROM el)
-SELECT run, epoch, lr, lr <> lag(lr, 1, lr) OVER (PARTITION BY run ORDER BY epoch) AS changed FROM lr"""
+EXTRAS = f"""xs AS (SELECT event_type || '-' || CAST(floor(user_id / {USERS_PER_EPOCH * EPOCHS}) AS BIGINT) AS run,
+              CAST(floor(user_id / {USERS_PER_EPOCH}) AS INTEGER) % {EPOCHS} AS epoch,
+              round(min(value), 2) AS lr, max(value) AS grad_norm, ln(1 + avg(value)) AS attn_entropy FROM events GROUP BY ALL)"""
 
 
-@query("lr_plateau", _LR_SQL)
+@query("lr_plateau", f"""WITH {EXTRAS}
+SELECT run, epoch, lr, lr <> lag(lr, 1, lr) OVER (PARTITION BY run ORDER BY epoch) AS changed FROM xs""")
 def _e4(spark, sf):
-    log = elog(spark, sf).withColumn("lr", F.lit(0.001) / F.expr("shiftleft(1, epoch div 3)"))
-    return E.lr_changes(log)
+    return E.lr_changes(epoch_extras(spark, sf))
 
 
 # runs of one event type log two columns more than the others
-_MORE = "CASE WHEN run LIKE 'click-%' THEN {} END"
-
-
-@query("compare_runs", f"""WITH {BATCH},
-more AS (SELECT *, {_MORE.format('2 * train_loss')} AS grad_norm, {_MORE.format('val_acc / 2')} AS attn_entropy FROM el)
+@query("compare_runs", f"""WITH {BATCH}, {EXTRAS},
+more AS (SELECT el.*, CASE WHEN run LIKE 'click-%' THEN grad_norm END AS grad_norm, CASE WHEN run LIKE 'click-%' THEN attn_entropy END AS attn_entropy
+         FROM el JOIN xs USING (run, epoch))
 SELECT run, epoch, metric, round(value, 6) AS value FROM (UNPIVOT more ON train_loss, val_loss, train_acc, val_acc, grad_norm, attn_entropy
   INTO NAME metric VALUE value) WHERE value IS NOT NULL""")
 def _e5(spark, sf):
     log = elog(spark, sf)
-    rich = log.where(F.col("run").startswith("click-")).withColumns(
-        {"grad_norm": 2 * F.col("train_loss"), "attn_entropy": F.col("val_acc") / 2})
+    rich = log.where(F.col("run").startswith("click-")).join(
+        epoch_extras(spark, sf).select("run", "epoch", "grad_norm", "attn_entropy"), ["run", "epoch"])
     return rounded(E.compare_runs([log.where(~F.col("run").startswith("click-")), rich]))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import filters, metrics as M
 from ..sources.tables import read_table
-from .fixtures import RUNS, prediction_scores
+from .fixtures import RUNS, attention_records, prediction_scores
 from .registry import query, rounded
 
 _RUNS_SQL = ", ".join(f"('{n}', {d})" for n, d in RUNS)
@@ -160,6 +160,19 @@ def _run_summary(spark, sf):
     return M.run_summary(M.summary_metrics(preds(spark, sf)), kinds=kinds)
 
 
+@query("run_summary_attention", f"""WITH {PRED},
+aw AS (SELECT vec_id, exp(v - max(v) OVER w) / 1.0 AS e FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS v FROM embeddings) WINDOW w AS (PARTITION BY vec_id)),
+pw AS (SELECT vec_id, e / sum(e) OVER (PARTITION BY vec_id) AS p FROM aw),
+ent AS (SELECT '{RUNS[0][0]}' AS run, avg(h) AS entropy FROM (SELECT vec_id, -sum(CASE WHEN p > 0 THEN p * ln(p) ELSE 0 END) AS h FROM pw GROUP BY vec_id))
+SELECT run AS "Model", round(accuracy, 4) AS "Accuracy", round(f1, 4) AS "Macro-F1", round(precision, 4) AS "Precision",
+       round(recall, 4) AS "Recall", round(top3_accuracy, 4) AS "Top-3 Accuracy", round(entropy, 4) AS "Avg Attention Entropy",
+       round(loss, 4) AS "Loss", 'Unknown' AS "Test Type" FROM summ LEFT JOIN ent USING (run)""")
+def _run_summary_attention(spark, sf):
+    # one of the two runs has attention
+    entropy = M.attention_by_run(attention_records(spark, sf))
+    return M.run_summary(M.summary_metrics(preds(spark, sf)), entropy=entropy)
+
+
 _LONG_SQL = """SELECT run AS "Model", m.title AS "Metric",
   round(CASE m.key WHEN 'accuracy' THEN accuracy WHEN 'precision' THEN precision WHEN 'recall' THEN recall
         WHEN 'f1' THEN f1 ELSE top3_accuracy END, 6) AS "Value"

@@ -9,11 +9,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import epochs as E, metrics as M, vocab
+from ..functions.arrays import array_sum
+from ..operators import epochs as E, filters, metrics as M, vocab
 from ..session import scratch_path
 from ..sources import files
 from ..sources.tables import read_table
 from . import sqlparts as q
+from .fixtures import RUNS
 from .q_corpus import SPLITS, split_docs
 from .q_encode import SEQ, ids_text, seq_tokens, train_vocab
 from .q_epochs import BATCH, elog, means
@@ -53,6 +55,41 @@ def _a3(spark, sf):
     return back.select("run", "row_id", "true_label", "predicted_label")
 
 
+def _evaluation(spark, sf):
+    """An evaluation's documents over both runs, written and published as one set."""
+    from .fixtures import hidden_states
+    from .q_epochs import traces
+
+    root = scratch_path(spark, "evaluation")
+    p = preds(spark, sf)
+    examples = traces(spark, sf).select("run", F.col("epoch").cast("bigint").alias("row_id"), "tokens", "attention_weights")
+    files.sink_evaluation({"hidden_states": hidden_states(spark, sf), "misclassified": filters.filter_misclassified(p),
+                           "attention_examples": examples}, root)
+    return root
+
+
+@query("scan_hidden_states", """SELECT run, vec_id AS row_id, CAST(label AS VARCHAR) AS label, CAST(len(x) AS INTEGER) AS n_dims,
+round(list_sum(x), 6) AS vsum FROM (SELECT r.run, vec_id, label, (embedding::DOUBLE[])[1:r.dims] AS x FROM embeddings, (VALUES %s) r(run, dims))"""
+       % ", ".join(f"('{n}', {d})" for n, d in RUNS))
+def _a3_hidden(spark, sf):
+    back = files.scan_evaluation(spark, _evaluation(spark, sf), "hidden_states")
+    return rounded(back.select("run", "row_id", "label", F.size("hidden_state").alias("n_dims"), array_sum(F.col("hidden_state")).alias("vsum")))
+
+
+@query("scan_misclassified", f"WITH {PRED} SELECT run, row_id, true_label, predicted_label, round(confidence, 6) AS confidence FROM p WHERE NOT correct")
+def _a3_misclassified(spark, sf):
+    return rounded(files.scan_evaluation(spark, _evaluation(spark, sf), "misclassified"))
+
+
+@query("scan_attention_examples", f"""WITH {BATCH},
+ex AS (SELECT {q.basic_english(q.normalize('text'))}[1:40] AS toks FROM documents ORDER BY doc_id LIMIT 1)
+SELECT run, CAST(epoch AS BIGINT) AS row_id, array_to_string(toks, ' ') AS tokens, CAST(len(toks) AS INTEGER) AS n_weights, 1.0::DOUBLE AS total FROM el, ex""")
+def _a3_examples(spark, sf):
+    back = files.scan_evaluation(spark, _evaluation(spark, sf), "attention_examples")
+    return rounded(back.select("run", "row_id", F.array_join("tokens", " ").alias("tokens"), F.size("attention_weights").alias("n_weights"),
+                               array_sum(F.col("attention_weights")).alias("total")))
+
+
 @query("sink_history", f"""WITH {BATCH}, fin AS (SELECT run, phase, arg_max(accuracy, epoch) AS accuracy FROM em GROUP BY run, phase)
 SELECT run, phase, epoch, round(loss, 6) AS loss, round(accuracy, 6) AS final_accuracy FROM em JOIN fin USING (run, phase)""".replace("accuracy, 6)", "fin.accuracy, 6)"))
 def _a6(spark, sf):
@@ -126,7 +163,7 @@ def _a9_reuse(spark, sf):
 def _a10(spark, sf):
     root = scratch_path(spark, "runs-optional")
     files.write_csv(elog(spark, sf), root, partition_by=["run"])
-    found = files.scan_runs(spark, root, "*.csv", EPOCH_SCHEMA)
+    found = files.scan_mandatory(spark, root, "*.csv", EPOCH_SCHEMA)
     # no run has this file: an empty scan, not an error
     found = found.select("run").unionByName(files.scan_runs(spark, root, "test_metrics.csv", EPOCH_SCHEMA).select("run"))
     requested = preds(spark, sf).select("run").unionByName(found.select("run"))
@@ -157,7 +194,6 @@ def _a4(spark, sf):
 SELECT v.token, CAST(len(e.embedding) AS INTEGER) AS n_dims, round(list_sum(e.embedding::DOUBLE[]), 6) AS vsum
 FROM vocab v JOIN embeddings e ON e.vec_id = v.token_id % (SELECT count(*) FROM embeddings) WHERE regexp_full_match(v.token, '[a-z]+')""")
 def _a5(spark, sf):
-    from ..functions.arrays import array_sum
     from .q_attention import pretrained_vectors
 
     root = scratch_path(spark, "vectors")

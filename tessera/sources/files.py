@@ -8,6 +8,10 @@ came from through the ``_metadata.file_path`` column.
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -140,14 +144,15 @@ def scan_attention_trace(spark: SparkSession, directory: str, schema: str = TRAC
     return df.withColumn(tag, F.regexp_replace(run, r"^[^=/]+=", "")).orderBy(tag, "file_epoch")
 
 
-def scan_vectors(spark: SparkSession, path: str, dim: int | None = None) -> DataFrame:
+def scan_vectors(spark: SparkSession, path: str, dim: int | None = None, tokens: DataFrame | None = None) -> DataFrame:
     """A5: word vectors ``token v1 ... vd`` -> ``(token, vector ARRAY<FLOAT>)``.
 
     Lines may end in white space.  A header (two integers) is dropped where a file begins with it: such a line has one
     number behind its token, so it counts as header only if ``dim`` is not 1.  A line of another width than ``dim``
     (without ``dim``: an empty one) or with a value that is no number raises; ``rejected_vectors`` lists such lines.
+    With ``tokens`` (a table with a column ``token``) only the lines of these tokens are parsed, and checked.
     """
-    rows = _vector_lines(spark, path, dim)
+    rows = _vector_lines(spark, path, dim, tokens)
     checked = F.when(F.col("ok"), F.col("vector")).otherwise(
         F.raise_error(F.concat(F.lit("not a word vector: "), F.substring("value", 1, 80))).cast("array<float>"))
     return rows.select("token", checked.alias("vector"))
@@ -158,12 +163,15 @@ def rejected_vectors(spark: SparkSession, path: str, dim: int | None = None) ->
     return _vector_lines(spark, path, dim).where("not ok").select("value")
 
 
-def _vector_lines(spark: SparkSession, path: str, dim: int | None) -> DataFrame:
+def _vector_lines(spark: SparkSession, path: str, dim: int | None, tokens: DataFrame | None = None) -> DataFrame:
     parts = F.split(F.rtrim("value"), r"\s+")
     numbers = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.try_cast("float"))
     df = spark.read.text(path)
     if dim != 1:
         df = df.where(~F.col("value").rlike(r"^\d+ \d+\s*$"))
+    if tokens is not None:
+        first = df.withColumn("_token", F.regexp_substr("value", F.lit(r"^\S*")))
+        df = first.join(tokens.select(F.col("token").alias("_token")), "_token", "left_semi").select("value")
     ok = F.forall("vector", lambda x: x.isNotNull()) & (F.size("vector") == dim if dim else F.size("vector") > 0)
     return df.select("value", parts.getItem(0).alias("token"), numbers.alias("vector")).withColumn("ok", ok)
 
@@ -214,17 +222,108 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+MANIFEST = "_current"
+
+
+def _fs(spark: SparkSession, path: str):
+    jvm = spark.sparkContext._jvm
+    hadoop = jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
+
+
+def publish(spark: SparkSession, path: str, writers: dict[str, Callable[[str], None]]) -> str:
+    """Writes a set of tables or files that readers see as a whole or not at all; returns the version's folder.
+
+    Every writer gets a folder of its own below a version that nobody reads yet.  When all have succeeded, a manifest
+    named by the version's number is put in place by one rename, which fails if another writer took that number.
+    Readers take the highest manifest (``published``); a writer that dies half-way leaves the set before it in force.
+    """
+    fs, to_path = _fs(spark, path)
+    version = f"{path.rstrip('/')}/v-{uuid.uuid4().hex[:12]}"
+    for name, write in writers.items():
+        write(f"{version}/{name}")
+    draft = f"{version}/{MANIFEST}"
+    out = fs.create(to_path(draft))
+    out.write(bytearray(json.dumps({"version": version.rsplit("/", 1)[1], "names": list(writers)}).encode()))
+    out.close()
+    fs.mkdirs(to_path(f"{path.rstrip('/')}/{MANIFEST}"))
+    number = _latest(spark, path)[0] + 1
+    target = to_path(f"{path.rstrip('/')}/{MANIFEST}/{number:012d}.json")
+    if fs.exists(target) or not fs.rename(to_path(draft), target):
+        raise RuntimeError(f"{path}: another writer has published version {number}")
+    return version
+
+
+def _latest(spark: SparkSession, path: str) -> tuple[int, str | None]:
+    fs, to_path = _fs(spark, path)
+    found = fs.globStatus(to_path(f"{path.rstrip('/')}/{MANIFEST}/*.json"))
+    names = sorted(f.getPath().getName() for f in found or [])
+    return (int(names[-1].split(".")[0]), f"{path.rstrip('/')}/{MANIFEST}/{names[-1]}") if names else (0, None)
+
+
+def published(spark: SparkSession, path: str) -> str:
+    """The folder of the newest complete set below ``path``; raises where there is none."""
+    _, manifest = _latest(spark, path)
+    if manifest is None:
+        raise FileNotFoundError(f"{path}: no complete set of tables")
+    text = spark.read.text(manifest, wholetext=True).first()["value"]
+    return f"{path.rstrip('/')}/{json.loads(text)['version']}"
+
+
 def save_artifacts(tables: dict[str, DataFrame], path: str) -> None:
-    """Vocabulary, label dictionary, prepared table -> parquet tables (no pickles)."""
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+    """Vocabulary, label dictionary, prepared table -> parquet tables (no pickles), published together."""
+    spark = next(iter(tables.values())).sparkSession
+    publish(spark, path, {name: df.write.parquet for name, df in tables.items()})
 
 
 def load_artifacts(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    folder = published(spark, path)
+    return {n: spark.read.parquet(f"{folder}/{n}") for n in names}
 
 
 def optional_inputs(requested: DataFrame, found: DataFrame, key: str = "run") -> DataFrame:
     """A10: requested runs with no file found -> warning rows; the others are analysed as usual."""
     return requested.select(key).distinct().join(found.select(key).distinct(), key, "left_anti") \
         .withColumn("status", F.lit("missing"))
+
+
+def scan_mandatory(spark: SparkSession, root: str, file_glob: str, schema: T.StructType | str, tag: str = "run") -> DataFrame:
+    """A10: the file that every run must have (``metrics.csv``): raises if a run directory lacks it, naming the runs."""
+    fs, to_path = _fs(spark, root)
+    runs = [f.getPath() for f in fs.globStatus(to_path(f"{root.rstrip('/')}/*")) or [] if f.isDirectory()]
+    missing = [p.getName() for p in runs if not fs.globStatus(to_path(f"{p.toString()}/{file_glob}"))]
+    if missing or not runs:
+        raise FileNotFoundError(f"{file_glob} is missing in: {', '.join(sorted(missing)) or root}")
+    return scan_runs(spark, root, file_glob, schema, tag)
+
+
+# -- what an evaluation writes (A7) and an analysis reads (A3)
+HIDDEN_STATES_SCHEMA = "row_id BIGINT, hidden_state ARRAY<DOUBLE>, label STRING"
+MISCLASSIFIED_SCHEMA = "row_id BIGINT, true_label STRING, predicted_label STRING, confidence DOUBLE"
+PREDICTIONS_SCHEMA = "row_id BIGINT, true_label STRING, predicted_label STRING, probabilities ARRAY<DOUBLE>"
+ATTENTION_SCHEMA = "row_id BIGINT, tokens ARRAY<STRING>, attention_weights ARRAY<DOUBLE>"
+EVALUATION_SCHEMAS = {"hidden_states": HIDDEN_STATES_SCHEMA, "misclassified": MISCLASSIFIED_SCHEMA,
+                      "predictions": PREDICTIONS_SCHEMA, "attention_examples": ATTENTION_SCHEMA}
+
+
+def sink_evaluation(tables: dict[str, DataFrame], path: str, rows_per_file: int = 10_000) -> str:
+    """The documents of an evaluation as JSON arrays by run, published as one set.
+
+    ``tables`` names any of EVALUATION_SCHEMAS; each has a column ``run`` beside its schema's.  ``test_metrics`` (one row
+    per run) is written as one object per run.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    writers: dict[str, Callable[[str], None]] = {}
+    for name, df in tables.items():
+        if name == "test_metrics":
+            writers[name] = lambda folder, df=df: write_json_documents(df, folder, "run")
+        else:
+            columns = T.StructType.fromDDL(EVALUATION_SCHEMAS[name]).names
+            writers[name] = lambda folder, df=df.select("run", *columns): write_json_arrays(df, folder, "run", rows_per_file)
+    return publish(spark, path, writers)
+
+
+def scan_evaluation(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """A3: one kind of document of the newest complete evaluation, tagged by run."""
+    schema = TEST_METRICS_SCHEMA if name == "test_metrics" else EVALUATION_SCHEMAS[name]
+    return scan_json_arrays(spark, f"{published(spark, path)}/{name}/*/*.txt", schema)

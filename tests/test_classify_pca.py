@@ -82,3 +82,35 @@ def test_report_and_summary_read_predictions_once(spark):
         assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
     summary = M.run_summary(M.summary_metrics(p)).first()
     assert summary["Avg Attention Entropy"] is None and summary["Test Type"] == "Unknown"
+
+
+def test_pca_moves_one_row_per_task_and_run(spark, monkeypatch):
+    """Records far from zero, many runs in several broadcast blocks; empty and null vectors have no say."""
+    rng = np.random.default_rng(3)
+    rows = [(f"r{i % 7}", i, "l", (rng.normal(size=6) * np.arange(1, 7) + 1e7).tolist()) for i in range(700)]
+    states = spark.createDataFrame(rows, "run string, row_id long, label string, hidden_state array<double>").repartition(3)
+    odd = spark.createDataFrame([("r0", 900, "l", None), ("r0", 901, "l", [])], states.schema)
+    assert M.gram_blocks(states).count() == 3 * 7
+    whole = {r["row_id"]: r["components"] for r in M.hidden_pca(states.unionByName(odd)).collect()}
+    for run in ("r0", "r3"):
+        x = np.array([r[3] for r in rows if r[0] == run])
+        centred = x - x.mean(axis=0)
+        want = centred @ np.linalg.svd(centred)[2][:2].T
+        have = np.array([whole[r[1]] for r in rows if r[0] == run])
+        assert np.allclose(np.abs(have), np.abs(want), atol=1e-5)
+    monkeypatch.setattr(M, "AXES_RUNS", 2)
+    blocks = {r["row_id"]: r["components"] for r in M.hidden_pca(states).collect()}
+    assert set(blocks) == {r[1] for r in rows} and all(np.allclose(blocks[i], whole[i], atol=1e-6) for i in blocks)
+
+
+def test_summary_is_an_aggregate_over_classes(spark):
+    """One row per class and run; nothing gathers a run's pairs into a row."""
+    df = spark.range(400).select(F.lit("r").alias("run"), F.col("id").alias("row_id"), (F.col("id") % 60).cast("int").alias("true_idx"),
+                                 F.expr("transform(sequence(0, 59), c -> cast(pmod(c * 7 + id, 61) as double))").alias("logits"),
+                                 F.expr("transform(sequence(0, 59), c -> cast(c as string))").alias("class_names"))
+    p = M.with_predictions(df)
+    s = M.summary_metrics(p)
+    assert "collect_list" not in s._jdf.queryExecution().optimizedPlan().toString()
+    s = s.first()
+    assert s["f1"] == pytest.approx(M.macro_prf(M.per_class_report(p)).first()["f1"])
+    assert s["top3_accuracy"] == pytest.approx(M.topk_accuracy(p).first()["top3_accuracy"])

@@ -71,3 +71,14 @@ def test_cross_entropy_matches_definition(spark):
     p = scores(spark, [("r", 1, 0, [2.0, 0.0]), ("r", 2, 1, [2.0, 0.0])])
     want = (-math.log(math.exp(2) / (math.exp(2) + 1)) - math.log(1 / (math.exp(2) + 1))) / 2
     assert M.cross_entropy(p).first()["loss"] == pytest.approx(want)
+
+
+def test_summary_with_runs_with_and_without_attention(spark):
+    import math
+    rec = spark.createDataFrame([("a", 1, [0.5, 0.5, 0.0]), ("a", 2, [1.0]), ("a", 3, None), ("b", 4, []), ("b", 5, None)],
+                                "run string, row_id long, attention_weights array<double>")
+    ent = {r["run"]: r["avg_attn_entropy"] for r in M.attention_by_run(rec).collect()}
+    assert abs(ent["a"] - math.log(2) / 2) < 1e-12 and ent["b"] is None
+    s = spark.createDataFrame([(r, 0.5, 0.5, 0.5, 0.5, 0.5, 1.0) for r in "abc"], "run string, accuracy double, f1 double, precision double, recall double, top3_accuracy double, loss double")
+    out = {r["Model"]: r["Avg Attention Entropy"] for r in M.run_summary(s, entropy=M.attention_by_run(rec)).collect()}
+    assert out == {"a": 0.3466, "b": None, "c": None}

@@ -91,3 +91,50 @@ def test_document_ids_do_not_depend_on_splits(spark):
         f.write('abstract,label\n"two\nlines",x\nplain,y\nplain,y\n')
     ids = [sorted((r["text"], r["doc_id"]) for r in files.scan_documents(spark, root).repartition(n).collect()) for n in (1, 4)]
     assert ids[0] == ids[1] and len({i for _, i in ids[0]}) == 2 and ids[0][-1][0] == "two\nlines"
+
+
+def test_half_a_set_is_never_read(spark, tmp_path):
+    """A writer that fails between two tables leaves the set before it in force."""
+    root = str(tmp_path / "set")
+    with pytest.raises(FileNotFoundError):
+        files.published(spark, root)
+    files.save_artifacts({"a": spark.range(3), "b": spark.range(2)}, root)
+
+    def fail(folder):
+        raise OSError("executor lost")
+
+    with pytest.raises(OSError):
+        files.publish(spark, root, {"a": spark.range(50).write.parquet, "b": fail})
+    back = files.load_artifacts(spark, root, ("a", "b"))
+    assert (back["a"].count(), back["b"].count()) == (3, 2)
+    files.save_artifacts({"a": spark.range(5), "b": spark.range(4)}, root)
+    again = files.load_artifacts(spark, root, ("a", "b"))
+    assert (again["a"].count(), again["b"].count()) == (5, 4)
+    assert (back["a"].count(), back["b"].count()) == (3, 2)  # a reader keeps the set it began with
+
+
+def test_evaluation_documents_round_trip(spark, tmp_path):
+    root = str(tmp_path / "evaluation")
+    hidden = spark.createDataFrame([("r", 1, [0.5, -1.0], 'la "b"'), ("s", 2, [], "x")], "run string, row_id long, hidden_state array<double>, label string")
+    wrong = spark.createDataFrame([("r", 1, "a", "b", 0.75)], "run string, row_id long, true_label string, predicted_label string, confidence double")
+    shown = spark.createDataFrame([("r", 1, ["a", "{b}"], [0.25, 0.75])], "run string, row_id long, tokens array<string>, attention_weights array<double>")
+    files.sink_evaluation({"hidden_states": hidden, "misclassified": wrong, "attention_examples": shown}, root)
+    for name, df in (("hidden_states", hidden), ("misclassified", wrong), ("attention_examples", shown)):
+        back = files.scan_evaluation(spark, root, name)
+        assert sorted(map(repr, map(tuple, back.select(*df.columns).collect()))) == sorted(map(repr, map(tuple, df.collect())))
+
+
+def test_mandatory_file_must_be_there(spark, tmp_path):
+    for run in ("a", "b"):
+        (tmp_path / run).mkdir()
+    (tmp_path / "a" / "metrics.csv").write_text("epoch,val_loss\n1,0.5\n")
+    with pytest.raises(FileNotFoundError, match="metrics.csv is missing in: b"):
+        files.scan_mandatory(spark, str(tmp_path), "metrics.csv", "epoch INT, val_loss DOUBLE")
+    (tmp_path / "b" / "metrics.csv").write_text("epoch,val_loss\n2,0.25\n")
+    assert files.scan_mandatory(spark, str(tmp_path), "metrics.csv", "epoch INT, val_loss DOUBLE").count() == 2
+
+
+def test_vectors_of_asked_tokens_are_parsed_only(spark, tmp_path):
+    (tmp_path / "v.txt").write_text("a 1 2\nb 3 4\nbroken x y\n")
+    asked = spark.createDataFrame([("b",), ("zz",)], "token string")
+    assert [tuple(r) for r in files.scan_vectors(spark, str(tmp_path), dim=2, tokens=asked).collect()] == [("b", [3.0, 4.0])]
