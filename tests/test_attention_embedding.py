@@ -88,3 +88,26 @@ def test_embedding_join_coverage_and_sequence(spark):
     assert out[0] == [1.0, 2.0] and out[1] == [3.0, 4.0] and out[2] == out[3]
     rnd = {r["token_id"]: r["vector"] for r in EM.random_embedding(vocab, 2).collect()}
     assert rnd[1] == [0.0, 0.0]
+
+
+def test_pooling_by_blocks(spark, monkeypatch):
+    """Rows with one key stay apart, ids without vectors have no weight, and block ends change nothing."""
+    from tessera.functions import blocks
+
+    rows = [(1, [5, 6, 5]), (1, [6]), (None, [5, 77]), (2, [77]), (3, []), (4, None), (5, [6, 77])] + [(10 + i, [5] * (i + 1) + [6]) for i in range(40)]
+    s = spark.createDataFrame(rows, "doc_id long, ids array<int>").repartition(2)
+    whole = sorted(map(repr, map(tuple, N.attn_pool_mlp(s, "ids", table(spark), [[1.0, 0.0]], [0.1], [2.0], 0.0).collect())))
+    assert len(whole) == len(rows)
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 40)
+    cut = sorted(map(repr, map(tuple, N.attn_pool_mlp(s, "ids", table(spark), [[1.0, 0.0]], [0.1], [2.0], 0.0).collect())))
+    assert cut == whole
+    got = {}
+    for r in N.attn_pool_linear(s, "ids", table(spark), [2.0, 1.0], 0.0).collect():
+        got.setdefault(r["doc_id"], []).append(r["context"])
+    a, b = 2 * math.exp(2.0), math.exp(1.0)
+    assert sorted(got[1]) == [pytest.approx([0.0, 1.0]), pytest.approx([a / (a + b), b / (a + b)])]
+    assert got[None] == [[1.0, 0.0]] and got[2] == got[3] == got[4] == [None]
+    dots = {r["doc_id"]: r["context"] for r in N.attn_pool_dot(s.where("doc_id = 5"), "ids", table(spark), 2).collect()}
+    assert dots == {5: None}  # its last id has no vector
+    masked = N.attn_pool_dot(spark.createDataFrame([(1, [5, 6, 1])], "doc_id long, ids array<int>"), "ids", table(spark), 2, mask_pad=True)
+    assert masked.first()["context"] == pytest.approx([0.5, 0.5])  # the pad asks, with a vector of zeros
