@@ -42,10 +42,11 @@ def clean_strip(col: Column | str) -> Column:
 
 def word_tokenize(col: Column | str) -> Column:
     """Word tokens of letter-only text (whitespace split plus contraction splits)."""
-    s = _c(col)
-    for first, second in TREEBANK_SPLITS:
-        s = F.regexp_replace(s, rf"(?i)\b({first})({second})\b", "$1 $2")
-    return nonempty(F.split(s, r"(?U)\s+"))
+    # one pass for all pairs: of the groups, those of the pair that stands there are filled
+    either = "|".join(f"({first})({second})" for first, second in TREEBANK_SPLITS)
+    numbers = range(1, 2 * len(TREEBANK_SPLITS) + 1)
+    parts = "".join(f"${n}" for n in numbers if n % 2) + " " + "".join(f"${n}" for n in numbers if n % 2 == 0)
+    return nonempty(F.split(F.regexp_replace(_c(col), rf"(?i)\b(?:{either})\b", parts), r"(?U)\s+"))
 
 
 def remove_stopwords(tokens: Column, stopwords: Iterable[str] = NLTK_ENGLISH_STOPWORDS) -> Column:
@@ -79,28 +80,29 @@ def normalize_placeholders(col: Column | str) -> Column:
     return F.trim(s)
 
 
-# --- fixed values: the "basic_english" normaliser (pattern, replacement), in order
+# --- fixed values: the "basic_english" normaliser (text, replacement), in order; runs of white space end as one blank
 BASIC_ENGLISH_RULES = (
-    (r"'", " '  "),
-    (r'"', ""),
-    (r"\.", " . "),
-    (r"<br \/>", " "),
-    (r",", " , "),
-    (r"\(", " ( "),
-    (r"\)", " ) "),
-    (r"\!", " ! "),
-    (r"\?", " ? "),
-    (r"\;", " "),
-    (r"\:", " "),
-    (r"\s+", " "),
+    ("'", " '  "),
+    ('"', ""),
+    (".", " . "),
+    ("<br />", " "),
+    (",", " , "),
+    ("(", " ( "),
+    (")", " ) "),
+    ("!", " ! "),
+    ("?", " ? "),
+    (";", " "),
+    (":", " "),
 )
 
 
 def basic_english_tokens(col: Column | str) -> Column:
-    """Lower-case, pad/drop punctuation by the fixed rules, split on whitespace."""
+    """Lower-case, pad/drop punctuation by the fixed rules, split on whitespace.
+
+    The rules are plain texts, so they are replaced without a pattern matcher."""
     s = F.lower(_c(col))
-    for pattern, repl in BASIC_ENGLISH_RULES:
-        s = F.regexp_replace(s, "(?U)" + pattern, repl)
+    for text, repl in BASIC_ENGLISH_RULES:
+        s = F.replace(s, F.lit(text), F.lit(repl))
     return nonempty(F.split(s, r"(?U)\s+"))
 
 
