@@ -5,8 +5,8 @@ made from the table of licenses (names as written by hand) and the forms in whic
 runs on a text only if its keyword stands there.  Detections of one text are intervals of words; one is suppressed if
 an interval of a stronger tier contains it, or a longer one of the same tier, or an equal one of an earlier rule.
 
-Null and empty texts have no words and no detections.  Rows are scanned one by one: no shuffle, so repeated rows and
-frequent lines cost what they cost alone.
+Null and empty texts have no words and no detections.  Rows are scanned one by one, in time linear in the text for each
+rule that matches; only detections are shuffled, by row, so repeated rows and frequent lines cost what they cost alone.
 """
 
 from __future__ import annotations
@@ -14,9 +14,11 @@ from __future__ import annotations
 import json
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.arrays import let
+
 #: Fixed phrases whose places are counted, with their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -178,19 +180,18 @@ def _spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
+#: Marks around a match; normalized texts hold no control characters.
+OPEN, CLOSE = "\u0001", "\u0002"
+
+
 def _intervals(norm: Column, expression: Column) -> Column:
-    """First and last word (from 0) of each match, by the pieces between matches."""
-    hits = F.regexp_extract_all(norm, expression, F.lit(0))
-    gaps = F.split(norm, expression, -1)
-    lens = F.transform(hits, lambda h, i: F.struct(_spaces(F.element_at(gaps, i + 1)).alias("gap"), _spaces(h).alias("n")))
-    # words before match i: all gaps up to it and all earlier matches
-    return F.aggregate(
-        lens, F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<first:int,last:int>>)").alias("found")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["gap"] + x["n"]).alias("at"),
-            F.concat(acc["found"], F.array(F.struct((acc["at"] + x["gap"]).alias("first"),
-                                                    (acc["at"] + x["gap"] + x["n"] - 1).alias("last")))).alias("found")),
-        lambda acc: acc["found"])
+    """First and last word (from 0) of each match, in time linear in the text: matches are marked, and the marked words
+    tell their places."""
+    marked = F.regexp_replace(norm, expression, F.lit(f"{OPEN}$0{CLOSE}"))
+    at = lambda w, mark, less: F.filter(F.transform(w, lambda x, i: F.when(x.contains(mark), i - less)), lambda i: i.isNotNull())
+    # a match begins with the space before its first word; the text's own first piece is empty
+    places = let(F.split(marked, " "), lambda w: F.arrays_zip(at(w, OPEN, 0).alias("first"), at(w, CLOSE, 1).alias("last")))
+    return F.when(marked.contains(OPEN), places).otherwise(F.expr("cast(array() as array<struct<first:int,last:int>>)"))
 
 
 def _contains_any(norm: Column, gates: list[str]) -> Column:
@@ -231,12 +232,32 @@ def scan(docs: DataFrame) -> DataFrame:
     none = F.expr("cast(array() as array<struct<order:int,label:string,tier:int,first:int,last:int>>)")
     one = one.withColumn("base", F.when(_contains_any(norm, [p[3] for p in phrases]), detect(phrases)).otherwise(none))
     one = one.withColumn("_all", F.when(_contains_any(norm, _gates()), detect(rules())).otherwise(none))
-    kept = F.filter("_all", lambda d: ~F.exists("_all", lambda e: (
-        (e["first"] <= d["first"]) & (e["last"] >= d["last"]) & (
-            (e["tier"] < d["tier"]) |
-            (e["tier"] == d["tier"]) & ((e["last"] - e["first"] > d["last"] - d["first"]) |
-                                        (e["last"] - e["first"] == d["last"] - d["first"]) & (e["order"] < d["order"]))))))
-    return one.select("doc_id", "n_words", "base", F.when(F.size("_all") > 0, kept).otherwise(none).alias("kept"))
+    return _suppressed(one)
+
+
+def _suppressed(one: DataFrame) -> DataFrame:
+    """Drops detections that lie in a better one: of a stronger tier, or of the same and longer, or earlier in the table.
+
+    In the order of (first, -last, tier, table) all that may contain a detection comes before it, and does so if it ends
+    no earlier; so one running maximum per tier decides, in time linear in a text's sorted detections.  Only detections
+    move, not texts.
+    """
+    numbered = one.withColumn("_row", F.monotonically_increasing_id())  # before the explode: a number per text
+    rows = numbered.select("_row", "doc_id", "n_words", F.explode_outer(F.concat(
+        F.transform("base", lambda d: F.struct(F.lit(True).alias("base"), d.alias("d"))),
+        F.transform("_all", lambda d: F.struct(F.lit(False).alias("base"), d.alias("d"))))).alias("x"))
+    rows = rows.select("_row", "doc_id", "n_words", "x.base", "x.d")
+    d = F.col("d")
+    before = Window.partitionBy("_row", "base").orderBy(
+        d["first"], d["last"].desc(), d["tier"], d["order"]).rowsBetween(Window.unboundedPreceding, -1)
+    tiers = sorted({r[2] for r in rules()})
+    ends = F.array(*[F.max(F.when(d["tier"] <= t, d["last"])).over(before) for t in tiers])
+    end = F.get(ends, F.array_position(F.array(*map(F.lit, tiers)), d["tier"]).cast("int") - 1)
+    rows = rows.withColumn("_end", F.when(~F.col("base"), end)).withColumn("_in", F.coalesce(F.col("_end") >= d["last"], F.lit(False)))
+    listed = lambda c: F.array_sort(F.collect_list(F.when(c, F.struct(
+        d["order"].alias("order"), d["label"].alias("label"), d["tier"].alias("tier"), d["first"].alias("first"), d["last"].alias("last")))))
+    return rows.groupBy("_row", "doc_id", "n_words").agg(
+        listed(F.col("base")).alias("base"), listed(~F.col("base") & ~F.col("_in")).alias("kept")).drop("_row")
 
 
 def digests(scanned: DataFrame) -> DataFrame:
