@@ -85,3 +85,24 @@ def test_query_and_stage(spark, docs_of, items_of):
         assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2, 8] and kept.columns == docs.columns
     assert D.find(docs, items_of([])).count() == 0 and D.keep_clean(docs, items_of([])).count() == len(texts) + 1
     assert D.find(docs_of([]), items).count() == 0
+
+
+def test_buckets_find_edited_windows_and_leave_others():
+    """The LSH by itself, over five seeds: windows with 20 % of words edited share a bucket, unrelated ones do not."""
+    import dataclasses
+    for seed in (1, 2, 4, 7, 11):
+        rng, s = np.random.default_rng(seed), dataclasses.replace(D.Settings(), seed=seed)
+        for n in (10, 25, 60):
+            items = rng.integers(1, 4000, (150, n))
+            near = items.copy()
+            for i in range(len(items)):
+                words = items[i].tolist()
+                for _ in range(n // 5):
+                    at = int(rng.integers(len(words)))
+                    words[at:at + int(rng.integers(2))] = rng.integers(1, 4000, int(rng.integers(2))).tolist()
+                near[i] = (words + rng.integers(1, 4000, n).tolist())[:n]
+            lens = np.full(len(items), n)
+            keys = [D.cgk_keys(x, lens, s) for x in (items, near, rng.integers(1, 4000, items.shape))]
+            assert (keys[0] == keys[1]).any(axis=1).mean() >= 0.95
+            assert (keys[0] == keys[2]).any(axis=1).mean() < 0.05
+            assert (keys[0] == D.cgk_keys(items, lens, s)).all()
