@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 #: Character classes by byte of the UTF-8 text.  Digits (numbers are no sign of a language) and the later bytes
 #: of long characters count nothing.
@@ -79,26 +79,6 @@ def plain_words(text: str) -> list[bytes]:
     return text.lower().encode().translate(None, EDGES).split()
 
 
-@dataclass(frozen=True)
-class Rules:
-    min_words: int = 50  #: base rule
-    max_repeat_pct: int = 50  #: base rule: share of words in repeated 3-word windows
-    top_words: int = 100  #: bins of the word histogram, per language
-    min_chars_js: int = 200  #: shorter texts are not judged by character classes
-    min_words_js: int = 100  #: shorter texts are not judged by common words
-    max_char_js: float = 0.18
-    max_word_js: float = 0.45
-
-
-def _class_counts(text: str) -> np.ndarray:
-    data = np.frombuffer(text.encode(), np.uint8)
-    return np.bincount(BYTE_CLASS[data], minlength=8)[:7]
-
-
-def _word_key(word: str) -> str:
-    return word.strip(EDGES)
-
-
 def _is_prose(counts: np.ndarray) -> bool:
     """Whether a text may shape a reference: mostly letters, hardly any symbols, not in capitals."""
     total = counts.sum()
@@ -137,6 +117,7 @@ def references(docs: DataFrame, rules: Rules) -> dict[str, Reference]:
     counts = (docs.where("lang is not null and text is not null").select("lang", "text")
               .mapInArrow(_count_words, "lang string, word string, n long").where("word <> ''")  # of white space at the ends
               .groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    counts = written(counts, "word-counts")  # read by the ranking and by the totals; the texts are scanned once
     is_class = F.col("word").startswith("\0")
     ranked = counts.withColumn("r", F.row_number().over(W.partitionBy("lang", is_class).orderBy(F.desc("n"), "word")))
     totals = counts.where(~is_class).groupBy("lang").agg(F.sum("n").alias("n")).select(
