@@ -7,7 +7,8 @@ number rows inside each partition with ``monotonically_increasing_id`` (its low
 with one row per partition), turn the counts into start offsets and add them
 back with a broadcast join whose size is bounded by the partition count.
 
-The order key must be unique.  The numbered rows are materialised with a
+Rows that tie in the order key get different numbers, in an order that is theirs
+in the written numbering only; where reruns must agree, the key must be unique.  The numbered rows are materialised with a
 reliable checkpoint before they are counted, so the counts and the rows they
 offset come from one execution: a second run of the range exchange could
 sample different bounds (its input order after a shuffle is not fixed) and
@@ -27,7 +28,7 @@ _LOW33 = (1 << 33) - 1
 
 def with_global_index(df: DataFrame, order: list[Column], name: str = "idx",
                       num_partitions: int | None = None) -> DataFrame:
-    """Add ``name`` = 0-based position of each row in ``order`` (order must be unique)."""
+    """Add ``name`` = 0-based position of each row in ``order``; ties are numbered in any order, each row once."""
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_df = df.repartitionByRange(n, *order).sortWithinPartitions(*order)

@@ -95,8 +95,9 @@ SELECT run, phase, epoch, round(loss, 6) AS loss, round(accuracy, 6) AS final_ac
 def _a6(spark, sf):
     root = scratch_path(spark, "history")
     m = means(spark, sf)
-    files.sink_history(m.select("run", "phase", "epoch", "loss"), f"{root}/loss", keys=("run", "phase"))
-    files.sink_accuracies(m.groupBy("run", "phase").agg(F.max_by("accuracy", "epoch").alias("final_accuracy")), f"{root}/accuracies")
+    files.sink_sweep(m.select("run", "phase", "epoch", "loss"),
+                     m.groupBy("run", "phase").agg(F.max_by("accuracy", "epoch").alias("final_accuracy")), root, keys=("run", "phase"))
+    root = files.published(spark, root)
     back = files.scan_nested_runs(spark, f"{root}/loss", "*.csv", "epoch INT, loss DOUBLE", ("run", "phase"))
     acc = files.csv_reader(spark, "run STRING, phase STRING, final_accuracy DOUBLE").csv(f"{root}/accuracies")
     return rounded(back.join(acc, ["run", "phase"]))

@@ -187,6 +187,12 @@ def sink_history(history: DataFrame, path: str, keys: tuple[str, ...] = ("vector
     write_csv(history, path, partition_by=list(keys))
 
 
+def sink_sweep(history: DataFrame, accuracies: DataFrame, path: str, keys: tuple[str, ...] = ("vectorizer", "hidden")) -> str:
+    """Loss histories and accuracies of a sweep, published together: a reader never sees one without the other."""
+    return publish(history.sparkSession, path, {"loss": lambda folder: sink_history(history, folder, keys),
+                                                "accuracies": lambda folder: sink_accuracies(accuracies, folder)})
+
+
 def sink_accuracies(accuracies: DataFrame, path: str) -> None:
     """The table of all experiments' accuracies (one row per experiment key) beside their loss histories."""
     write_csv(accuracies, path)

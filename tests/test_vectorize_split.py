@@ -48,3 +48,10 @@ def test_documents_with_one_id_stay_apart(spark):
     weights = V.tfidf_vectors(tf, vocab).where("doc_id = 1 and term = 'aa'").select("weight").collect()
     assert sorted(r["weight"] for r in weights)[1] == pytest.approx(1.0) and len(weights) == 2
     assert {r["df"] for r in vocab.collect()} == {2}
+
+
+def test_batches_of_rows_that_share_an_id(spark):
+    df = spark.createDataFrame([(i // 4, f"r{i}") for i in range(40)] + [(None, "x"), (None, "x")], "doc_id long, name string").repartition(3)
+    out = S.assign_batches(df, 8).collect()
+    assert sorted(r["name"] for r in out) == sorted([f"r{i}" for i in range(40)] + ["x", "x"])
+    assert len({(r["batch_id"], r["pos_in_batch"]) for r in out}) == 42
