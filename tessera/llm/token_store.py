@@ -8,8 +8,9 @@ the index of documents; each frame before it holds whole documents:
     index: n uint32 | first doc_id int64, last doc_id int64, documents int64, tokens int64, each x n frames
 
 A reader fetches the tail, finds the frames whose range holds a wanted id and decompresses these only; a frame
-whose checksum differs raises.  Files are written per range of doc_id, each under a name of its own attempt and then
-renamed, so a lost or repeated task leaves whole files only.  Documents with equal ids are ordered by their text;
+whose checksum differs raises.  Files are written per range of doc_id, each under a name of its own attempt; the manifest
+lists those of the attempts that ended well, and readers open no others, so a lost or repeated task does no harm on any
+file system.  Documents with equal ids are ordered by their text;
 null and empty texts have the end id alone.
 """
 
@@ -247,14 +248,13 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
         writer = sink = None
-        name = f"part-{part:06d}.tokens.zst"
-        temporary = f".{name}.{uuid.uuid4().hex}"
+        name = f"part-{part:06d}-{uuid.uuid4().hex[:16]}.tokens.zst"  # of this attempt alone
         documents = tokens = 0
         for batch in slices(batches, BLOCK_BYTES):
             if writer is None:
                 store, base = _open(folder)
                 store.create_dir(base, recursive=True)
-                sink = store.open_output_stream(f"{base}/{temporary}")
+                sink = store.open_output_stream(f"{base}/{name}")
                 writer = FrameWriter(sink)
             ids, counts = word_encoder(path, end_id).block([t or "" for t in batch.column(1).to_pylist()])
             doc_ids = [NULL_ID if i is None else i for i in batch.column(0).to_pylist()]
@@ -269,7 +269,6 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
         if writer is not None:
             writer.close()
             sink.close()
-            store.move(f"{base}/{temporary}", f"{base}/{name}")
             yield pa.RecordBatch.from_pylist([{"part": part, "file": name, "documents": documents, "tokens": tokens}])
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -61,3 +61,12 @@ def test_damage_is_seen(spark, docs_of, tmp_path):
 def test_empty_table(spark, docs_of, tmp_path):
     store = S.Store.create(docs_of([]), str(tmp_path / "s"), PATH, 2)
     assert store.files == [] and store.read(spark).count() == 0
+
+
+def test_attempts_do_not_share_a_file(spark, docs_of, tmp_path):
+    """What a lost attempt leaves behind is in no manifest: two runs into one folder read back their own files each."""
+    first = S.Store.create(docs_of(["one two"] * 4), str(tmp_path / "s"), PATH, 2)
+    open(os.path.join(first.folder, "part-000000-dead.tokens.zst"), "wb").write(b"half a file")
+    second = S.Store.create(docs_of(["three"] * 2), str(tmp_path / "s"), PATH, 2)
+    assert not {f[0] for f in first.files} & {f[0] for f in second.files}
+    assert (first.read(spark).count(), second.read(spark).count()) == (4, 2)
