@@ -254,7 +254,7 @@ def write(docs: DataFrame, folder: str, path: str, end_id: int) -> DataFrame:
             if writer is None:
                 store, base = _open(folder)
                 store.create_dir(base, recursive=True)
-                sink = store.open_output_stream(f"{base}/{name}")
+                sink = store.open_output_stream(f"{base}/{name}", compression=None)  # frames are compressed one by one
                 writer = FrameWriter(sink)
             ids, counts = word_encoder(path, end_id).block([t or "" for t in batch.column(1).to_pylist()])
             doc_ids = [NULL_ID if i is None else i for i in batch.column(0).to_pylist()]
