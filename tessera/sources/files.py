@@ -52,11 +52,23 @@ def scan_documents(spark: SparkSession, path: str, schema: T.StructType | str |
 
 def write_csv(df: DataFrame, path: str, partition_by: list[str] | None = None, mode: str = "overwrite") -> None:
     """CSV sink that round-trips through ``scan_*`` (header, RFC-4180 quoting, no trimming)."""
-    w = (df.write.mode(mode).option("header", True).option("escape", '"')
-         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.csv(path)
+    w = folder_writer(df, partition_by) if partition_by else df.write
+    (w.mode(mode).option("header", True).option("escape", '"')
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)).csv(path)
+
+
+def folder_writer(df: DataFrame, keys: list[str], deal: list[str] | None = None):
+    """Writer of a folder per value of ``keys``, for tables of many small folders (one per run and epoch, say).
+
+    Such tables cost by the file.  A folder's rows go to one task, so it gets one file, and all tasks share the work,
+    however few bytes there are.  Tasks put their files in place themselves; a driver that renames them one by one would
+    take longer than all tasks.  ``deal`` (default: ``keys``) names the first of the keys if few folders share its value:
+    these move together then.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *(deal or keys)).write.partitionBy(*keys) \
+        .option("mapreduce.fileoutputcommitter.algorithm.version", "2")
 
 
 def parent_dir(col_path=None) -> F.Column:
@@ -90,7 +102,7 @@ def _any_file(spark: SparkSession, pattern: str) -> bool:
 
 def scan_nested_runs(spark: SparkSession, root: str, file_name: str, schema, tags: tuple[str, str]) -> DataFrame:
     """A2 for two-level layouts ``root/<a>/<b>/<file>`` (e.g. vectorizer/layers/loss.csv)."""
-    df = csv_reader(spark, schema).csv(f"{root.rstrip('/')}/*/*/{file_name}")
+    df = listed(csv_reader(spark, schema), file_name).csv(root).where(_below(spark, root, 3))
     p = F.url_decode(F.col("_metadata.file_path"))
     return df.select(
         F.regexp_replace(F.regexp_extract(p, r"([^/]+)/[^/]+/[^/]+$", 1), r"^[^=/]+=", "").alias(tags[0]),
@@ -98,6 +110,18 @@ def scan_nested_runs(spark: SparkSession, root: str, file_name: str, schema, tag
         *df.columns)
 
 
+def listed(reader, file_name: str):
+    """A reader of all files of a name below a folder: tasks list its folders, where the driver alone expands a pattern."""
+    return reader.option("recursiveFileLookup", True).option("pathGlobFilter", file_name)
+
+
+def _below(spark: SparkSession, root: str, levels: int) -> F.Column:
+    """Whether a row's file stands so many levels below ``root``; decided for a file before it is read."""
+    fs, to_path = _fs(spark, root)
+    path = F.regexp_replace("_metadata.file_path", r"^\w+:(//[^/]*)?(?=/)", "")
+    return F.size(F.split(path, "/")) - 1 == fs.makeQualified(to_path(root)).depth() + levels
+
+
 def scan_json_arrays(spark: SparkSession, path: str, schema: T.StructType | str,
                      multiline: bool = True, tag: str | None = "run") -> DataFrame:
     """A3: JSON files holding an array of objects (or one object) -> one row per object.
@@ -124,6 +148,12 @@ def write_json_arrays(df: DataFrame, path: str, partition_by: str, rows_per_file
     arrays.select(partition_by, "value").write.mode("overwrite").option("maxRecordsPerFile", 1).partitionBy(partition_by).text(path)
 
 
+def write_traces(df: DataFrame, path: str, run: str = "run") -> None:
+    """``path/<run>/epoch_N``: a folder with one trace each, as ``scan_attention_trace`` reads them."""
+    named = df.withColumn("_f", F.concat(F.lit("epoch_"), F.col("epoch").cast("string")))
+    folder_writer(named, [run, "_f"], [run]).mode("overwrite").json(path)
+
+
 TRACE_SCHEMA = "epoch INT, tokens ARRAY<STRING>, attention_weights ARRAY<DOUBLE>"
 
 
@@ -134,7 +164,11 @@ def scan_attention_trace(spark: SparkSession, directory: str, schema: str = TRAC
     N is read from the file (or folder) name, so ``epoch_N`` folders written by
     Spark's partitioned JSON sink load the same way.
     """
-    df = spark.read.schema(schema).option("multiLine", True).json(f"{directory.rstrip('/')}/{pattern}")
+    reader, *above, name = spark.read.schema(schema).option("multiLine", True), *pattern.split("/")
+    if above and set(above) == {"*"}:
+        df = listed(reader, name).json(directory).where(_below(spark, directory, len(above) + 1))
+    else:
+        df = reader.json(f"{directory.rstrip('/')}/{pattern}")
     n = F.regexp_extract(F.url_decode(F.col("_metadata.file_path")), r"epoch_(\d+)(?:\.json)?(?:/[^/]*)?$", 1)
     df = df.withColumn("file_epoch", n.cast("int"))
     if tag is None:

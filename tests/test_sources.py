@@ -138,3 +138,33 @@ def test_vectors_of_asked_tokens_are_parsed_only(spark, tmp_path):
     (tmp_path / "v.txt").write_text("a 1 2\nb 3 4\nbroken x y\n")
     asked = spark.createDataFrame([("b",), ("zz",)], "token string")
     assert [tuple(r) for r in files.scan_vectors(spark, str(tmp_path), dim=2, tokens=asked).collect()] == [("b", [3.0, 4.0])]
+
+
+def _files(root, suffix):
+    return [os.path.join(d, f) for d, _, names in os.walk(root) for f in names if f.endswith(suffix)]
+
+
+def test_history_has_one_file_per_experiment_and_other_depths_are_left_out(spark):
+    root = tempfile.mkdtemp(prefix="tessera-history-") + "/h"
+    rows = spark.range(0, 400, 1, 8).selectExpr("concat('r-', id % 20) run", "if(id % 2 = 0, 'train', 'val') phase", "cast(id / 20 as int) epoch", "id / 7 loss")
+    files.sink_history(rows.withColumnRenamed("run", "vectorizer").withColumnRenamed("phase", "hidden"), root)
+    found = _files(root, ".csv")
+    assert len(found) == 20  # was one for each task that held a row
+    with open(os.path.join(root, "vectorizer=r-0", "part-0.csv"), "w") as f:
+        f.write("epoch,loss\n1,1.0\n")
+    back = files.scan_nested_runs(spark, root, "*.csv", "epoch INT, loss DOUBLE", ("vectorizer", "hidden"))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_traces_are_written_and_scanned_by_many_tasks(spark):
+    root = tempfile.mkdtemp(prefix="tessera-traces-") + "/t"
+    rows = spark.range(0, 60, 1, 1).selectExpr("concat('a b-', id div 6) run", "cast(id % 6 + 7 as int) epoch", "array('x') tokens", "array(1.0D) attention_weights")
+    files.write_traces(rows, root)
+    found = _files(root, ".json")
+    assert len(found) == 60
+    assert len({os.path.basename(f).split("-")[1] for f in found}) > 1  # tasks that wrote: one row group is no one-task write
+    os.makedirs(f"{root}/epoch_3")
+    with open(f"{root}/epoch_3/x.json", "w") as f:
+        json.dump({"epoch": 3, "tokens": ["a"], "attention_weights": [1.0]}, f)
+    back = files.scan_attention_trace(spark, root, pattern="*/*/*.json", tag="run")
+    assert sorted((r["run"], r["file_epoch"]) for r in back.collect()) == sorted((r["run"], r["epoch"]) for r in rows.collect())
