@@ -182,8 +182,7 @@ def _a4(spark, sf):
     from .q_epochs import traces
 
     root = scratch_path(spark, "traces")
-    t = traces(spark, sf).withColumn("f", F.concat(F.lit("epoch_"), F.col("epoch").cast("string")))
-    t.write.partitionBy("run", "f").mode("overwrite").json(root)
+    files.write_traces(traces(spark, sf), root)
     back = files.scan_attention_trace(spark, root, pattern="*/*/*.json", tag="run")
     # long form of what was read: one row per (trace file, position)
     return rounded(back.select("run", "file_epoch", F.posexplode(F.arrays_zip(
