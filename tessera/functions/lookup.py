@@ -25,9 +25,11 @@ def head_tail_lookup(rows: DataFrame, key: str, spread: list[str], head: DataFra
     salt = F.pmod(F.xxhash64(*spread), F.lit(_SPREAD))
     text = dict(tail.dtypes)[key] == "string"
     aside: Column = F.concat(F.lit("\0"), salt.cast("string")) if text else (-1 - salt).cast(dict(tail.dtypes)[key])
-    j = rows.join(F.broadcast(head.select(F.col(key).alias("_hk"), F.col(value).alias("_hv"))), F.col(key) == F.col("_hk"), "left")
-    j = j.withColumn("_tail", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(aside))
+    j = rows.join(F.broadcast(head.select(F.col(key).alias("_hk"))), F.col(key) == F.col("_hk"), "left")
+    j = j.withColumn("_tail", F.when(F.col("_hk").isNull() & F.col(key).isNotNull(), F.col(key)).otherwise(aside)).drop("_hk")
     j = j.join(tail.select(F.col(key).alias("_tk"), F.col(value).alias("_tv")), F.col("_tail") == F.col("_tk"), "left")
+    # the head's values come after the shuffle: rows that move carry keys only, however wide the values are
+    j = j.join(F.broadcast(head.select(F.col(key).alias("_hk"), F.col(value).alias("_hv"))), F.col(key) == F.col("_hk"), "left")
     return j.withColumn(out or value, F.coalesce("_hv", "_tv")).drop("_hk", "_hv", "_tail", "_tk", "_tv")
 
 
