@@ -34,8 +34,8 @@ def pretrained_vectors(spark, sf, vocab=None):
         .select("token", F.col("embedding").alias("vector"))
 
 
-@shared
 def emb_table(spark, sf):
+    """The whole C7 table; read once by each of its queries, so it is not written: only the columns these use are made."""
     return EM.embedding_join(train_vocab(spark, sf), pretrained_vectors(spark, sf), DIM, 0.6)
 
 

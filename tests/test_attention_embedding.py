@@ -111,3 +111,27 @@ def test_pooling_by_blocks(spark, monkeypatch):
     assert dots == {5: None}  # its last id has no vector
     masked = N.attn_pool_dot(spark.createDataFrame([(1, [5, 6, 1])], "doc_id long, ids array<int>"), "ids", table(spark), 2, mask_pad=True)
     assert masked.first()["context"] == pytest.approx([0.5, 0.5])  # the pad asks, with a vector of zeros
+
+
+def test_lookup_moves_no_values_of_the_head(spark):
+    """Rows that the head answers go through the shuffle with the tail; their vectors must not."""
+    from tessera.functions.lookup import by_id, head_tail_lookup
+
+    rows = spark.range(100).selectExpr("id doc_id", "cast(id * 97 as int) token_id")
+    table = spark.range(8000).selectExpr("cast(id as int) token_id", "array(id * 1.0D) vector")
+    found = head_tail_lookup(rows, "token_id", ["doc_id"], *by_id(table), "vector")
+    assert {r["doc_id"]: r["vector"] for r in found.collect()} == {i: [i * 97.0] if i * 97 < 8000 else None for i in range(100)}
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    joins = [line for line in plan if "Join LeftOuter" in line]
+    assert [("_tail" in line) for line in joins] == [False, True, False]  # head's values, tail, head's keys
+
+
+def test_coverage_writes_no_vectors(spark, monkeypatch):
+    from tessera.plans import registry
+    from tessera.plans.catalog import QUERIES
+
+    written, write = [], registry.materialize
+    monkeypatch.setattr(registry, "materialize", lambda df: (written.append(df.columns), write(df))[1])
+    row = QUERIES["embedding_coverage"](spark, "/root/testdata/sf0.001").first()
+    assert row["n_total"] > row["n_found"] > 0
+    assert written and not any("vector" in columns for columns in written)
